@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.storage import new_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,6 +17,23 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), shingle_words=4, percent=85)
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from loomgraph.llm.token_output import token_digest, write_tokens
+
+    folder = new_path(spark, "token-files")
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        write_tokens(table(spark, sf_dir, "documents"), folder, f.read(), end_id=2)
+    return token_digest(spark, folder)
+
+
+def op3_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.mixing import pivotal_mix
+
+    return pivotal_mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
