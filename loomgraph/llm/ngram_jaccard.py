@@ -144,7 +144,7 @@ def signatures(elements: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.
                 if n2 > 1:
                     cell += ((p >> U(32)) % U(n2)).astype(np.int64)
                 total = int(ends[-1]) * n2
-                order = np.argsort(cell, kind="stable")
+                order = np.argsort(cell)
                 at = np.searchsorted(cell[order], np.arange(total + 1))
                 content, count = _sums(v[order], at).reshape(-1, n2), np.diff(at).reshape(-1, n2)
                 part_doc = np.repeat(use, n1)
@@ -175,12 +175,15 @@ def _profile(k: int):
     return run
 
 
-def _write_signatures(k: int, percent: int):
+def _write_signatures(k: int, percent: int, wanted: Member | None = None):
     def run(batches):
         for b in batches:
             for _, _, elements, off in _sets(b.column("text"), k):
                 row, sig = signatures(elements, off, percent)
                 keys = signed(_keys(elements, off))
+                if wanted is not None:
+                    keep = wanted.holds(signed(sig))
+                    row, sig = row[keep], sig[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(keys[row])], ["sig", "key"])
 
     return run
@@ -310,9 +313,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     real = profile.where("n > 0 and id is not null")
     classes = real.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("parity").alias("parity"))
 
-    raw = rows.where("id is not null").mapInArrow(_write_signatures(shingle_words, percent), "sig long, key long")
-    shared = raw.groupBy("sig").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot < last").drop("last")
-    buckets = stored(raw.join(shared, "sig").select("sig", "key", "pivot").distinct(), "buckets")
+    named = rows.where("id is not null")
+    raw = named.mapInArrow(_write_signatures(shingle_words, percent), "sig long, key long")
+    shared = stored(raw.groupBy("sig").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot < last").drop("last"), "shared")
+    # written again, but only those that some other set may share
+    again = named.mapInArrow(_write_signatures(shingle_words, percent, member_filter(shared.select("sig"))), "sig long, key long")
+    buckets = stored(again.join(shared, "sig").select("sig", "key", "pivot").distinct(), "buckets")
 
     involved = stored(buckets.select("key").distinct().join(classes, "key"), "involved")
     wanted = member_filter(involved.select("id"))
