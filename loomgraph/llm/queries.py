@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.storage import new_path
 
@@ -34,6 +35,13 @@ def op3_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivotal_mix(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.substring_dedup import substring_dedup
+
+    found = substring_dedup(table(spark, sf_dir, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -108,8 +108,10 @@ class Member:
     log2_cells: int
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(keys), bool)
-        h = np.ascontiguousarray(keys.astype(np.int64)).view(np.uint64)
+        return self.holds_unsigned(np.ascontiguousarray(keys.astype(np.int64)).view(np.uint64))
+
+    def holds_unsigned(self, h: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(h), bool)
         for r, plane in enumerate(self.bits.value):
             at = cells(h, r, self.log2_cells)
             ok &= ((plane[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
