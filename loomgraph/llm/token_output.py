@@ -9,27 +9,34 @@ by the ids that stand before them in it, so a document's place in the whole stre
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.huffman import canonical, code_lengths, decode, encode
-from loomgraph.llm.words import slices
+from loomgraph.llm.words import Words, slices, words_of
 from loomgraph.storage import drop, stored
 
 BLOCK_IDS = 1 << 16
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Fixed: letters of words that are one piece each, and marks that end words.
+_PLAIN = re.compile("[a-zA-Zà-öø-ÿ]+")
+_MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,!?%&$*#:;")] = True
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 BLOCKS = "shard int, first long, doc_ids array<long>, doc_counts array<int>, n_ids long, checkpoints array<int>, payload binary"
 
 
 class WordEncoder:
     """Encodes texts word by word, each distinct word once.
 
-    The tokenizer drops white space and never joins across it, so the ids of a text are those of its words.
+    The tokenizer drops white space and never joins across it, so the ids of a text are those of its words;
+    nor does it join a letter or digit with punctuation. Known words are looked up by two hashes.
     """
 
     made: dict[int, WordEncoder] = {}
@@ -38,7 +45,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.known: dict[str, bytes] = {}
+        ends = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
+        self.ends_word = np.zeros(1 << 16, bool)
+        self.ends_word[ends] = True
+        self.forget()
 
     @classmethod
     def of(cls, vocabulary: str) -> WordEncoder:
@@ -47,34 +57,89 @@ class WordEncoder:
             cls.made[key] = cls(vocabulary)
         return cls.made[key]
 
-    def words(self, words: list[str]) -> list[bytes]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = words
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint16).tobytes()
-        return [self.known[w] for w in words]
-
-    def texts(self, col: pa.Array, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def forget(self) -> None:
+        self.h, self.g = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.begin, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+
+    def encoded(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word. Words of plain letters have one last piece each, so many are encoded as one text."""
+        out: list = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if _PLAIN.fullmatch(w)] if self.ends_word.any() else []
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join([words[i] for i in part]), add_special_tokens=False).ids, np.uint16)
+            cut = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(cut) == len(part) and cut[-1] == len(ids):
+                for i, x in zip(part, np.split(ids, cut[:-1]), strict=True):
+                    out[i] = x
+        rest = [i for i, x in enumerate(out) if x is None]
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for i, e in zip(part, self.tokenizer.encode_batch([words[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, np.uint16)
+        return out
+
+    def learn(self, words: Words, at: np.ndarray, h: np.ndarray, g: np.ndarray) -> None:
+        raw = words.buf.tobytes()
+        pieces = self.encoded([raw[s:e].decode("utf-8", "replace") for s, e in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)])
+        length = np.array([len(x) for x in pieces], np.int64)
+        begin = len(self.ids) + np.cumsum(length) - length
+        self.ids = np.concatenate([self.ids, *pieces])
+        place = np.searchsorted(self.h, h)
+        self.h, self.g = np.insert(self.h, place, h), np.insert(self.g, place, g)
+        self.begin, self.length = np.insert(self.begin, place, begin), np.insert(self.length, place, length)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of known hashes, -1 for others."""
+        if not len(self.h):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where(self.h[at] == h, at, -1)
+
+    def texts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has. Lower-casing is the tokenizer's first step too, but it would
-        spell out special tokens in capitals; texts with their brackets keep their case."""
-        special = len(raw) > 1 and bool(((raw[:-1] == 60) & (raw[1:] == 124)).any())
-        split = pc.ascii_split_whitespace(col if special else pc.ascii_lower(col))
-        split = split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split
-        coded = split.flatten().dictionary_encode()
-        by_word = self.words(coded.dictionary.to_pylist())
-        n = np.array([len(b) // 2 for b in by_word], np.int64)
-        every = np.frombuffer(b"".join(by_word), np.uint16)
-        begin = np.cumsum(n) - n
-        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        length = n[at]
+        spell out special tokens in capitals; texts with their brackets keep their case and their words whole."""
+        special = bool(((buf[:-1] == 60) & (buf[1:] == 124)).any())
+        words = words_of(buf, off) if special else without_marks(words_of(buf, off))
+        h, g = words.hashes(not special), (words.hashes(not special, 1) >> np.uint64(32)).astype(np.uint32)
+        unique, first, each = np.unique(h, return_index=True, return_inverse=True)
+        new = np.flatnonzero(self.find(unique) < 0)
+        if len(self.h) + len(new) > REMEMBERED:
+            self.forget()
+            new = np.arange(len(unique))
+        if len(new):
+            self.learn(words, first[new], unique[new], g[first[new]])
+        place = self.find(unique)[each]
+        length = self.length[place]
+        wrong = np.flatnonzero(self.g[place] != g)  # another word of the same hash
         end = np.cumsum(length)
-        source = np.repeat(begin[at] - (end - length), length) + np.arange(int(end[-1]) if len(end) else 0)
+        ids = self.ids[np.repeat(self.begin[place] - (end - length), length) + np.arange(int(end[-1]) if len(end) else 0)]
+        if len(wrong):
+            raw, parts = buf.tobytes(), np.split(ids, end[:-1])
+            for i in wrong:
+                parts[i] = self.encoded([raw[words.start[i] : words.end[i]].decode("utf-8", "replace")])[0]
+                length[i] = len(parts[i])
+            ids, end = np.concatenate(parts), np.cumsum(length)
         total = np.concatenate([[0], end])
-        return every[source], np.diff(total[split.offsets.to_numpy()])
+        return ids, np.diff(total[words.doc_first])
+
+
+def without_marks(words: Words) -> Words:
+    """Cut punctuation at a word's end off as a word of its own, where a letter or digit stands before it."""
+    buf = words.buf
+    if not len(words.start):
+        return words
+    at = np.arange(len(buf))
+    solid = np.maximum.accumulate(np.where(_MARK[buf], -1, at))
+    stem = solid[words.end - 1] + 1
+    last, before = buf[stem - 1], buf[np.maximum(stem - 2, 0)]
+    letter = _ALNUM[last] | ((before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
+    cut = np.flatnonzero((stem > words.start) & (stem < words.end) & letter)
+    end = words.end.copy()
+    end[cut] = stem[cut]
+    extra = np.zeros(len(end) + 1, np.int64)
+    extra[cut + 1] = 1
+    return Words(buf, np.insert(words.start, cut + 1, stem[cut]), np.insert(end, cut + 1, words.end[cut]), words.doc_first + np.cumsum(extra)[words.doc_first])
 
 
 def _tokenize(vocabulary, end_id: int):
@@ -82,8 +147,8 @@ def _tokenize(vocabulary, end_id: int):
         encoder, shard, first = WordEncoder.of(vocabulary.value), TaskContext.get().partitionId(), 0
         for b in batches:
             text = b.column("text").cast(pa.large_string()).fill_null("")
-            for row, to, raw, _ in slices(text, 4 << 20):
-                ids, n = encoder.texts(text.slice(row, to - row), raw)
+            for row, to, raw, off in slices(text, 2 << 20):
+                ids, n = encoder.texts(raw, off)
                 ends = np.cumsum(n)
                 ids = np.insert(ids, ends, end_id).astype("<u2")
                 n = n + 1
