@@ -48,6 +48,19 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.html_text import main_text
+
+    found = main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents")).withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.quality import quality
 
