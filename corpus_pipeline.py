@@ -3,16 +3,68 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from loomgraph.llm.decontaminate import without_leaks
+from loomgraph.llm.mixing import pivotal_mix
+from loomgraph.llm.ngram_jaccard import ngram_jaccard_join
+from loomgraph.llm.token_output import token_digest, write_tokens
+from loomgraph.llm.toxicity import without_toxic
+from loomgraph.storage import new_path, stored
 
 #: Learned scores, random rounding and a file format have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity grammar scores 0.3 or more go."""
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles with a similarity of 0.8 or more, that with the smallest id stays.
+
+    Rows without an id stay, for they link with nothing."""
+    found = ngram_jaccard_join(docs)
+    gone = stored(found.where("component_id != doc_id").select("doc_id").distinct(), "copies")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, all columns kept."""
+    copies = stored(pivotal_mix(docs).where("copies > 0").select("doc_id", "copies"), "copies")
+    # rows of one id share its copies: ids are distinct after the stage before
+    joined = docs.join(copies, docs.doc_id.eqNullSafe(copies.doc_id)).drop(copies.doc_id)
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Huffman-coded token files of what is left, told by document as they are read back."""
+    import public_tokenizers
+
+    folder = new_path(spark, "token-files")
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        write_tokens(docs, folder, f.read(), end_id=2)
+    return token_digest(spark, folder)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID / binary output", token_files),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each over what the one before it wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)
