@@ -28,7 +28,7 @@ from loomgraph.llm.words import U, column_words, mix, signed
 from loomgraph.operators.components import connected_components
 from loomgraph.storage import drop, stored
 
-PARITY_BITS = (256, 1 << 16)
+PARITY_BITS = (128, 1 << 16)
 #: A signature shared by more sets than this is compared in blocks of so many.
 BLOCK = 2048
 _ELEMENT = U((1 << 52) - 1)
@@ -96,8 +96,7 @@ def _keys(elements: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def parities(elements: np.ndarray) -> bytes:
     """Whether each hash cell holds an odd number of the elements."""
-    bits = 1 << int(np.clip(2 * len(elements) - 1, *PARITY_BITS)).bit_length()
-    bits = min(bits, PARITY_BITS[1])
+    bits = 1 << int(np.clip(len(elements) - 1, PARITY_BITS[0] - 1, PARITY_BITS[1] - 1)).bit_length()
     cell = (mix(elements + U(7)) & U(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(cell, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -192,12 +191,11 @@ def _write_signatures(k: int, percent: int, wanted: Member | None = None):
 def _write_sets(k: int, wanted: Member):
     def run(batches):
         for b in batches:
+            ids = b.column("id").fill_null(0).to_numpy(zero_copy_only=False)
+            b = b.filter(pa.array(wanted.holds(ids)))
             for row, to, elements, off in _sets(b.column("text"), k):
-                ids = b.column("id").slice(row, to - row)
-                keep = np.flatnonzero(wanted.holds(ids.fill_null(0).to_numpy(zero_copy_only=False)) & (np.diff(off) > 0))
-                lists = [signed(elements[off[i] : off[i + 1]]) for i in keep]
-                if len(keep):
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep)), pa.array(signed(_keys(elements, off))[keep]), pa.array(lists, pa.list_(pa.int64()))], ["id", "key", "elements"])
+                lists = pa.LargeListArray.from_arrays(pa.array(off, pa.int64()), pa.array(signed(elements))).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(row, to - row), pa.array(signed(_keys(elements, off))), lists], ["id", "key", "elements"])
 
     return run
 
@@ -242,7 +240,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def _within(percent: int, nearest: bool):
-    """Pairs of different components in each bucket, as the bound allows; only the nearest of each set, or all."""
+    """Pairs of different components in each bucket, as the bound allows: the nearest of each set, or all.
+    `more` tells that the bucket has others."""
 
     def run(batches):
         for rows in _buckets(batches):
@@ -251,37 +250,36 @@ def _within(percent: int, nearest: bool):
             size, comp, side = (np.array([r[c] for r in rows]) for c in ("n", "component", "side"))
             key = [r["key"] for r in rows]
             left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-            a, b, dist = [], [], []
+            a, b, more = [], [], False
             for i in left:
                 other = right[(comp[right] != comp[i]) & ((right > i) | (side[right] == 2))]
                 if not len(other):
                     continue
                 d = np.maximum(np.bitwise_count(sketch[other] ^ sketch[i]).sum(1, dtype=np.int64), np.abs(size[other] - size[i]))
                 ok = np.flatnonzero(d <= most_different(size[other], size[i], percent))
-                if nearest and len(ok):
-                    ok = ok[[int(np.argmin(d[ok]))]]
+                if nearest and len(ok) > 1:
+                    ok, more = ok[[int(np.argmin(d[ok]))]], True
                 for j in ok:
                     a.append(min(key[i], key[other[j]]))
                     b.append(max(key[i], key[other[j]]))
-                    dist.append(int(d[j]))
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(dist, pa.int64())], ["a", "b", "dist"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([rows[0]["sig"]] * len(a), pa.int64()), pa.array([more] * len(a))], ["a", "b", "sig", "more"])
 
     return run
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Give each row its bucket. A signature with more than BLOCK sets is cut into blocks, and each two blocks
-    meet in a bucket of their own (side 1 against side 2), so that no bucket passes 2 * BLOCK rows."""
+def _blocks(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Give each row (sig, key, component) its bucket and its parities. A signature with more than BLOCK sets is
+    cut into blocks, and each two blocks meet in a bucket of their own (side 1 against side 2), so that no bucket
+    passes 2 * BLOCK rows."""
     sizes = rows.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     rows = rows.join(sizes, "sig").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    rows = rows.select("*", other).select(
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
         F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"),
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
-        "key", "component", "n", "parity",
+        "sig", "key", "component",
     )
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "key")
+    return rows.join(sketch, "key").repartition("bucket").sortWithinPartitions("bucket", "key")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -321,31 +319,47 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = stored(again.join(shared, "sig").select("sig", "key", "pivot").distinct(), "buckets")
 
     involved = stored(buckets.select("key").distinct().join(classes, "key"), "involved")
-    wanted = member_filter(involved.select("id"))
-    found = rows.mapInArrow(_write_sets(shingle_words, wanted), "id long, key long, elements array<long>")
-    sets = stored(found.join(involved.select("id", "key"), ["id", "key"], "left_semi").dropDuplicates(["key"]), "sets")
     sketch = involved.select("key", "n", "parity")
 
-    def possible(pairs: DataFrame) -> DataFrame:
-        left, right = (sketch.toDF(c, "n" + c, "p" + c) for c in "ab")
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb")
-        return both.mapInArrow(_possible(percent), "a long, b long, dist long")
+    def verified(pairs: DataFrame) -> DataFrame:
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        ids = stored(keys.join(involved, "key").select("id", "key"), "ids")
+        read = rows.mapInArrow(_write_sets(shingle_words, member_filter(ids.select("id"))), "id long, key long, elements array<long>")
+        sets = stored(read.join(ids, ["id", "key"], "left_semi").dropDuplicates(["key"]), "sets")
+        return _verified(pairs, sets, percent)
 
-    # each set with the nearest of the first sets of its buckets
+    # each set against the first sets of its buckets: sizes first, then the bound
     stars = buckets.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    nearest = possible(stars).groupBy("b").agg(F.min_by("a", F.struct("dist", "a")).alias("a"))
-    tried = stored(nearest.select("a", "b"), "pairs")
-    links = stored(_verified(tried, sets, percent), "links")
+    for c in "ab":
+        stars = stars.join(involved.select(F.col("key").alias(c), F.col("n").alias("n" + c)), c)
+    stars = stars.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    for c in "ab":
+        stars = stars.join(involved.select(F.col("key").alias(c), F.col("parity").alias("p" + c)), c)
+    possible = stored(stars.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_possible(percent), "a long, b long, dist long"), "possible")
+    tried = stored(possible.groupBy("b").agg(F.min_by("a", F.struct("dist", "a")).alias("a")).select("a", "b"), "pairs")
+    links = stored(verified(tried), "links")
+    # then what is still in different components: other first sets, and all others two by two
+    others = stored(buckets.where("key != pivot").select("sig", "key"), "others")
     for only_nearest in (True, False):
-        node = stored(_labels(sketch, links), "labels")
-        rest = buckets.select("sig", "key").join(node, "key")
+        node = stored(_labels(sketch.select("key"), links), "labels")
+        rest = stored(others.join(node, "key"), "rest")
         several = rest.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-        rest = _blocks(stored(rest.join(several, "sig"), "rest"))
-        pairs = rest.mapInArrow(_within(percent, only_nearest), "a long, b long, dist long").select("a", "b").distinct()
-        tried_both = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = stored(pairs.join(tried_both, ["a", "b"], "left_anti"), "pairs")
-        links = stored(links.union(_verified(pairs, sets, percent)), "links")
+        found = stored(_blocks(rest.join(several, "sig"), sketch).mapInArrow(_within(percent, only_nearest), "a long, b long, sig long, more boolean"), "found")
+        pairs = found.select("a", "b")
+        if only_nearest:
+            apart = possible.select("a", "b")
+            for c in "ab":
+                apart = apart.join(node.select(F.col("key").alias(c), F.col("component").alias("c" + c)), c)
+            pairs = pairs.union(apart.where("ca != cb").select("a", "b"))
+        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            links = stored(links.union(verified(pairs)), "links")
         tried = tried.union(pairs)
+        # only buckets with pairs that weren't looked at can have any left
+        others = stored(others.join(found.where("more").select("sig").distinct(), "sig", "left_semi"), "others")
+        if others.isEmpty():
+            break
     component = _labels(involved.select("key", "id"), links)
     least = component.groupBy("component").agg(F.min("id").alias("component_id"))
     component = component.join(least, "component").select("key", "component_id")

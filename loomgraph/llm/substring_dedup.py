@@ -1,8 +1,10 @@
 """Substring dedup: remove words that repeat a run of words seen earlier in the corpus.
 
-Pass 1 counts hashed windows in a count-min sketch of saturating cells (met, met again), one for each
-partition, merged shard by shard. A cell's count is never below a window's, so a window whose cells were
-not all met twice occurs once. Pass 2 writes only the windows that the sketch leaves, with a 96-bit key, and
+Pass 1 counts in a count-min sketch of saturating cells (met, met again), one for each partition, merged shard
+by shard. What it counts for a window is its anchor: of the ANCHOR-word runs within it the first with the
+least hash. Equal windows have equal anchors in different places, so an anchor's count, and its cells', is
+never below a window's; neighbouring windows share anchors, which makes several times fewer of them. A window
+whose anchor's cells were not all met twice occurs once. Pass 2 writes only the windows that the sketch leaves, with a 96-bit key, and
 groups them exactly: the earliest start of each key stays, later ones are repeats. Starts of repeats are
 packed per document as runs, and pass 3 takes the words they cover out of the texts.
 
@@ -18,16 +20,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.sketch import Member, member_filter, merged, partition_planes, planes_schema
-from loomgraph.llm.words import column_words, signed
+from loomgraph.llm.words import Words, column_words, range_hash, signed
 from loomgraph.storage import stored
 
-LOG2_CELLS = 28
+#: The sketch has four cells or more for each anchor in each row, as far as 2**LOG2_CELLS goes: at most 2 * 16 MB are broadcast.
+LOG2_CELLS = 27
 ROWS = 2
-
-
-def _window_keys(text: pa.Array, window: int):
+ANCHOR = 8
+#: Bytes of a usual word with its space, to guess the number of windows from.
+WORD_BYTES = 6
+
+
+def anchors(words: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word of each window, place of its anchor, and the hash of the run at each word."""
+    short = min(ANCHOR, window)
+    first = np.flatnonzero(np.arange(len(h)) + window <= np.repeat(words.doc_first[1:], words.counts()))
+    at, gram = words.grams(h, short)
+    run = np.full(len(h), ~np.uint64(0))
+    run[at] = gram
+    # least of each window's runs by upper bits, the first of equals: doubling, then two overlapping spans
+    least = (run & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    span, want = 1, window - short + 1
+    while span * 2 <= want:
+        least[: len(h) - span] = np.minimum(least[: len(h) - span], least[span:])
+        span *= 2
+    place = np.minimum(least[first], least[np.minimum(first + want - span, len(h) - 1)]) if len(first) else np.zeros(0, np.uint64)
+    return first, (place & np.uint64(0xFFFFFFFF)).astype(np.int64), run
+
+
+def _anchor_keys(text: pa.Array, window: int):
     for _, _, words in column_words(text):
-        yield words.grams(words.hashes(), window)[1]
+        _, place, run = anchors(words, words.hashes(), window)
+        yield run[np.unique(place)]
 
 
 def _repeated(window: int, sketch: Member):
@@ -36,17 +60,17 @@ def _repeated(window: int, sketch: Member):
     def run(batches):
         for b in batches:
             for row, _, words in column_words(b.column("text")):
-                first, h = words.grams(words.hashes(), window)
-                keep = sketch.holds_unsigned(h)
-                first, h = first[keep], h[keep]
+                h = words.hashes()
+                first, place, runs = anchors(words, h, window)
+                at, each = np.unique(place, return_inverse=True)
+                first = first[sketch.holds_unsigned(runs[at])[each]]
                 if not len(first):
                     continue
-                other = words.hashes(which=1)
+                key = range_hash(h, first, first + window)
+                second = range_hash(words.hashes(which=1), first, first + window, 1)
                 doc = np.searchsorted(words.doc_first, first, "right") - 1
-                at = np.flatnonzero(keep)
-                second = words.grams(other, window, 1)[1][at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(h)), pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32)), b.column("row").take(pa.array(row + doc)), pa.array((first - words.doc_first[doc]).astype(np.int32))],
+                    [pa.array(signed(key)), pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32)), b.column("row").take(pa.array(row + doc)), pa.array((first - words.doc_first[doc]).astype(np.int32))],
                     ["h", "g", "row", "start"],
                 )
 
@@ -119,7 +143,7 @@ def _where(touched: Member, yes: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, log2_cells: int = LOG2_CELLS) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
     """One row for each row of docs: id, n_words, n_removed and kept, the words that stay, joined by one space.
 
     A word goes if a window of `window` words that covers it has the same words as one that starts earlier:
@@ -131,7 +155,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text"))
     named = rows.where("row is not null")
-    parts = named.select("text").mapInArrow(lambda batches: partition_planes(batches, lambda b: _window_keys(b.column("text"), window), ROWS, log2_cells), planes_schema())
+    n_bytes = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    per_anchor = (min(window, max(window - ANCHOR, 0) + 1) + 1) / 2
+    log2_cells = int(np.clip(int(4 * n_bytes / WORD_BYTES / per_anchor).bit_length(), 16, LOG2_CELLS))
+    parts = named.select("text").mapInArrow(lambda batches: partition_planes(batches, lambda b: _anchor_keys(b.column("text"), window), ROWS, log2_cells), planes_schema())
     sketch = Member(spark.sparkContext.broadcast(merged(parts, "twice", ROWS, log2_cells)), log2_cells)
     starts = named.mapInArrow(_repeated(window, sketch), "h long, g int, row long, start int")
     key = F.struct("row", "start")
