@@ -5,7 +5,7 @@ taken for certain; what is left is a copy probability p. Words, not documents, s
 mass is counted in words: a document of s words holds p * s. Two documents with 0 < p < 1 meet, and one
 gives the other mass until one of them is at 0 or at s; which way is drawn so that every p keeps its
 expectation. The words of a source therefore change only when its very last open document is rounded.
-Documents meet in chunks of a source, what a chunk leaves open (one document at most) meets in chunks of
+Documents meet in chunks of a source, what a chunk leaves open (a few documents at most) meets in chunks of
 chunks, and so on: a reduction tree whose groups have a fixed size however large a source is.
 """
 
@@ -63,46 +63,64 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return level.select("source", "source_size", target.alias("target"))
 
 
-def pivot(size: np.ndarray, mass: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """The mass of each document after all met in turn; one at most stays strictly between 0 and its size.
+def _near_ends(mass: np.ndarray, size: np.ndarray) -> np.ndarray:
+    near = 1e-9 * size
+    return np.where(mass < near, 0.0, np.where(size - mass < near, size, mass))
 
-    A document much larger than the others would stay open to the end, for no other can fill or empty it. So
-    it meets all smaller ones at once: it gains what it lacks from them, or gives them what it has, in fixed
-    shares that none of them is too small for. Then the rest meet two by two. draws: two for each document.
+
+def pivot(size: np.ndarray, mass: np.ndarray, draws: np.ndarray, last: bool = True) -> np.ndarray:
+    """The mass of each document after all met in turn.
+
+    Documents meet two by two, largest first. One that is more than twice as large as all that are left would stay
+    open to the end, for none of them can fill or empty it. So it meets all of them at once: it gains what it
+    lacks from them, or gives them what it has, in fixed shares that none of them is too small for. Where they
+    hold too little together for that, it stays open for a larger group to round. In the last group there is
+    none, and it goes the way that is possible: here alone the words of the source come before the document's
+    expectation. At most one document then stays open, else one for each doubling of the size.
+    draws: two for each document.
     """
     mass, n = mass.copy(), len(size)
-    is_open = (mass > 0) & (mass < size)
-    if is_open.any():
-        usual = np.median(size[is_open])
-        for i in np.flatnonzero(is_open & (size > 2 * usual)):
-            if not 0 < mass[i] < size[i]:
-                continue
-            pool = np.flatnonzero(is_open & (mass > 0) & (mass < size))
-            pool = pool[(pool > i) & (size[pool] < size[i])]
-            lacks, has = size[i] - mass[i], mass[i]
-            share = np.minimum(mass[pool] / lacks, (size[pool] - mass[pool]) / has)
-            if share.sum() < 1:
-                continue
-            share /= share.sum()
-            gains = draws[n + i] * size[i] < has
-            mass[pool] += -share * lacks if gains else share * has
-            mass[i] = size[i] if gains else 0.0
-            near = 1e-9 * size[pool]
-            mass[pool] = np.where(mass[pool] < near, 0.0, np.where(size[pool] - mass[pool] < near, size[pool], mass[pool]))
-    held = -1
-    for i, u in enumerate(draws[:n].tolist()):
+    order = np.argsort(-size, kind="stable")
+    held, met_all = -1, False
+    for place, i in enumerate(order.tolist()):
         if not 0 < mass[i] < size[i]:
             continue
         if held < 0:
-            held = i
+            held, met_all = i, False
             continue
+        if 2 * size[i] < size[held] and not met_all:
+            rest = order[place:]
+            rest = rest[(mass[rest] > 0) & (mass[rest] < size[rest])]
+            has, room = mass[rest], size[rest] - mass[rest]
+            lacks, gives = size[held] - mass[held], mass[held]
+            share = np.minimum(has / lacks, room / gives)
+            gains = draws[n + i] * size[held] < gives
+            if share.sum() >= 1:
+                share /= share.sum()
+                moved = -share * lacks if gains else share * gives
+            elif not last:
+                held = i
+                continue
+            elif has.sum() >= lacks and (gains or room.sum() < gives):
+                gains, moved = True, -has / has.sum() * lacks
+            elif room.sum() >= gives:
+                gains, moved = False, room / room.sum() * gives
+            else:
+                moved = None
+            if moved is not None:
+                mass[rest] = _near_ends(has + moved, size[rest])
+                mass[held] = size[held] if gains else 0.0
+                held, met_all = (i, False) if 0 < mass[i] < size[i] else (-1, False)
+                continue
+            met_all = True
         up, down = min(size[held] - mass[held], mass[i]), min(size[i] - mass[i], mass[held])
         # gaining `up` with probability down / (up + down) leaves each expectation as it was
-        to, source, moved = (held, i, up) if u * (up + down) < down else (i, held, down)
+        to, source, moved = (held, i, up) if draws[i] * (up + down) < down else (i, held, down)
         fills, empties = moved == size[to] - mass[to], moved == mass[source]
         mass[to] = size[to] if fills else mass[to] + moved
         mass[source] = 0.0 if empties else mass[source] - moved
-        held = next((x for x in (i, held) if 0 < mass[x] < size[x]), -1)
+        before, held = held, next((x for x in (i, held) if 0 < mass[x] < size[x]), -1)
+        met_all = met_all and held == before
     return mass
 
 
@@ -114,7 +132,7 @@ def _round_group(seed: int, last: bool):
         names = pd.util.hash_pandas_object(pdf[["id", "size"]], index=False).to_numpy()
         rng = np.random.default_rng([seed, int(pdf["level"].iloc[0]), int(np.bitwise_xor.reduce(names * np.uint64(3) + np.arange(len(names), dtype=np.uint64)))])
         size = pdf["size"].to_numpy(np.float64)
-        mass = pivot(size, pdf["mass"].to_numpy(np.float64), rng.random(2 * len(pdf)))
+        mass = pivot(size, pdf["mass"].to_numpy(np.float64), rng.random(2 * len(pdf)), last)
         is_open = (mass > 0) & (mass < size)
         if last and is_open.any():
             i = int(np.flatnonzero(is_open)[0])
