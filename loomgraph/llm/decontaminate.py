@@ -30,6 +30,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 RADIUS = 19
 FLIPS = 3
+#: A similarity of just 0.8 counts whatever the order of its sums.
+ROUNDING = 1e-9
 #: First bit and width of the blocks; RADIUS < len(BLOCKS) * (FLIPS + 1).
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Words of the items that are broadcast at once.
@@ -187,7 +189,7 @@ class ItemIndex:
                     if min(self.n_words[i], n_words) != size:
                         continue
                     s = self.similarity(shingles[part[x] : part[x] + m], i)
-                    if s >= SIMILAR and (i not in best or (-s, part[x]) < (-best[i][1], best[i][0])):
+                    if s >= SIMILAR - ROUNDING and (i not in best or (-s, part[x]) < (-best[i][1], best[i][0])):
                         best[i] = (int(part[x]), s, d)
         return [(i, *best[i]) for i in sorted(best)]
 

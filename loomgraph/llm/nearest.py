@@ -164,6 +164,30 @@ def _first_of_equals(rows: DataFrame, keep: int) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= keep).drop("n")
 
 
+def _scanned(index: DataFrame, probes: DataFrame, nearest: int) -> DataFrame:
+    """The nearest rows of each bucket to each query that visits it: query_id, vec_id, score."""
+
+    def runs(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+
+    cut = runs(index, "row_runs").join(runs(probes, "query_runs"), "bucket")
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        out = df.join(cut, "bucket").withColumn(own, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+        return out.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("bucket", "row_runs", "query_runs", "id", "v")
+
+    key = ["bucket", "row_runs", "query_runs"]
+    left, right = dealt(index, "row_runs", "query_runs"), dealt(probes, "query_runs", "row_runs")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda a, b: _scan(nearest)(a, b), "query_id long, vec_id long, score double")
+
+
+def _ranked(found: DataFrame, nearest: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists(vector_col, lambda x: x != 0)
@@ -176,33 +200,27 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     Score is the cosine in double precision. Equal scores rank by the smaller id. A row is no candidate of
     its own query, but another row with an equal vector is. Vectors that are null, all zero, or hold a null
     or non-finite number take no part, nor do null ids or vectors shorter than the longest. Ids should be
-    distinct; an empty table gives no rows. Extra columns are not read.
+    distinct; an empty table gives no rows. A query whose buckets give fewer than `nearest` rows is scanned
+    against all rows, in blocks. Extra columns are not read.
     """
     rows = valid_vectors(vectors, id_col, vector_col)
     n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    schema = "query_id long, vec_id long, score double"
     if not n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == dim)
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
     h = fitted(np.array([r.v for r in picked], np.float64), n, dim, nearest, tables, recall, seed)
     kind = rows.schema["v"].dataType.simpleString()
-    index = stored(_first_of_equals(rows, nearest + 1).mapInArrow(_index(h, dim), f"bucket long, id long, v {kind}"), "index")
-    probes = stored(rows.where(F.pmod("id", F.lit(query_every)) == 0).mapInArrow(_probe(h, dim), f"bucket long, id long, v {kind}"), "probes")
-
-    def runs(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-
-    cut = runs(index, "row_runs").join(runs(probes, "query_runs"), "bucket")
-
-    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        out = df.join(cut, "bucket").withColumn(own, F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
-        return out.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("bucket", "row_runs", "query_runs", "id", "v")
-
-    key = ["bucket", "row_runs", "query_runs"]
-    left, right = dealt(index, "row_runs", "query_runs"), dealt(probes, "query_runs", "row_runs")
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda a, b: _scan(nearest)(a, b), schema)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    distinct = stored(_first_of_equals(rows, nearest + 1), "vectors")
+    queries = rows.where(F.pmod("id", F.lit(query_every)) == 0)
+    layout = f"bucket long, id long, v {kind}"
+    found = _scanned(stored(distinct.mapInArrow(_index(h, dim), layout), "index"), stored(queries.mapInArrow(_probe(h, dim), layout), "probes"), nearest)
+    ranked = stored(_ranked(found, nearest), "ranked")
+    # a query whose buckets hold too few rows is scanned against all of them
+    full = ranked.where(F.col("rank") == min(nearest, n - 1)).select(F.col("query_id").alias("id"))
+    few = stored(queries.join(full, "id", "left_anti"), "few")
+    if n == 1 or few.isEmpty():
+        return ranked
+    one = F.lit(0).cast("long").alias("bucket")
+    rest = _ranked(_scanned(distinct.select(one, "id", "v"), few.select(one, "id", "v"), nearest), nearest)
+    return ranked.join(few.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
