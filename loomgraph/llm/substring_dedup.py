@@ -4,9 +4,14 @@ Pass 1 counts in a count-min sketch of saturating cells (met, met again), one fo
 by shard. What it counts for a window is its anchor: of the ANCHOR-word runs within it the first with the
 least hash. Equal windows have equal anchors in different places, so an anchor's count, and its cells', is
 never below a window's; neighbouring windows share anchors, which makes several times fewer of them. A window
-whose anchor's cells were not all met twice occurs once. Pass 2 writes only the windows that the sketch leaves, with a 96-bit key, and
-groups them exactly: the earliest start of each key stays, later ones are repeats. Starts of repeats are
-packed per document as runs, and pass 3 takes the words they cover out of the texts.
+whose anchor's cells were not all met twice occurs once.
+
+Neighbouring windows with one anchor form a span. Pass 2 writes the spans that the sketch leaves, with a 96-bit
+key of all their words, and groups them exactly: the windows of a span that occurs earlier do so too, and are repeats.
+The earliest occurrence of a window never lies in such a span. So pass 3 writes single windows, and groups
+them exactly, only from spans that are the first with their words (a Bloom filter of their places tells them, and
+lets others through at worst). Starts of repeats are packed per document as runs, and pass 4 takes the words they
+cover out of the texts.
 
 The sketch has a fixed size. Where a corpus outgrows it, it lets single windows through, which costs shuffle
 and changes no result.
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.sketch import Member, member_filter, merged, partition_planes, planes_schema
 from loomgraph.llm.words import Words, column_words, range_hash, signed
-from loomgraph.storage import stored
+from loomgraph.storage import drop, stored
 
 #: The sketch has four cells or more for each anchor in each row, as far as 2**LOG2_CELLS goes: at most 2 * 16 MB are broadcast.
 LOG2_CELLS = 27
@@ -54,51 +59,91 @@ def _anchor_keys(text: pa.Array, window: int):
         yield run[np.unique(place)]
 
 
+def spans(words: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each run of neighbouring windows with one anchor: its first word, its number of windows, its anchor's hash."""
+    first, place, run = anchors(words, h, window)
+    cut = np.flatnonzero(np.diff(place, prepend=-1))  # anchors never step back, and lie in the window's own text
+    return first[cut], np.diff(np.append(cut, len(place))), run[place[cut]]
+
+
+def _keyed(words: Words, h: np.ndarray, first: np.ndarray, n: np.ndarray | int) -> list[pa.Array]:
+    """Two hashes of n words each."""
+    second = range_hash(words.hashes(which=1), first, first + n, 1) >> np.uint64(32)
+    return [pa.array(signed(range_hash(h, first, first + n))), pa.array(second.astype(np.uint32).view(np.int32))]
+
+
 def _repeated(window: int, sketch: Member):
-    """The windows that may occur twice: two hashes, row and start."""
+    """The spans whose anchor may occur twice: two hashes, row, start and number of windows."""
 
     def run(batches):
         for b in batches:
             for row, _, words in column_words(b.column("text")):
                 h = words.hashes()
-                first, place, runs = anchors(words, h, window)
-                at, each = np.unique(place, return_inverse=True)
-                first = first[sketch.holds_unsigned(runs[at])[each]]
-                if not len(first):
+                first, n, anchor = spans(words, h, window)
+                some = np.flatnonzero(sketch.holds_unsigned(anchor))
+                if not len(some):
                     continue
-                key = range_hash(h, first, first + window)
-                second = range_hash(words.hashes(which=1), first, first + window, 1)
+                first, n = first[some], n[some]
                 doc = np.searchsorted(words.doc_first, first, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(key)), pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32)), b.column("row").take(pa.array(row + doc)), pa.array((first - words.doc_first[doc]).astype(np.int32))],
-                    ["h", "g", "row", "start"],
+                    [*_keyed(words, h, first, n + window - 1), b.column("row").take(pa.array(row + doc)), pa.array((first - words.doc_first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "g", "row", "start", "n"]
                 )
 
     return run
 
 
-def packed_runs(starts: np.ndarray) -> bytes:
-    """Ascending distinct starts as (first, count) pairs of runs."""
-    begin = np.flatnonzero(np.concatenate([[True], np.diff(starts) != 1]))
-    return np.stack([starts[begin], np.diff(np.concatenate([begin, [len(starts)]]))], 1).astype("<i4").tobytes()
+def place_name(row: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """As in SQL: shiftleft(row, 24) ^ start."""
+    return (row.astype(np.uint64) << np.uint64(24)) ^ start.astype(np.uint64)
+
+
+def _windows(window: int, sketch: Member, firsts: Member):
+    """The windows of the spans that no earlier span equals: two hashes, row and start."""
+
+    def run(batches):
+        for b in batches:
+            ids = b.column("row").to_numpy()
+            for row, _, words in column_words(b.column("text")):
+                h = words.hashes()
+                first, n, anchor = spans(words, h, window)
+                some = sketch.holds_unsigned(anchor)
+                first, n = first[some], n[some]
+                doc = np.searchsorted(words.doc_first, first, "right") - 1
+                some = np.flatnonzero(firsts.holds_unsigned(place_name(ids[row + doc], first - words.doc_first[doc])))
+                if not len(some):
+                    continue
+                n = n[some]
+                each = np.repeat(first[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                doc = np.repeat(doc[some], n)
+                yield pa.RecordBatch.from_arrays([*_keyed(words, h, each, window), pa.array(ids[row + doc]), pa.array((each - words.doc_first[doc]).astype(np.int32))], ["h", "g", "row", "start"])
+
+    return run
+
+
+def packed_runs(starts: np.ndarray, counts: np.ndarray) -> bytes:
+    """Runs of starts, ascending by their first, as (first, count) pairs of runs that don't touch."""
+    end = np.maximum.accumulate(starts + counts)
+    begin = np.flatnonzero(np.concatenate([[True], starts[1:] > end[:-1]]))
+    last = np.append(begin[1:], len(starts)) - 1
+    return np.stack([starts[begin], end[last] - starts[begin]], 1).astype("<i4").tobytes()
 
 
 def _pack(batches):
     """Rows sorted by row and start; a row's starts may be spread over batches."""
-    at, starts = None, []
+    at, runs = None, []
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([packed_runs(np.concatenate(starts))], pa.binary())], ["row", "runs"])
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([packed_runs(*np.concatenate(runs, 1))], pa.binary())], ["row", "runs"])
 
     for b in batches:
-        row, start = b.column("row").to_numpy(), b.column("start").to_numpy()
+        row, start, n = (b.column(c).to_numpy() for c in ("row", "start", "n"))
         cut = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1, [len(row)]]) if len(row) else [0]
         for x, y in zip(cut[:-1], cut[1:], strict=True):
             if row[x] != at:
                 if at is not None:
                     yield out()
-                at, starts = int(row[x]), []
-            starts.append(start[x:y].astype(np.int64))
+                at, runs = int(row[x]), []
+            runs.append(np.stack([start[x:y], n[x:y]]).astype(np.int64))
     if at is not None:
         yield out()
 
@@ -113,34 +158,48 @@ def covered(n_words: int, runs: bytes | None, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _remove(window: int):
+def _held(batch: pa.RecordBatch, touched: Member) -> np.ndarray:
+    """Rows whose id the filter holds; null ids never."""
+    ids = batch.column("row")
+    return touched.holds(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _touched(touched: Member):
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(_held(b, touched)))
+
+    return run
+
+
+def _remove(window: int, untouched: Member | None = None):
+    """Take the covered words out; given a filter, of the rows that it doesn't hold, which have no runs."""
+
     def run(batches):
         for b in batches:
-            runs = b.column("runs").to_pylist()
-            out = []
+            if untouched is not None:
+                b = b.filter(pa.array(~_held(b, untouched)))
+            runs = [None] * b.num_rows if untouched is not None else b.column("runs").to_pylist()
             for row, to, words in column_words(b.column("text")):
+                out = []
                 for i in range(to - row):
                     x, y = words.doc_first[i], words.doc_first[i + 1]
                     gone = covered(y - x, runs[row + i], window)
                     kept = np.flatnonzero(~gone) + x
                     text = b" ".join([words.buf[s:e].tobytes() for s, e in zip(words.start[kept], words.end[kept], strict=True)])
                     out.append((int(y - x), int(gone.sum()), text.decode("utf-8", "replace")))
-            n, removed, text = zip(*out, strict=True) if out else ((), (), ())
-            names = [c for c in b.schema.names if c not in ("text", "runs")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(text, pa.string())], [*names, "n_words", "n_removed", "kept"])
+                n, removed, text = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([b.column("row").slice(row, to - row), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(text, pa.string())], ["row", "n_words", "n_removed", "kept"])
 
     return run
 
 
-def _where(touched: Member, yes: bool):
-    """The rows whose id the filter holds, or the others."""
-
-    def run(batches):
-        for b in batches:
-            held = touched.holds(b.column("row").fill_null(0).to_numpy(zero_copy_only=False)) & b.column("row").is_valid().to_numpy(zero_copy_only=False)
-            yield b.filter(pa.array(held == yes))
-
-    return run
+def _later(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows with a key (h, g): the place of each key's first, and the rows that aren't it."""
+    place = F.struct("row", "start")
+    first = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    first = stored(first.select("h", "g", "first", (F.col("first") != F.col("last")).alias("several")), "firsts")
+    return first, found.join(first.where("several").select("h", "g", "first"), ["h", "g"]).where(place != F.col("first")).select("row", "start", "n")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
@@ -160,16 +219,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     log2_cells = int(np.clip(int(4 * n_bytes / WORD_BYTES / per_anchor).bit_length(), 16, LOG2_CELLS))
     parts = named.select("text").mapInArrow(lambda batches: partition_planes(batches, lambda b: _anchor_keys(b.column("text"), window), ROWS, log2_cells), planes_schema())
     sketch = Member(spark.sparkContext.broadcast(merged(parts, "twice", ROWS, log2_cells)), log2_cells)
-    starts = named.mapInArrow(_repeated(window, sketch), "h long, g int, row long, start int")
-    key = F.struct("row", "start")
-    first = starts.groupBy("h", "g").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first != last").select("h", "g", "first")
-    later = starts.join(first, ["h", "g"]).where(key != F.col("first")).select("row", "start")
-    ordered = later.repartition("row").sortWithinPartitions("row", "start")
-    runs = stored(ordered.mapInArrow(_pack, "row long, runs binary"), "runs")
+    found = stored(named.mapInArrow(_repeated(window, sketch), "h long, g int, row long, start int, n int"), "spans")
+    first, whole = _later(found)
+    # filters have four cells or more for each key, as far as 2**LOG2_CELLS goes
+    bits = lambda n: int(np.clip(int(4 * n).bit_length(), 16, LOG2_CELLS))
+    firsts = member_filter(first.select(F.expr("shiftleft(first.row, 24) ^ first.start").alias("place")), bits(first.count()), ROWS)
+    single = stored(named.mapInArrow(_windows(window, sketch, firsts), "h long, g int, row long, start int").withColumn("n", F.lit(1)), "windows")
+    later = whole.unionByName(_later(single)[1])
+    runs = stored(later.repartition("row").sortWithinPartitions("row", "start").mapInArrow(_pack, "row long, runs binary"), "runs")
+    for used in (found, single, first):
+        drop(used)
     # most texts repeat nothing and need no shuffle to meet their runs
-    touched = member_filter(runs.select("row"))
-    alone = rows.mapInArrow(_where(touched, False), "row long, text string").withColumn("runs", F.lit(None).cast("binary"))
-    with_runs = rows.mapInArrow(_where(touched, True), "row long, text string").join(runs, "row", "left").select("row", "text", "runs")
+    touched = member_filter(runs.select("row"), bits(runs.count()), ROWS)
     schema = "row long, n_words long, n_removed long, kept string"
-    out = alone.mapInArrow(_remove(window), schema).unionByName(with_runs.mapInArrow(_remove(window), schema))
+    with_runs = rows.mapInArrow(_touched(touched), "row long, text string").join(runs, "row", "left").select("row", "text", "runs")
+    out = rows.mapInArrow(_remove(window, touched), schema).unionByName(with_runs.mapInArrow(_remove(window), schema))
     return out.withColumnRenamed("row", id_col)
