@@ -31,6 +31,10 @@ from loomgraph.storage import drop, stored
 PARITY_BITS = (128, 1 << 16)
 #: A signature shared by more sets than this is compared in blocks of so many.
 BLOCK = 2048
+#: So many least signatures of a set tell whether it met another before.
+LOW = 64
+#: Signatures whose names a task packs at once, and elements of all sets for each shard of names.
+FLUSH, SHARD_ELEMENTS = 1 << 20, 1 << 18
 _ELEMENT = U((1 << 52) - 1)
 
 
@@ -174,16 +178,75 @@ def _profile(k: int):
     return run
 
 
-def _write_signatures(k: int, percent: int, wanted: Member | None = None):
+def names_of(sig: np.ndarray, shards: int) -> np.ndarray:
+    """A signature's shard (a range of its upper half) above its lowest 40 bits."""
+    return (((sig >> U(32)) * U(shards) >> U(32)) << U(40)) | (sig & U((1 << 40) - 1))
+
+
+def _packed_names(k: int, percent: int, shards: int):
+    """shard, names (5 bytes each) of the signatures of FLUSH at a time, those that two sets of them share written twice.
+
+    However many sets share a signature, no more than two of its names come from one flush."""
+
+    def packed(sig: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(sig)
+        sig, key = sig[order], key[order]
+        begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        several = np.minimum.reduceat(key, begin) != np.maximum.reduceat(key, begin)
+        name = names_of(np.repeat(sig[begin], several + 1), shards)
+        shard = (name >> U(40)).astype(np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+        low = np.ascontiguousarray(name.view(np.uint8).reshape(-1, 8)[:, :5])
+        return pa.RecordBatch.from_arrays([pa.array(shard[cut].astype(np.int32)), pa.array([low[x:y].tobytes() for x, y in zip(cut, np.append(cut[1:], len(low)), strict=True)], pa.binary())], ["shard", "names"])
+
+    def run(batches):
+        sigs, keys, n = [], [], 0
+        for b in batches:
+            for _, _, elements, off in _sets(b.column("text"), k):
+                row, sig = signatures(elements, off, percent)
+                sigs.append(sig)
+                keys.append(_keys(elements, off)[row])
+                n += len(sig)
+                if n >= FLUSH:
+                    yield packed(np.concatenate(sigs), np.concatenate(keys))
+                    sigs, keys, n = [], [], 0
+        if n:
+            yield packed(np.concatenate(sigs), np.concatenate(keys))
+
+    return run
+
+
+def _repeated_names(batches):
+    """The names that occur more than once, from rows sorted by shard. One shard is held at a time."""
+    at, held = None, []
+
+    def out():
+        low = np.zeros((sum(map(len, held)) // 5, 8), np.uint8)
+        low[:, :5] = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 5)
+        name = np.sort(low.view(np.uint64).ravel())
+        again = np.unique(name[1:][name[1:] == name[:-1]])
+        return pa.RecordBatch.from_arrays([pa.array(signed(again | U(at << 40)))], ["name"])
+
+    for b in batches:
+        for shard, names in zip(b.column("shard").to_pylist(), b.column("names").to_pylist(), strict=True):
+            if shard != at:
+                if held:
+                    yield out()
+                at, held = shard, []
+            held.append(names)
+    if held:
+        yield out()
+
+
+def _write_signatures(k: int, percent: int, shards: int, wanted: Member):
+    """sig, key of the signatures whose name the filter holds."""
+
     def run(batches):
         for b in batches:
             for _, _, elements, off in _sets(b.column("text"), k):
                 row, sig = signatures(elements, off, percent)
-                keys = signed(_keys(elements, off))
-                if wanted is not None:
-                    keep = wanted.holds(signed(sig))
-                    row, sig = row[keep], sig[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(keys[row])], ["sig", "key"])
+                keep = wanted.holds_unsigned(names_of(sig, shards))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(sig[keep])), pa.array(signed(_keys(elements, off))[row[keep]])], ["sig", "key"])
 
     return run
 
@@ -240,7 +303,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def _within(percent: int, nearest: bool):
-    """Pairs of different components in each bucket, as the bound allows: the nearest of each set, or all.
+    """Pairs of different components in each bucket, as the bound allows: the nearest of each component, or all.
     `more` tells that the bucket has others."""
 
     def run(batches):
@@ -249,19 +312,31 @@ def _within(percent: int, nearest: bool):
             sketch = np.stack([folded(r["parity"], n_bytes) for r in rows])
             size, comp, side = (np.array([r[c] for r in rows]) for c in ("n", "component", "side"))
             key = [r["key"] for r in rows]
+            # two sets that share an earlier signature meet there; the first that they share is in neither's way
+            earlier = [frozenset(x for x in r["low"] if x < r["sig"]) for r in rows]
             left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
             a, b, more = [], [], False
+            best: dict = {}
             for i in left:
                 other = right[(comp[right] != comp[i]) & ((right > i) | (side[right] == 2))]
                 if not len(other):
                     continue
                 d = np.maximum(np.bitwise_count(sketch[other] ^ sketch[i]).sum(1, dtype=np.int64), np.abs(size[other] - size[i]))
                 ok = np.flatnonzero(d <= most_different(size[other], size[i], percent))
-                if nearest and len(ok) > 1:
-                    ok, more = ok[[int(np.argmin(d[ok]))]], True
+                if nearest and len(ok):
+                    j = ok[int(np.argmin(d[ok]))]
+                    more = more or len(ok) > 1 or comp[i] in best
+                    if comp[i] not in best or d[j] < best[comp[i]][0]:
+                        best[comp[i]] = (d[j], i, other[j])
+                    continue
                 for j in ok:
+                    if not earlier[i].isdisjoint(earlier[other[j]]):
+                        continue
                     a.append(min(key[i], key[other[j]]))
                     b.append(max(key[i], key[other[j]]))
+            for _, i, j in best.values():
+                a.append(min(key[i], key[j]))
+                b.append(max(key[i], key[j]))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([rows[0]["sig"]] * len(a), pa.int64()), pa.array([more] * len(a))], ["a", "b", "sig", "more"])
 
@@ -279,7 +354,8 @@ def _blocks(rows: DataFrame, sketch: DataFrame) -> DataFrame:
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
         "sig", "key", "component",
     )
-    return rows.join(sketch, "key").repartition("bucket").sortWithinPartitions("bucket", "key")
+    low = rows.select("sig", "key").distinct().groupBy("key").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, LOW).alias("low"))
+    return rows.join(sketch.join(low, "key"), "key").repartition("bucket").sortWithinPartitions("bucket", "key")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -312,11 +388,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = real.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("parity").alias("parity"))
 
     named = rows.where("id is not null")
-    raw = named.mapInArrow(_write_signatures(shingle_words, percent), "sig long, key long")
-    shared = stored(raw.groupBy("sig").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot < last").drop("last"), "shared")
-    # written again, but only those that some other set may share
-    again = named.mapInArrow(_write_signatures(shingle_words, percent, member_filter(shared.select("sig"))), "sig long, key long")
-    buckets = stored(again.join(shared, "sig").select("sig", "key", "pivot").distinct(), "buckets")
+    elements = real.agg(F.sum("n")).first()[0] or 0
+    shards = int(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), elements // SHARD_ELEMENTS + 1))
+    packed = named.mapInArrow(_packed_names(shingle_words, percent, shards), "shard int, names binary")
+    repeated = stored(packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_repeated_names, "name long"), "repeated")
+    log2_cells = int(np.clip(int(8 * repeated.count()).bit_length(), 16, 27))
+    # written out are only those that some other set may share
+    again = named.mapInArrow(_write_signatures(shingle_words, percent, shards, member_filter(repeated, log2_cells)), "sig long, key long")
+    written = stored(again, "signatures")
+    shared = written.groupBy("sig").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot < last").drop("last")
+    buckets = stored(written.join(shared, "sig").select("sig", "key", "pivot").distinct(), "buckets")
+    drop(written)
+    drop(repeated)
 
     involved = stored(buckets.select("key").distinct().join(classes, "key"), "involved")
     sketch = involved.select("key", "n", "parity")
