@@ -1,19 +1,304 @@
-"""Every query of the library itself, by name."""
+"""Every query of the library itself, by name, and the SQL that most of them equal.
+
+Graphs come from the tables: the 5-nearest-neighbour graph of the vectors with their first two components as
+layout, the forest of regions, nations and customers, suppliers of parts, and users of consecutive events.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.models import network
+from loomgraph.operators import diffusion, edges, energies, hops, metrics, ranking, spatial
+from loomgraph.operators.components import connected_components
+from loomgraph.sources import graphs
+from loomgraph.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
+def _knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(graphs.knn_graph(_vectors(spark, sf_dir), 5, "vec_id", "embedding"), "knn")
+
+
+def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda i, n: F.get("embedding", F.lit(i)).cast("double").alias(n)
+    return _vectors(spark, sf_dir).select(F.col("vec_id").alias("node"), at(0, "x"), at(1, "y"))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).select(F.col("vec_id").alias("node"), "label")
+
+
+def _first(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(n).select(F.col("id").alias("node"))
+
+
+def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns))
+
+
+KNN = """pairs as (select a.vec_id a, b.vec_id b, row_number() over (partition by a.vec_id order by list_distance(a.embedding::double[], b.embedding::double[]), b.vec_id) k
+  from embeddings a, embeddings b where a.vec_id <> b.vec_id),
+edges as (select distinct least(a, b) src, greatest(a, b) dst from pairs where k <= 5),
+adj as (select src, dst from edges union all select dst, src from edges),
+layout as (select vec_id node, embedding[1]::double x, embedding[2]::double y from embeddings)"""
+HOPS = """reach as (select vec_id source, vec_id node, 0 d from embeddings where vec_id < 20
+  union select r.source, a.dst, r.d + 1 from reach r join adj a on a.src = r.node where r.d < 24),
+hops as (select source, node, min(d) d from reach group by all)"""
+TREE = """tree as (select n_regionkey::bigint + 1 src, n_nationkey::bigint + 100 dst from nation union all select c_nationkey::bigint + 100, c_custkey + 1000 from customer),
+adj as (select src, dst from tree union all select dst, src from tree)"""
+
+
+@query(f"with {KNN} select src, dst from edges")
+def graph_knn(spark, sf_dir):
+    return _knn(spark, sf_dir)
+
+
+@query(f"with {TREE} select src node, count(*) degree from adj group by src")
+def graph_degrees(spark, sf_dir):
+    return edges.degrees(graphs.place_tree(spark, sf_dir))
+
+
+@query("select distinct -l_suppkey - 1 src, l_partkey dst from lineitem")
+def graph_bipartite(spark, sf_dir):
+    return graphs.suppliers_of_parts(spark, sf_dir)
+
+
+@query("""with s as (select user_id, ts, lag(user_id) over (partition by event_type order by ts, event_id) b from events)
+select least(b, user_id) src, greatest(b, user_id) dst, min(ts) "first", count(*) n from s where b <> user_id group by 1, 2""")
+def graph_users_in_turn(spark, sf_dir):
+    return graphs.users_in_turn(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+@query("""select r_regionkey::bigint + 1 node, r_regionkey::bigint + 1 component from region where r_regionkey in (select n_regionkey from nation)
+union all select n_nationkey::bigint + 100, n_regionkey::bigint + 1 from nation
+union all select c_custkey + 1000, n_regionkey::bigint + 1 from customer join nation on c_nationkey = n_nationkey""")
+def graph_components(spark, sf_dir):
+    return connected_components(graphs.place_tree(spark, sf_dir))
+
+
+@query(f"""with {TREE}, regions as (select n_regionkey, count(distinct n_nationkey) + count(c_custkey) n from nation left join customer on c_nationkey = n_nationkey group by 1),
+best as (select n_regionkey r from regions order by n desc, r limit 1)
+select r::bigint + 1 node from best union all select n_nationkey::bigint + 100 from nation join best on n_regionkey = r
+union all select c_custkey + 1000 from customer join nation on c_nationkey = n_nationkey join best on n_regionkey = r""")
+def graph_largest_component(spark, sf_dir):
+    return edges.largest_component(graphs.place_tree(spark, sf_dir))
+
+
+@query(f"""with {TREE}, near as (select src node, list(dst order by dst) n from adj group by src), g as (select n, min(node) g, count(*) c from near group by n)
+select node, 'open' kind, g "group" from near join g using (n) where c > 1""")
+def graph_twins(spark, sf_dir):
+    return edges.twins(graphs.place_tree(spark, sf_dir)).where("kind = 'open'")
+
+
+@query(f"""with {KNN} select l.src a, r.dst b, count(*) common from adj l join adj r on l.dst = r.src
+where l.src < r.dst and not exists (select 1 from edges e where e.src = l.src and e.dst = r.dst) group by 1, 2""")
+def graph_two_hop_pairs(spark, sf_dir):
+    return edges.two_hop_pairs(_knn(spark, sf_dir))
+
+
+@query(f"""with {KNN}, one as (select vec_id node from embeddings where vec_id < 3), two as (select node from one union select dst from adj join one on src = node)
+select node from two union select dst from adj join two on src = node""")
+def graph_ball(spark, sf_dir):
+    return edges.ball(_knn(spark, sf_dir), _first(spark, 3), 2)
+
+
+@query(f"with recursive {KNN}, {HOPS} select source, node, d from hops")
+def graph_hops(spark, sf_dir):
+    return hops.hop_distances(_knn(spark, sf_dir), _first(spark, 20))
+
+
+@query(f"""with recursive {KNN}, {HOPS} select x.node a, y.node b, max(abs(x.d - y.d))::int bound from hops x join hops y on x.source = y.source
+where x.source < 8 and x.node < 10 and y.node >= 10 group by 1, 2""")
+def graph_lower_bounds(spark, sf_dir):
+    g = _knn(spark, sf_dir)
+    ordinals = spark.range(8).select(F.col("id").alias("source"), F.col("id").cast("int").alias("ordinal"))
+    columns = stored(hops.pivot_columns(hops.hop_distances(g, _first(spark, 8)), ordinals), "columns")
+    pairs = columns.where("node < 10").select(F.col("node").alias("a")).join(columns.where("node >= 10").select(F.col("node").alias("b")))
+    return hops.lower_bounds(pairs, columns)  # ten nodes against all
+
+
+@query(f"""with {KNN}, deg as (select src, count(*) n from adj group by src), w as (select a.src, a.dst, 1 / sqrt((s.n * d.n)::double) w from adj a join deg s on s.src = a.src join deg d on d.src = a.dst),
+p0 as (select vec_id k, vec_id node, 1.0::double p from embeddings where vec_id < 8),
+p1 as (select k, dst node, sum(w * p) p from p0 join w on src = node group by 1, 2), p2 as (select k, dst node, sum(w * p) p from p1 join w on src = node group by 1, 2),
+p3 as (select k, dst node, sum(w * p) p from p2 join w on src = node group by 1, 2), p4 as (select k, dst node, sum(w * p) p from p3 join w on src = node group by 1, 2),
+every as (select k, node, .05 * p p from p0 union all select k, node, .05 * .95 * p from p1 union all select k, node, .05 * .95 ** 2 * p from p2 union all select k, node, .05 * .95 ** 3 * p from p3 union all select k, node, .05 * .95 ** 4 * p from p4)
+select k landmark, node, round(sum(p), 9) p from every group by 1, 2""")
+def features_diffusion(spark, sf_dir):
+    return _rounded(diffusion.diffusion(_knn(spark, sf_dir), _first(spark, 8), 0.05, 4), "p", digits=9)
+
+
+@query(f"""with recursive {KNN}, {HOPS}, r as (select sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / d r from hops join layout a on a.node = source join layout b on b.node = hops.node where d > 0)
+select round(1 - sum(r) ** 2 / (count(*) * sum(r * r)), 6) stress, round(sum(r) / sum(r * r), 6) scale, count(*) n_pairs from r""")
+def score_stress(spark, sf_dir):
+    far = hops.hop_distances(_knn(spark, sf_dir), _first(spark, 20))
+    return _rounded(metrics.stress(far, _layout(spark, sf_dir), pairs_once=False), "stress", "scale")
+
+
+@query(f"""with {KNN}, deg as (select src a, count(*) n from adj group by src),
+near as (select p.node a, q.node b, row_number() over (partition by p.node order by sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)), q.node) k from layout p, layout q where p.node <> q.node),
+h as (select count(*) h from near join deg using (a) join adj on adj.src = a and adj.dst = b where k <= n), t as (select sum(n) n from deg)
+select round(h / (2 * n - h), 6) np_jaccard, round(h / n, 6) knn_recall from h, t""")
+def score_neighbours(spark, sf_dir):
+    return _rounded(metrics.neighbour_scores(_knn(spark, sf_dir), _layout(spark, sf_dir)), "np_jaccard", "knn_recall")
+
+
+@query(f"""with {KNN}, s as (select row_number() over (order by src, dst) i, src, dst, a.x x1, a.y y1, b.x x2, b.y y2 from edges join layout a on a.node = src join layout b on b.node = dst)
+select count(*) crossings from s a, s b where a.i < b.i and a.src <> b.src and a.src <> b.dst and a.dst <> b.src and a.dst <> b.dst
+and ((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1) > 0) <> ((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1) > 0)
+and ((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1) > 0) <> ((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1) > 0)""")
+def score_crossings(spark, sf_dir):
+    return metrics.crossing_scores(_knn(spark, sf_dir), _layout(spark, sf_dir)).select("crossings")
+
+
+@query(f"""with {KNN}, l as (select sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) l from edges join layout a on a.node = src join layout b on b.node = dst)
+select round(stddev_pop(l) / (avg(l) + 1e-9), 6) edge_cov, round(avg(l), 6) mean_length from l""")
+def score_edge_lengths(spark, sf_dir):
+    return _rounded(metrics.edge_length_variation(_knn(spark, sf_dir), _layout(spark, sf_dir)), "edge_cov", "mean_length")
+
+
+@query(f"""with {KNN}, near as (select p.node a, q.node b, row_number() over (partition by p.node order by sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)), q.node) k from layout p, layout q where p.node <> q.node)
+select round(avg((la.label = lb.label)::int), 6) purity from near join embeddings la on la.vec_id = a join embeddings lb on lb.vec_id = b where k <= 10""")
+def score_purity(spark, sf_dir):
+    return _rounded(metrics.label_purity(_layout(spark, sf_dir), _labels(spark, sf_dir)), "purity")
+
+
+@query("""with p as (select vec_id n, label l, embedding[1]::double x, embedding[2]::double y, count(*) over (partition by label) m from embeddings),
+s as (select a.n, a.l la, b.l lb, any_value(a.m) ma, any_value(b.m) mb, sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) s from p a, p b where a.m > 1 and b.m > 1 group by 1, 2, 3),
+e as (select n, max(case when la = lb then s / (ma - 1) end) own, min(case when la <> lb then s / mb end) other from s group by n)
+select round(avg((other - own) / greatest(own, other)), 6) silhouette from e""")
+def score_silhouette(spark, sf_dir):
+    return _rounded(metrics.silhouette(_layout(spark, sf_dir), _labels(spark, sf_dir)), "silhouette")
+
+
+@query(f"""with {KNN}, s as (select src, dst, a.x x1, a.y y1, b.x - a.x ux, b.y - a.y uy from edges join layout a on a.node = src join layout b on b.node = dst),
+t as (select node, x, y, x1, y1, ux, uy, least(greatest(((x - x1) * ux + (y - y1) * uy) / greatest(ux * ux + uy * uy, 1e-12), 0), 1) t from layout, s where node <> src and node <> dst)
+select node, round(min(sqrt((x - x1 - t * ux) ** 2 + (y - y1 - t * uy) ** 2)), 6) clearance from t group by node""")
+def score_clearance(spark, sf_dir):
+    return _rounded(spatial.clearances(_knn(spark, sf_dir), _layout(spark, sf_dir)).select("node", "clearance"), "clearance")
+
+
+@query("""with p as (select vec_id n, embedding[1]::double x, embedding[2]::double y from embeddings)
+select a.n a, b.n b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) d from p a, p b where a.n < b.n and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < .1""")
+def join_range(spark, sf_dir):
+    at = _layout(spark, sf_dir)
+    return _rounded(spatial.range_join(at, at, 0.1).where("a < b"), "d")
+
+
+@query("""with p as (select vec_id node, embedding[1]::double x, embedding[2]::double y from embeddings), c as (select avg(x) mx, avg(y) my, avg(x * x + y * y) q from p)
+select node, round((x - mx) / sqrt(q - mx * mx - my * my), 6) x, round((y - my) / sqrt(q - mx * mx - my * my), 6) y from p, c""")
+def layout_framed(spark, sf_dir):
+    return _rounded(metrics.framed(_layout(spark, sf_dir)), "x", "y")
+
+
+@query(f"""with recursive {KNN}, {HOPS}, r as (select hops.node, 1.0 / (d * d) w, a.x + d / greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 1e-9) * (b.x - a.x) tx,
+  a.y + d / greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 1e-9) * (b.y - a.y) ty from hops join layout a on a.node = source join layout b on b.node = hops.node where d > 0)
+select node, round(sum(w * tx) / sum(w), 6) x, round(sum(w * ty) / sum(w), 6) y from r group by node""")
+def layout_majorised(spark, sf_dir):
+    far = hops.hop_distances(_knn(spark, sf_dir), _first(spark, 20))
+    return _rounded(energies.majorised(far, _layout(spark, sf_dir)), "x", "y")
+
+
+@query(f"""with {KNN}, b as (select min(x) lx, min(y) ly, greatest(max(x) - min(x), max(y) - min(y), 1e-12) s from layout)
+select least(floor((x - lx) / s * 16), 15)::int px, least(floor((y - ly) / s * 16), 15)::int py, count(*) n from layout, b group by 1, 2""")
+def layout_raster(spark, sf_dir):
+    return spatial.points_raster(_layout(spark, sf_dir), 16)
+
+
+@query("""select o_orderpriority graph, o_orderstatus "method", round(avg(o_totalprice), 4) mean, round(coalesce(stddev_samp(o_totalprice), 0), 4) sd, count(o_totalprice) seeds from orders group by 1, 2""")
+def table_cells(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return _rounded(ranking.cells(orders.select(F.col("o_orderpriority").alias("graph"), F.col("o_orderstatus").alias("method"), F.col("o_totalprice").alias("value"))), "mean", "sd", digits=4)
+
+
+RANKS = """v as (select o_orderpriority graph, l_returnflag "method", round(avg(l_quantity), 6) v from orders join lineitem on l_orderkey = o_orderkey group by 1, 2),
+r as (select graph, "method", rank() over (partition by graph order by v) + (count(*) over (partition by graph, v) - 1) / 2.0 "rank" from v)"""
+
+
+def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    rows = orders.join(lines, orders.o_orderkey == lines.l_orderkey).groupBy(F.col("o_orderpriority").alias("graph"), F.col("l_returnflag").alias("method"))
+    return ranking.mean_ranks(rows.agg(F.round(F.avg("l_quantity"), 6).alias("value")))
+
+
+@query(f"""with {RANKS} select graph, "method", "rank"::double "rank" from r""")
+def table_ranks(spark, sf_dir):
+    return _ranks(spark, sf_dir).withColumn("rank", F.col("rank").cast("double"))
+
+
+@query(f"""with {RANKS}, t as (select graph, "rank", count(*) t from r group by 1, 2), u as (select sum(t ** 3 - t) ties from t),
+m as (select "method", sum("rank") s, count(*) n from r group by 1), q as (select sum(s * s) q, count(*) k, max(n) n from m)
+select round((12.0 / (n * k * (k + 1)) * q - 3 * n * (k + 1)) / (1 - ties / (n * (k ** 3 - k))), 6)::double statistic, n, k from q, u""")
+def table_friedman(spark, sf_dir):
+    return _rounded(ranking.friedman(_ranks(spark, sf_dir)).select(F.col("statistic").cast("double").alias("statistic"), "n", "k"), "statistic")
+
+
+def _features(spark: SparkSession, sf_dir: str, g: DataFrame) -> DataFrame:
+    marks = _first(spark, 16)
+    table = diffusion.feature_table(diffusion.diffusion(g, marks, 0.05, 8), _layout(spark, sf_dir).select("node"), marks)
+    return stored(diffusion.standard_features(table, diffusion.moments(table), tie_dim=2), "features")
+
+
+def _fitted(spark: SparkSession, sf_dir: str, energy: str) -> tuple:
+    g = _knn(spark, sf_dir)
+    table, far = _features(spark, sf_dir, g), stored(hops.hop_distances(g, _first(spark, 16)), "hops")
+    return g, table, far, network.fit(table, far, g, energy)
+
+
+@query()
+def fit_pivot_stress(spark, sf_dir):
+    """Places by a network fitted to pivot stress."""
+    _, table, _, fitted = _fitted(spark, sf_dir, "pivot")
+    return network.place(table, fitted)
+
+
+@query()
+def fit_neighbour_embedding(spark, sf_dir):
+    _, table, _, fitted = _fitted(spark, sf_dir, "neighbour")
+    return network.place(table, fitted)
+
+
+@query()
+def fit_blend(spark, sf_dir):
+    """Places between the two energies, for three values of lambda."""
+    _, table, _, fitted = _fitted(spark, sf_dir, "blend")
+    return network.family(table, fitted, [0.0, 0.5, 1.0])
+
+
+@query()
+def fit_majorised_stress(spark, sf_dir):
+    """Five rounds of majorisation against the hops from 20 nodes."""
+    return network.stress_layout(hops.hop_distances(_knn(spark, sf_dir), _first(spark, 20)), _layout(spark, sf_dir), 5)
+
+
+@query()
+def graph_farthest_pivots(spark, sf_dir):
+    g = _knn(spark, sf_dir)
+    return hops.farthest_pivots(g, edges.nodes_of(g), 4, 0)
+
+
+FLAGSHIP = score_neighbours
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
