@@ -19,12 +19,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str
     """Texts, labels and ids of at most `most` labelled documents that aren't held out, by hash of the id.
 
     Only this bounded sample is gathered, and only to fit; every document is scored. Of documents
-    with equal texts one teaches."""
+    with equal texts that with the smallest id teaches, of several labels of one document the largest."""
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(id_col)))
-    chosen = chosen.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("label")).dropDuplicates(["id"])
+    chosen = chosen.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("label")).groupBy("id").agg(F.max("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "label", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["text"]).collect()
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "label", F.coalesce("text", F.lit("")).alias("text")).groupBy("text").agg(F.min_by("label", "id").alias("label"), F.min("id").alias("id")).collect()
     rows = sorted(rows, key=lambda r: (r.id, r.text))
     return [r.text for r in rows], np.array([r.label for r in rows], np.float64), np.array([r.id for r in rows], np.int64)
 

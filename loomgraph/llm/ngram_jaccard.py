@@ -34,7 +34,7 @@ BLOCK = 2048
 #: So many least signatures of a set tell whether it met another before.
 LOW = 64
 #: Signatures whose names a task packs at once, and elements of all sets for each shard of names.
-FLUSH, SHARD_ELEMENTS = 1 << 20, 1 << 18
+FLUSH, SHARD_ELEMENTS = 1 << 18, 1 << 18
 _ELEMENT = U((1 << 52) - 1)
 
 
