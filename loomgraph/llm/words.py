@@ -112,6 +112,8 @@ def slices(col: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, n
         to = max(row + 1, int(np.searchsorted(off, off[row] + size, "right")) - 1)
         yield row, to, data[off[row] : off[to]], off[row : to + 1] - off[row]
         row = to
+    # a worker outlives its task, and Arrow would keep what earlier batches needed
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(buf: np.ndarray, off: np.ndarray, separator: np.ndarray = _SPACE) -> Words:
