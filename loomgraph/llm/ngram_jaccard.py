@@ -228,14 +228,16 @@ def _repeated_names(batches):
         return pa.RecordBatch.from_arrays([pa.array(signed(again | U(at << 40)))], ["name"])
 
     for b in batches:
-        for shard, names in zip(b.column("shard").to_pylist(), b.column("names").to_pylist(), strict=True):
+        names = b.column("names")
+        for i, shard in enumerate(b.column("shard").to_pylist()):
             if shard != at:
                 if held:
                     yield out()
                 at, held = shard, []
-            held.append(names)
+            held.append(names[i].as_py())
     if held:
         yield out()
+    pa.default_memory_pool().release_unused()
 
 
 def _write_signatures(k: int, percent: int, shards: int, wanted: Member):

@@ -109,8 +109,9 @@ def clause_weights(symbols: list[int], weights: list[float]) -> list[float]:
 
 
 def word_slices(text: pa.Array):
-    for row, to, buf, off in slices(pc.utf8_lower(text.cast(pa.large_string()).fill_null(""))):
-        yield row, to, words_of(buf, off, _SEPARATOR)
+    for at in range(0, len(text), 1024):  # lower-cased a part at a time
+        for row, to, buf, off in slices(pc.utf8_lower(text.slice(at, 1024).cast(pa.large_string()).fill_null(""))):
+            yield at + row, at + to, words_of(buf, off, _SEPARATOR)
 
 
 def _named(words: list[str]) -> np.ndarray:
