@@ -14,6 +14,13 @@ from loomgraph.storage import new_path, stored
 
 #: Learned scores, random rounding and a file format have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
+#: A row's own number within a stage: ids may be null or repeat.
+ROW = "_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with ROW, written out so that a number stays with its row."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,12 +29,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles with a similarity of 0.8 or more, that with the smallest id stays.
+    """Of documents linked by five-word shingles with a similarity of 0.8 or more, one with the smallest id stays.
 
+    Rows are linked by their own numbers, so repeats of a row go and rows of one id with other texts are judged apart.
     Rows without an id stay, for they link with nothing."""
-    found = ngram_jaccard_join(docs)
-    gone = stored(found.where("component_id != doc_id").select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = _numbered(docs)
+    found = ngram_jaccard_join(rows.where("doc_id is not null"), ROW).select(ROW, "component_id")
+    member = stored(rows.select(ROW, "doc_id").join(found, ROW), "members")
+    first = member.groupBy("component_id").agg(F.min(F.struct("doc_id", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    gone = stored(member.select(ROW).join(first, ROW, "left_anti"), "copies")
+    return rows.join(gone, ROW, "left_anti").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +47,14 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, all columns kept."""
-    copies = stored(pivotal_mix(docs).where("copies > 0").select("doc_id", "copies"), "copies")
-    # rows of one id share its copies: ids are distinct after the stage before
-    joined = docs.join(copies, docs.doc_id.eqNullSafe(copies.doc_id)).drop(copies.doc_id)
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    """Each row as often as the mix takes it, all columns kept.
+
+    Draws follow from ids and texts, copies are counted by row number."""
+    rows = _numbered(docs)
+    mixed = pivotal_mix(rows.withColumn("_draw", F.xxhash64("doc_id", "text")), "_draw", key_col=ROW)
+    copies = stored(mixed.where("copies > 0").select(ROW, F.col("copies").cast("int").alias("_copies")), "copies")
+    joined = rows.join(copies, ROW)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

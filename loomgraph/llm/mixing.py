@@ -145,15 +145,16 @@ def _round_group(seed: int, last: bool):
     return run
 
 
-def pivotal_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
+def pivotal_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, key_col: str | None = None) -> DataFrame:
     """One row for each row of docs: id, source, size (words), source_size, target (its source's), copies, taken.
 
     taken is copies * size. Size counts runs of other than ASCII white space; a null or empty text has size
     0 and takes nothing, and a source of only such texts has target 0. Null ids and repeated rows are rows like any others.
-    Reruns over the same rows agree. Extra columns of docs are not read.
+    Reruns over the same rows agree. Extra columns of docs are not read, but key_col is carried along.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    sized = stored(with_size(rows, "text", "size").select("id", "source", "size"), "sizes")
+    key = ["key"] if key_col else []
+    rows = docs.select(F.col(id_col).alias("id"), *(F.col(key_col).alias(k) for k in key), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    sized = stored(with_size(rows, "text", "size").select("id", *key, "source", "size"), "sizes")
     targets = source_targets(sized)
     counts = sized.groupBy("source").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
     per_source = stored(targets.join(counts, targets.source.eqNullSafe(counts.source)).drop(counts.source), "targets")
@@ -163,7 +164,7 @@ def pivotal_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # copies that are whole but for rounding errors are whole
     joined = joined.withColumn("ratio", F.when(F.abs(ratio - F.round(ratio)) < 1e-12, F.round(ratio)).otherwise(ratio))
     state = joined.select(
-        "id", "source", "size", "source_size", "target", "chunks",
+        "id", *key, "source", "size", "source_size", "target", "chunks",
         F.floor("ratio").cast("long").alias("whole"),
         ((F.col("ratio") - F.floor("ratio")) * F.col("size")).alias("mass"),
         F.pmod(F.xxhash64("id", "size"), F.col("chunks")).alias("chunk"),
@@ -181,9 +182,9 @@ def pivotal_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         level += 1
         most = -(-most // FAN_IN)
         chunks = F.ceil(F.col("chunks") / FAN_IN).cast("long")
-        state = state.where("open").select("id", "source", "size", "source_size", "target", chunks.alias("chunks"), "whole", "mass", F.expr(f"chunk div {FAN_IN}").alias("chunk"), F.lit(level).alias("level"), "open")
+        state = state.where("open").select("id", *key, "source", "size", "source_size", "target", chunks.alias("chunks"), "whole", "mass", F.expr(f"chunk div {FAN_IN}").alias("chunk"), F.lit(level).alias("level"), "open")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     copies = F.col("whole") + F.when((F.col("size") > 0) & (F.col("mass") >= F.col("size")), 1).otherwise(0)
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), *(F.col(k).alias(key_col) for k in key), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

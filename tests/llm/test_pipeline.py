@@ -1,5 +1,7 @@
 """Each stage of the pipeline on its own input against a plain definition."""
 
+from collections import Counter
+
 import corpus_pipeline
 from loomgraph.llm.toxicity import toxicity
 from test_leaks_vectors import brute_leaks
@@ -39,3 +41,24 @@ def test_stages_on_an_empty_table(spark, sf, tables):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, sf), "stage")
         assert docs.count() == 0
+
+
+def test_rows_without_an_id_of_their_own(spark, sf):
+    """Null ids, exact repeats, and an id with two texts: stages go by rows."""
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(20))
+    rows = [(None, text(i), "a") for i in range(40)] + [(None, text(0), "a")]
+    rows += [(1, text(50), "a"), (2, text(51), "a"), (2, text(51), "a"), (2, text(50), "b"), (3, text(51), "b"), (4, text(52), "b"), (4, text(53), "b"), (5, "", "a"), (5, "", "a")]
+    docs = stored(spark.createDataFrame(rows, "doc_id long, text string, source string"), "stage")
+    kept = stored(corpus_pipeline.one_of_each_group(spark, docs, sf), "stage")
+    plain = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    want = [(i, t) for i, t, _ in rows if i is None] + [(1, text(50)), (2, text(51)), (4, text(52)), (4, text(53)), (5, ""), (5, "")]
+    assert plain(kept) == sorted(want, key=str)
+    docs = stored(docs.union(docs), "stage")
+    have, taken = Counter(plain(docs)), Counter(plain(corpus_pipeline.mix_sources(spark, docs, sf)))
+    assert set(taken) <= set(have) and all(n <= 3 * have[r] for r, n in taken.items())
+    sizes, words = Counter(), Counter()
+    source = {(i, t): s for i, t, s in rows}
+    for count, of in ((sizes, have), (words, taken)):
+        for r, n in of.items():
+            count[source[r]] += n * len(r[1].split())
+    assert all(abs(words[s] - t) <= 20 for s, t in brute_targets(sizes).items())
