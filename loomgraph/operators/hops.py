@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.components import connected_components
 from loomgraph.operators.edges import adjacency
 from loomgraph.storage import stored
 
@@ -35,7 +36,7 @@ def hop_distances(edges: DataFrame, sources: DataFrame, most: int | None = None)
 
 def farthest_pivots(edges: DataFrame, nodes: DataFrame, n: int, first: int) -> DataFrame:
     """pivot, ordinal, node, d: pivots chosen one by one as the node farthest from those chosen (the smallest id of
-    equals), each with its hop column. Stops early when every node is a pivot."""
+    equals; a node that none reaches is farther than any other), each with its hop column. Stops early when every node is a pivot."""
     columns, least, pivot = None, nodes.select("node").withColumn("least", F.lit(None).cast("int")), first
     for k in range(n):
         own = hop_distances(edges, edges.sparkSession.createDataFrame([(pivot,)], "node long")).select("node", "d")
@@ -43,7 +44,8 @@ def farthest_pivots(edges: DataFrame, nodes: DataFrame, n: int, first: int) -> D
         out = own.select(F.lit(pivot).alias("pivot"), F.lit(k).alias("ordinal"), "node", "d")
         columns = out if columns is None else columns.union(out)
         least = stored(least.join(own, "node", "left").select("node", F.least("least", "d").alias("least")), "least")
-        top = least.agg(F.max_by("node", F.struct("least", -F.col("node"))).alias("node"), F.max("least").alias("d")).first()
+        far = F.struct(F.col("least").isNull(), "least", -F.col("node"))
+        top = least.agg(F.max_by("node", far).alias("node"), F.max_by(F.coalesce("least", F.lit(1)), far).alias("d")).first()
         if not top.d:
             break
         pivot = top.node
@@ -55,6 +57,15 @@ def hashed_pivots(nodes: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return nodes.select("node").orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(n)
 
 
+def component_pivots(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n nodes of the graph by hash order, and the first by it of each component that holds none of them."""
+    found = stored(connected_components(edges), "components")
+    chosen = stored(hashed_pivots(found, n, seed), "pivots")
+    met = found.join(chosen, "node", "left_semi").select("component").distinct()
+    others = found.join(met, "component", "left_anti").groupBy("component").agg(F.min_by("node", F.struct(F.xxhash64(F.lit(seed), "node"), "node")).alias("node"))
+    return stored(chosen.union(others.select("node")), "pivots")
+
+
 def pivot_columns(hops: DataFrame, ordinals: DataFrame) -> DataFrame:
     """node, hops: the distances to the pivots (source, ordinal) in their order; null where there is no path."""
     n = ordinals.count()

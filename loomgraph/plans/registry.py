@@ -252,15 +252,24 @@ def table_friedman(spark, sf_dir):
     return _rounded(ranking.friedman(_ranks(spark, sf_dir)).select(F.col("statistic").cast("double").alias("statistic"), "n", "k"), "statistic")
 
 
+#: As many landmarks and pivots as the reference takes, where the graph has as many nodes.
+LANDMARKS, PIVOTS, FARTHEST = 64, 400, 16
+
+
+def _sources(g: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """At most so many nodes of the whole graph, drawn by hash, and one of each component without any."""
+    return hops.component_pivots(g, max(1, min(most, edges.nodes_of(g).count() - 1)), seed)
+
+
 def _features(spark: SparkSession, sf_dir: str, g: DataFrame) -> DataFrame:
-    marks = _first(spark, 16)
-    table = diffusion.feature_table(diffusion.diffusion(g, marks, 0.05, 8), _layout(spark, sf_dir).select("node"), marks)
+    marks = _sources(g, LANDMARKS)
+    table = diffusion.feature_table(diffusion.diffusion(g, marks), _layout(spark, sf_dir).select("node"), marks)
     return stored(diffusion.standard_features(table, diffusion.moments(table), tie_dim=2), "features")
 
 
 def _fitted(spark: SparkSession, sf_dir: str, energy: str) -> tuple:
     g = _knn(spark, sf_dir)
-    table, far = _features(spark, sf_dir, g), stored(hops.hop_distances(g, _first(spark, 16)), "hops")
+    table, far = _features(spark, sf_dir, g), stored(hops.hop_distances(g, _sources(g, PIVOTS)), "hops")
     return g, table, far, network.fit(table, far, g, energy)
 
 
@@ -286,14 +295,16 @@ def fit_blend(spark, sf_dir):
 
 @query()
 def fit_majorised_stress(spark, sf_dir):
-    """Five rounds of majorisation against the hops from 20 nodes."""
-    return network.stress_layout(hops.hop_distances(_knn(spark, sf_dir), _first(spark, 20)), _layout(spark, sf_dir), 5)
+    """Majorisation against the hops from nodes of every component."""
+    g = _knn(spark, sf_dir)
+    return network.stress_layout(stored(hops.hop_distances(g, _sources(g, PIVOTS)), "hops"), _layout(spark, sf_dir))
 
 
 @query()
 def graph_farthest_pivots(spark, sf_dir):
     g = _knn(spark, sf_dir)
-    return hops.farthest_pivots(g, edges.nodes_of(g), 4, 0)
+    first = hops.hashed_pivots(edges.nodes_of(g), 1).first()
+    return hops.farthest_pivots(g, edges.nodes_of(g), FARTHEST, first.node if first else 0)
 
 
 FLAGSHIP = score_neighbours
