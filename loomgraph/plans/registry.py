@@ -110,6 +110,13 @@ def graph_twins(spark, sf_dir):
     return edges.twins(graphs.place_tree(spark, sf_dir)).where("kind = 'open'")
 
 
+@query(f"""with {KNN}, both_kinds as (select 'open' kind, src node, dst from adj union all select 'closed', src, dst from adj union all select distinct 'closed', src, src from adj),
+near as (select kind, node, list(dst order by dst) n from both_kinds group by 1, 2), g as (select kind, n, min(node) g, count(*) c from near group by 1, 2)
+select node, kind, g "group" from near join g using (kind, n) where c > 1""")
+def graph_twins_knn(spark, sf_dir):
+    return edges.twins(_knn(spark, sf_dir))
+
+
 @query(f"""with {KNN} select l.src a, r.dst b, count(*) common from adj l join adj r on l.dst = r.src
 where l.src < r.dst and not exists (select 1 from edges e where e.src = l.src and e.dst = r.dst) group by 1, 2""")
 def graph_two_hop_pairs(spark, sf_dir):

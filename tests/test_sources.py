@@ -1,4 +1,4 @@
-"""Queries on a nearest-neighbour graph of two far clusters: no node is lost."""
+"""Queries on nearest-neighbour graphs in pieces: no node and no kind is lost."""
 
 import numpy as np
 import pytest
@@ -32,3 +32,11 @@ def test_features_tell_nodes_of_every_component_apart(spark, clusters):
 def test_farthest_pivots_reach_every_component(spark, clusters):
     rows = registry.QUERIES["graph_farthest_pivots"](spark, clusters).collect()
     assert {r.node for r in rows} == set(range(60)) and len({r.pivot for r in rows}) == 16
+
+
+def test_twins_of_both_kinds(spark, tmp_path):
+    """Six equal vectors are neighbours of one another, so all are closed twins."""
+    rows = [(i, [float(i // 6 * 100)] * 4, 0) for i in range(12)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {(r.node, r.kind, r.group) for r in registry.QUERIES["graph_twins_knn"](spark, str(tmp_path)).collect()}
+    assert found == {(i, "closed", i // 6 * 6) for i in range(12)}
