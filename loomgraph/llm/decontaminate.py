@@ -15,6 +15,7 @@ The benchmark is cut into blocks of items of bounded size, each broadcast on its
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 import numpy as np
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.words import U, mix, signed, slices, words_of
+from loomgraph.llm.worker import kept, tidy
 from loomgraph.storage import stored
 
 SHINGLE = 5
@@ -212,7 +214,7 @@ def item_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     """A broadcast index for each block of items. Items without words are left out."""
     spark = benchmark.sparkSession
     rows = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text"))
-    items = stored(rows.mapInArrow(_items, "item long, n_words long, shingles array<long>").where("n_words > 0"), "items")
+    items = stored(rows.mapInArrow(tidy(_items), "item long, n_words long, shingles array<long>").where("n_words > 0"), "items")
     n, total = items.agg(F.count("*"), F.sum("n_words")).first()
     each = items.select("item", "n_words", F.explode("shingles").alias("shingle"))
     weight = each.groupBy("shingle").agg((1 + F.log(F.lit(float(n or 1)) / F.count("*"))).alias("weight"))
@@ -227,15 +229,9 @@ def item_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     return out
 
 
-_made: dict[int, ItemIndex] = {}
-
-
-def _index(shared) -> ItemIndex:
-    key = id(shared.value)
-    if key not in _made:
-        _made.clear()
-        _made[key] = ItemIndex(*shared.value)
-    return _made[key]
+def _index(shared, number: str) -> ItemIndex:
+    """The index of a block of items, built once for each worker and stage."""
+    return kept(("items", number), lambda: ItemIndex(*shared.value))
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,10 +245,11 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"{id_col} {rows.schema['id'].dataType.simpleString()}, item_id long, start long, n_words long, similarity double, distance int"
 
-    def run_with(shared):
+    def run_with(shared, number):
         def run(batches):
             for b in batches:
-                index, out = _index(shared), list(text_leaks(b.column("text"), _index(shared)))
+                index = _index(shared, number)
+                out = list(text_leaks(b.column("text"), index))
                 if out:
                     row, item, start, similarity, distance = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays(
@@ -264,23 +261,25 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
     out = docs.sparkSession.createDataFrame([], schema)
     for shared in item_indexes(benchmark):
-        out = out.unionByName(rows.mapInArrow(run_with(shared), schema))
+        number = uuid.uuid4().hex
+        out = out.unionByName(rows.mapInArrow(tidy(run_with(shared, number)), schema))
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns; no shuffle."""
 
-    def run_with(shared):
+    def run_with(shared, number):
         def run(batches):
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                for row, *_ in text_leaks(b.column(text_col), _index(shared)):
+                for row, *_ in text_leaks(b.column(text_col), _index(shared, number)):
                     keep[row] = False
                 yield b.filter(pa.array(keep))
 
         return run
 
     for shared in item_indexes(benchmark):
-        docs = docs.mapInArrow(run_with(shared), docs.schema)
+        number = uuid.uuid4().hex
+        docs = docs.mapInArrow(tidy(run_with(shared, number)), docs.schema)
     return docs

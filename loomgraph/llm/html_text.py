@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomgraph.llm.words import column_words
+from loomgraph.llm.worker import tidy
 
 #: Fixed tag lists.
 BLOCK_TAGS = frozenset("p div li ul ol h1 h2 h3 h4 h5 h6 article section main nav header footer aside form table thead tbody tfoot tr td th blockquote pre figure figcaption dl dt dd body html head title fieldset address details summary hr select option button label legend center menu dialog caption".split())
@@ -385,4 +386,4 @@ def main_text(pages: DataFrame, html_col: str = "html", out: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(texts, pa.string())], [*(f.name for f in kept), out])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out}` string"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

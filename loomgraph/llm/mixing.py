@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm.words import column_words
+from loomgraph.llm.worker import tidy
 from loomgraph.storage import stored
 
 CHUNK = 4096
@@ -37,7 +38,7 @@ def with_size(rows: DataFrame, text_col: str, out: str) -> DataFrame:
                 size[row:to] = words.counts()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(size)], [*b.schema.names, out])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES) -> DataFrame:

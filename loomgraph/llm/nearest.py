@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.words import U, mix, signed
+from loomgraph.llm.worker import tidy
 from loomgraph.storage import stored
 
 SAMPLE = 4096
@@ -214,7 +215,7 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     distinct = stored(_first_of_equals(rows, nearest + 1), "vectors")
     queries = rows.where(F.pmod("id", F.lit(query_every)) == 0)
     layout = f"bucket long, id long, v {kind}"
-    found = _scanned(stored(distinct.mapInArrow(_index(h, dim), layout), "index"), stored(queries.mapInArrow(_probe(h, dim), layout), "probes"), nearest)
+    found = _scanned(stored(distinct.mapInArrow(tidy(_index(h, dim)), layout), "index"), stored(queries.mapInArrow(tidy(_probe(h, dim)), layout), "probes"), nearest)
     ranked = stored(_ranked(found, nearest), "ranked")
     # a query whose buckets hold too few rows is scanned against all of them
     full = ranked.where(F.col("rank") == min(nearest, n - 1)).select(F.col("query_id").alias("id"))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.sketch import Member, member_filter
 from loomgraph.llm.words import U, column_words, mix, signed
+from loomgraph.llm.worker import tidy
 from loomgraph.operators.components import connected_components
 from loomgraph.storage import drop, stored
 
@@ -237,7 +238,6 @@ def _repeated_names(batches):
             held.append(names[i].as_py())
     if held:
         yield out()
-    pa.default_memory_pool().release_unused()
 
 
 def _write_signatures(k: int, percent: int, shards: int, wanted: Member):
@@ -291,56 +291,79 @@ def _possible(percent: int):
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Rows of one bucket after another, from rows sorted by bucket."""
-    rest: list[dict] = []
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The columns of one bucket after another, as arrays, from rows sorted by bucket. low: LOW signatures a row, padded with the largest."""
+    held: list[dict] = []
+
+    def joined() -> dict:
+        return {c: (sum((h[c] for h in held), []) if c == "parity" else np.concatenate([h[c] for h in held])) for c in held[0]} if len(held) > 1 else held[0]
+
     for b in batches:
-        for r in b.to_pylist():
-            if rest and rest[0]["bucket"] != r["bucket"]:
-                yield rest
-                rest = []
-            rest.append(r)
-    if rest:
-        yield rest
+        if not b.num_rows:
+            continue
+        col = {c: b.column(c).to_numpy() for c in ("bucket", "side", "sig", "key", "component", "n")}
+        lists = b.column("low")
+        size = lists.value_lengths().to_numpy()
+        col["low"] = np.full((b.num_rows, LOW), np.iinfo(np.int64).max)
+        col["low"][np.arange(LOW) < size[:, None]] = lists.flatten().to_numpy()
+        parity = b.column("parity")
+        cut = np.flatnonzero(col["bucket"][1:] != col["bucket"][:-1]) + 1
+        for x, y in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows], strict=True):
+            if held and held[0]["bucket"][0] != col["bucket"][x]:
+                yield joined()
+                held = []
+            held.append({c: v[x:y] for c, v in col.items()} | {"parity": parity.slice(x, y - x).to_pylist()})
+    if held:
+        yield joined()
 
 
 def _within(percent: int, nearest: bool):
     """Pairs of different components in each bucket, as the bound allows: the nearest of each component, or all.
     `more` tells that the bucket has others."""
 
+    def pairs(rows: dict) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
+        """Places of both ends of each pair, and `more`."""
+        n_bytes = min(map(len, rows["parity"]))
+        sketch = np.stack([folded(p, n_bytes) for p in rows["parity"]])
+        size, comp, side, low = (rows[c] for c in ("n", "component", "side", "low"))
+        # two sets that share an earlier signature meet there; the first that they share is in neither's way
+        earlier = low < rows["sig"][:, None]
+        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+        a, b, more = [], [], False
+        best: dict = {}
+        for i in left.tolist():
+            other = right[(comp[right] != comp[i]) & ((right > i) | (side[right] == 2))]
+            if not len(other):
+                continue
+            d = np.maximum(np.bitwise_count(sketch[other] ^ sketch[i]).sum(1, dtype=np.int64), np.abs(size[other] - size[i]))
+            ok = np.flatnonzero(d <= most_different(size[other], size[i], percent))
+            if not len(ok):
+                continue
+            if nearest:
+                j = ok[int(np.argmin(d[ok]))]
+                more = more or len(ok) > 1 or comp[i] in best
+                if comp[i] not in best or d[j] < best[comp[i]][0]:
+                    best[comp[i]] = (d[j], i, other[j])
+                continue
+            to = other[ok]
+            own = low[i][earlier[i]]
+            met = (np.isin(low[to], own) & earlier[to]).any(1) if len(own) else np.zeros(len(to), bool)
+            b.append(to[~met])
+            a.append(np.full(len(b[-1]), i))
+        if best:
+            a.append(np.array([i for _, i, _ in best.values()]))
+            b.append(np.array([j for _, _, j in best.values()]))
+        return a, b, more
+
     def run(batches):
         for rows in _buckets(batches):
-            n_bytes = min(len(r["parity"]) for r in rows)
-            sketch = np.stack([folded(r["parity"], n_bytes) for r in rows])
-            size, comp, side = (np.array([r[c] for r in rows]) for c in ("n", "component", "side"))
-            key = [r["key"] for r in rows]
-            # two sets that share an earlier signature meet there; the first that they share is in neither's way
-            earlier = [frozenset(x for x in r["low"] if x < r["sig"]) for r in rows]
-            left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-            a, b, more = [], [], False
-            best: dict = {}
-            for i in left:
-                other = right[(comp[right] != comp[i]) & ((right > i) | (side[right] == 2))]
-                if not len(other):
-                    continue
-                d = np.maximum(np.bitwise_count(sketch[other] ^ sketch[i]).sum(1, dtype=np.int64), np.abs(size[other] - size[i]))
-                ok = np.flatnonzero(d <= most_different(size[other], size[i], percent))
-                if nearest and len(ok):
-                    j = ok[int(np.argmin(d[ok]))]
-                    more = more or len(ok) > 1 or comp[i] in best
-                    if comp[i] not in best or d[j] < best[comp[i]][0]:
-                        best[comp[i]] = (d[j], i, other[j])
-                    continue
-                for j in ok:
-                    if not earlier[i].isdisjoint(earlier[other[j]]):
-                        continue
-                    a.append(min(key[i], key[other[j]]))
-                    b.append(max(key[i], key[other[j]]))
-            for _, i, j in best.values():
-                a.append(min(key[i], key[j]))
-                b.append(max(key[i], key[j]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([rows[0]["sig"]] * len(a), pa.int64()), pa.array([more] * len(a))], ["a", "b", "sig", "more"])
+            a, b, more = pairs(rows)
+            if not a:
+                continue
+            x, y = (rows["key"][np.concatenate(v)] for v in (a, b))
+            if len(x):
+                sig = np.full(len(x), rows["sig"][0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(sig), pa.array(np.full(len(x), more))], ["a", "b", "sig", "more"])
 
     return run
 
@@ -385,18 +408,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profile = stored(rows.mapInArrow(_profile(shingle_words), "id long, n long, key long, parity binary"), "profile")
+    profile = stored(rows.mapInArrow(tidy(_profile(shingle_words)), "id long, n long, key long, parity binary"), "profile")
     real = profile.where("n > 0 and id is not null")
     classes = real.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("parity").alias("parity"))
 
     named = rows.where("id is not null")
     elements = real.agg(F.sum("n")).first()[0] or 0
     shards = int(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), elements // SHARD_ELEMENTS + 1))
-    packed = named.mapInArrow(_packed_names(shingle_words, percent, shards), "shard int, names binary")
-    repeated = stored(packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_repeated_names, "name long"), "repeated")
+    packed = named.mapInArrow(tidy(_packed_names(shingle_words, percent, shards)), "shard int, names binary")
+    repeated = stored(packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(_repeated_names), "name long"), "repeated")
     log2_cells = int(np.clip(int(8 * repeated.count()).bit_length(), 16, 27))
     # written out are only those that some other set may share
-    again = named.mapInArrow(_write_signatures(shingle_words, percent, shards, member_filter(repeated, log2_cells)), "sig long, key long")
+    again = named.mapInArrow(tidy(_write_signatures(shingle_words, percent, shards, member_filter(repeated, log2_cells))), "sig long, key long")
     written = stored(again, "signatures")
     shared = written.groupBy("sig").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot < last").drop("last")
     buckets = stored(written.join(shared, "sig").select("sig", "key", "pivot").distinct(), "buckets")
@@ -409,7 +432,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def verified(pairs: DataFrame) -> DataFrame:
         keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         ids = stored(keys.join(involved, "key").select("id", "key"), "ids")
-        read = rows.mapInArrow(_write_sets(shingle_words, member_filter(ids.select("id"))), "id long, key long, elements array<long>")
+        read = rows.mapInArrow(tidy(_write_sets(shingle_words, member_filter(ids.select("id")))), "id long, key long, elements array<long>")
         sets = stored(read.join(ids, ["id", "key"], "left_semi").dropDuplicates(["key"]), "sets")
         return _verified(pairs, sets, percent)
 
@@ -420,7 +443,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = stars.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     for c in "ab":
         stars = stars.join(involved.select(F.col("key").alias(c), F.col("parity").alias("p" + c)), c)
-    possible = stored(stars.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_possible(percent), "a long, b long, dist long"), "possible")
+    possible = stored(stars.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(tidy(_possible(percent)), "a long, b long, dist long"), "possible")
     tried = stored(possible.groupBy("b").agg(F.min_by("a", F.struct("dist", "a")).alias("a")).select("a", "b"), "pairs")
     links = stored(verified(tried), "links")
     # then what is still in different components: other first sets, and all others two by two
@@ -429,7 +452,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         node = stored(_labels(sketch.select("key"), links), "labels")
         rest = stored(others.join(node, "key"), "rest")
         several = rest.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-        found = stored(_blocks(rest.join(several, "sig"), sketch).mapInArrow(_within(percent, only_nearest), "a long, b long, sig long, more boolean"), "found")
+        found = stored(_blocks(rest.join(several, "sig"), sketch).mapInArrow(tidy(_within(percent, only_nearest)), "a long, b long, sig long, more boolean"), "found")
         pairs = found.select("a", "b")
         if only_nearest:
             apart = possible.select("a", "b")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 
 from loomgraph.llm.boosting import BoostedTrees, calibrated_threshold
 from loomgraph.llm.words import slices
+from loomgraph.llm.worker import tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the base spans.
@@ -231,4 +232,4 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     spans[row + i] = listed(found + judge().added(whole, found))
             yield pa.RecordBatch.from_arrays([b.column(id_col), *(pa.array(counts[:, k]) for k in range(len(KINDS))), pa.array(base, pa.string()), pa.array(spans, pa.string())], names)
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string")

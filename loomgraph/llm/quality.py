@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.labelled import held_out, training_sample
 from loomgraph.llm.words import slices
+from loomgraph.llm.worker import tidy
 
 WIDTH, STRIDE, HALF, FILTERS = 6, 2, 256, 20
 OUTPUTS = HALF // STRIDE
@@ -152,5 +153,5 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataF
                 score[row:to] = model.value.scores(buf, off)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, "score"])
 
-    scored = rows.mapInArrow(run, schema)
+    scored = rows.mapInArrow(tidy(run), schema)
     return scored.select("*", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.words import U, mix
+from loomgraph.llm.worker import tidy
 
 SHARD_BITS = 1 << 20
 
@@ -79,7 +80,7 @@ def planes_schema() -> str:
 
 def merged(parts: DataFrame, plane: str, rows: int, log2_cells: int) -> np.ndarray:
     """rows x bytes: one plane of the merged sketch. At most rows * 2**log2_cells bits reach the driver."""
-    both = parts.repartition("row", "shard").sortWithinPartitions("row", "shard").mapInArrow(_merge, planes_schema())
+    both = parts.repartition("row", "shard").sortWithinPartitions("row", "shard").mapInArrow(tidy(_merge), planes_schema())
     out = np.zeros((rows, (1 << log2_cells) // 8), np.uint8)
     step = min(SHARD_BITS // 8, out.shape[1])
     for r, s, bits in both.select("row", "shard", plane).toLocalIterator():
@@ -123,6 +124,6 @@ def member_filter(keys: DataFrame, log2_cells: int = 25, rows: int = 2) -> Membe
     col = keys.columns[0]
     source = keys.select(F.col(col).cast("long").alias("k")).where("k is not null")
     parts = source.mapInArrow(
-        lambda batches: partition_planes(batches, lambda b: [b.column("k").to_numpy().view(np.uint64)], rows, log2_cells), planes_schema()
+        tidy(lambda batches: partition_planes(batches, lambda b: [b.column("k").to_numpy().view(np.uint64)], rows, log2_cells)), planes_schema()
     )
     return Member(keys.sparkSession.sparkContext.broadcast(merged(parts, "once", rows, log2_cells)), log2_cells)

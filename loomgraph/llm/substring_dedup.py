@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.sketch import Member, member_filter, merged, partition_planes, planes_schema
 from loomgraph.llm.words import Words, column_words, range_hash, signed
+from loomgraph.llm.worker import tidy
 from loomgraph.storage import drop, stored
 
 #: The sketch has four cells or more for each anchor in each row, as far as 2**LOG2_CELLS goes: at most 2 * 16 MB are broadcast.
@@ -217,21 +218,21 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_bytes = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     per_anchor = (min(window, max(window - ANCHOR, 0) + 1) + 1) / 2
     log2_cells = int(np.clip(int(4 * n_bytes / WORD_BYTES / per_anchor).bit_length(), 16, LOG2_CELLS))
-    parts = named.select("text").mapInArrow(lambda batches: partition_planes(batches, lambda b: _anchor_keys(b.column("text"), window), ROWS, log2_cells), planes_schema())
+    parts = named.select("text").mapInArrow(tidy(lambda batches: partition_planes(batches, lambda b: _anchor_keys(b.column("text"), window), ROWS, log2_cells)), planes_schema())
     sketch = Member(spark.sparkContext.broadcast(merged(parts, "twice", ROWS, log2_cells)), log2_cells)
-    found = stored(named.mapInArrow(_repeated(window, sketch), "h long, g int, row long, start int, n int"), "spans")
+    found = stored(named.mapInArrow(tidy(_repeated(window, sketch)), "h long, g int, row long, start int, n int"), "spans")
     first, whole = _later(found)
     # filters have four cells or more for each key, as far as 2**LOG2_CELLS goes
     bits = lambda n: int(np.clip(int(4 * n).bit_length(), 16, LOG2_CELLS))
     firsts = member_filter(first.select(F.expr("shiftleft(first.row, 24) ^ first.start").alias("place")), bits(first.count()), ROWS)
-    single = stored(named.mapInArrow(_windows(window, sketch, firsts), "h long, g int, row long, start int").withColumn("n", F.lit(1)), "windows")
+    single = stored(named.mapInArrow(tidy(_windows(window, sketch, firsts)), "h long, g int, row long, start int").withColumn("n", F.lit(1)), "windows")
     later = whole.unionByName(_later(single)[1])
-    runs = stored(later.repartition("row").sortWithinPartitions("row", "start").mapInArrow(_pack, "row long, runs binary"), "runs")
+    runs = stored(later.repartition("row").sortWithinPartitions("row", "start").mapInArrow(tidy(_pack), "row long, runs binary"), "runs")
     for used in (found, single, first):
         drop(used)
     # most texts repeat nothing and need no shuffle to meet their runs
     touched = member_filter(runs.select("row"), bits(runs.count()), ROWS)
     schema = "row long, n_words long, n_removed long, kept string"
-    with_runs = rows.mapInArrow(_touched(touched), "row long, text string").join(runs, "row", "left").select("row", "text", "runs")
-    out = rows.mapInArrow(_remove(window, touched), schema).unionByName(with_runs.mapInArrow(_remove(window), schema))
+    with_runs = rows.mapInArrow(tidy(_touched(touched)), "row long, text string").join(runs, "row", "left").select("row", "text", "runs")
+    out = rows.mapInArrow(tidy(_remove(window, touched)), schema).unionByName(with_runs.mapInArrow(tidy(_remove(window)), schema))
     return out.withColumnRenamed("row", id_col)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.huffman import canonical, code_lengths, decode, encode
 from loomgraph.llm.words import Words, slices, words_of
+from loomgraph.llm.worker import kept, tidy
 from loomgraph.storage import drop, stored
 
 BLOCK_IDS = 1 << 16
@@ -39,8 +40,6 @@ class WordEncoder:
     nor does it join a letter or digit with punctuation. Known words are looked up by two hashes.
     """
 
-    made: dict[int, WordEncoder] = {}
-
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
@@ -50,13 +49,6 @@ class WordEncoder:
         self.ends_word[ends] = True
         self.forget()
 
-    @classmethod
-    def of(cls, vocabulary: str) -> WordEncoder:
-        key = hash(vocabulary)
-        if key not in cls.made:
-            cls.made[key] = cls(vocabulary)
-        return cls.made[key]
-
     def forget(self) -> None:
         self.h, self.g = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         self.begin, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
@@ -144,7 +136,7 @@ def without_marks(words: Words) -> Words:
 
 def _tokenize(vocabulary, end_id: int):
     def run(batches):
-        encoder, shard, first = WordEncoder.of(vocabulary.value), TaskContext.get().partitionId(), 0
+        encoder, shard, first = kept("encoder", lambda: WordEncoder(vocabulary.value)), TaskContext.get().partitionId(), 0
         for b in batches:
             text = b.column("text").cast(pa.large_string()).fill_null("")
             for row, to, raw, off in slices(text, 2 << 20):
@@ -209,20 +201,20 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2,
     """Encode each row's text, append end_id, and write the format above into folder, in ascending id order.
 
     vocabulary is the JSON of a `tokenizers` file with at most 2**16 ids. A null text is empty. Rows of one id follow one
-    another in an order fixed by their texts; null ids come first. An empty table writes no block. Other columns are not read.
+    another in an order fixed by their texts, and may lie in several shards; null ids come first. An empty table writes no block. Other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shards = max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", F.xxhash64("text"))
-    tokens = stored(ordered.mapInArrow(_tokenize(spark.sparkContext.broadcast(vocabulary), end_id), "shard int, first long, id long, ids binary"), "tokens")
+    ordered = rows.withColumn("h", F.xxhash64("text")).withColumn("n", F.monotonically_increasing_id()).repartitionByRange(shards, "id", "h", "n").sortWithinPartitions("id", "h", "n").select("id", "text")
+    tokens = stored(ordered.mapInArrow(tidy(_tokenize(spark.sparkContext.broadcast(vocabulary), end_id)), "shard int, first long, id long, ids binary"), "tokens")
     counts = np.zeros(1 << 16, np.int64)
-    for r in tokens.mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most 2**16 rows
+    for r in tokens.mapInArrow(tidy(_count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most 2**16 rows
         counts[r.id] = r.n
     lengths = code_lengths(counts)
     used = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(used, "id int, length int").coalesce(1).write.parquet(f"{folder}/codes")
-    blocks = tokens.mapInArrow(_encode(spark.sparkContext.broadcast(lengths)), BLOCKS)
+    blocks = tokens.mapInArrow(tidy(_encode(spark.sparkContext.broadcast(lengths))), BLOCKS)
     blocks.write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
     drop(tokens)
 
@@ -255,7 +247,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     for r in spark.read.schema("id int, length int").parquet(f"{folder}/codes").collect():  # at most 2**16 rows
         lengths[r.id] = r.length
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
-    return blocks.mapInArrow(_decode(spark.sparkContext.broadcast(lengths)), "doc_id long, shard int, first long, n_tokens long, ids binary")
+    return blocks.mapInArrow(tidy(_decode(spark.sparkContext.broadcast(lengths))), "doc_id long, shard int, first long, n_tokens long, ids binary")
 
 
 def shard_starts(spark: SparkSession, folder: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.labelled import Logistic, held_out, training_sample
 from loomgraph.llm.words import Words, range_hash, slices, words_of
 from loomgraph.llm.words import _byte_values as byte_values
+from loomgraph.llm.worker import tidy
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: Fixed word lists of the grammar.
@@ -270,7 +271,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.value.scores(b.column("text")))], [*b.schema.names, "score"])
 
-    scored = rows.mapInArrow(run, schema)
+    scored = rows.mapInArrow(tidy(run), schema)
     return scored.select("*", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -282,4 +283,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
         for b in batches:
             yield b.filter(pa.array(model.value.scores(b.column("text")) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

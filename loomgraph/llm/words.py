@@ -13,6 +13,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from loomgraph.llm.worker import give_back, kept
+
 U = np.uint64
 SLICE_BYTES = 1 << 19
 _M = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
@@ -28,12 +30,10 @@ def _byte_values(lower: bool, which: int) -> np.ndarray:
     return t
 
 
-_powers: dict = {}
-
-
 def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     """M**i and M**-i for i < n, grown when a longer array is asked for."""
-    have = _powers.get(which)
+    made = kept("powers", dict)
+    have = made.get(which)
     if have is None or len(have[0]) < n:
         size = 1 << max(16, int(n - 1).bit_length())
         m = int(_M[which])
@@ -42,7 +42,7 @@ def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
             out = np.full(size, U(x))
             out[0] = U(1)
             both.append(np.cumprod(out, dtype=np.uint64))
-        have = _powers[which] = tuple(both)
+        have = made[which] = tuple(both)
     return have[0][:n], have[1][:n]
 
 
@@ -112,8 +112,7 @@ def slices(col: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, n
         to = max(row + 1, int(np.searchsorted(off, off[row] + size, "right")) - 1)
         yield row, to, data[off[row] : off[to]], off[row : to + 1] - off[row]
         row = to
-    # a worker outlives its task, and Arrow would keep what earlier batches needed
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def words_of(buf: np.ndarray, off: np.ndarray, separator: np.ndarray = _SPACE) -> Words:
