@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where none is (tests)."""
+    """The folder in spark.checkpoint.dir. Where none is set, a local session gets a temporary one; a cluster, whose
+    machines share no such folder, gets an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -36,3 +39,20 @@ def drop(df: DataFrame) -> None:
     for f in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Stored tables of one computation, deleted together once its result stands by itself."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(stored(df, name))
+        return self.tables[-1]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables, or all."""
+        for t in tables or self.tables:
+            drop(t)
+        self.tables = [t for t in self.tables if tables and not any(t is x for x in tables)]
