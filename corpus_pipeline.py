@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.decontaminate import without_leaks
@@ -16,11 +17,24 @@ from loomgraph.storage import new_path, stored
 ORACLE_SQL = None
 #: A row's own number within a stage: ids may be null or repeat.
 ROW = "_row"
+#: Names of so many files are broadcast at most.
+MOST_FILES = 1 << 15
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with ROW, written out so that a number stays with its row."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    """docs with ROW: the number of a row's file above its place in it, which every reading gives it again.
+
+    Docs that aren't read from so many files are written out with numbers, so that these stay."""
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        placed = None
+    files = stored(placed.select("_file").distinct(), "files") if placed else None
+    if files is None or files.count() > MOST_FILES:
+        return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    number = F.row_number().over(Window.orderBy("_file")).cast("long")  # a row for each file
+    files = stored(files.withColumn("_number", number), "files")
+    return placed.join(F.broadcast(files), "_file").withColumn(ROW, F.shiftleft("_number", 40) + F.col("_at")).select(*docs.columns, ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
