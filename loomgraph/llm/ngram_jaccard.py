@@ -27,7 +27,7 @@ from loomgraph.llm.sketch import Member, member_filter
 from loomgraph.llm.words import U, column_words, mix, signed
 from loomgraph.llm.worker import tidy
 from loomgraph.operators.components import connected_components
-from loomgraph.storage import drop, stored
+from loomgraph.storage import Scratch, stored
 
 PARITY_BITS = (128, 1 << 16)
 #: A signature shared by more sets than this is compared in blocks of so many.
@@ -406,9 +406,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts are links of one another like any others. Rows with a null id take no part: component_id is null.
     Extra columns of docs are not read.
     """
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, Scratch()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profile = stored(rows.mapInArrow(tidy(_profile(shingle_words)), "id long, n long, key long, parity binary"), "profile")
+    profile = scratch.stored(rows.mapInArrow(tidy(_profile(shingle_words)), "id long, n long, key long, parity binary"), "profile")
     real = profile.where("n > 0 and id is not null")
     classes = real.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("parity").alias("parity"))
 
@@ -416,25 +416,26 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     elements = real.agg(F.sum("n")).first()[0] or 0
     shards = int(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), elements // SHARD_ELEMENTS + 1))
     packed = named.mapInArrow(tidy(_packed_names(shingle_words, percent, shards)), "shard int, names binary")
-    repeated = stored(packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(_repeated_names), "name long"), "repeated")
+    repeated = scratch.stored(packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(_repeated_names), "name long"), "repeated")
     log2_cells = int(np.clip(int(8 * repeated.count()).bit_length(), 16, 27))
     # written out are only those that some other set may share
     again = named.mapInArrow(tidy(_write_signatures(shingle_words, percent, shards, member_filter(repeated, log2_cells))), "sig long, key long")
-    written = stored(again, "signatures")
+    written = scratch.stored(again, "signatures")
     shared = written.groupBy("sig").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot < last").drop("last")
-    buckets = stored(written.join(shared, "sig").select("sig", "key", "pivot").distinct(), "buckets")
-    drop(written)
-    drop(repeated)
+    buckets = scratch.stored(written.join(shared, "sig").select("sig", "key", "pivot").distinct(), "buckets")
+    scratch.drop(written, repeated)
 
-    involved = stored(buckets.select("key").distinct().join(classes, "key"), "involved")
+    involved = scratch.stored(buckets.select("key").distinct().join(classes, "key"), "involved")
     sketch = involved.select("key", "n", "parity")
 
     def verified(pairs: DataFrame) -> DataFrame:
         keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        ids = stored(keys.join(involved, "key").select("id", "key"), "ids")
+        ids = scratch.stored(keys.join(involved, "key").select("id", "key"), "ids")
         read = rows.mapInArrow(tidy(_write_sets(shingle_words, member_filter(ids.select("id")))), "id long, key long, elements array<long>")
-        sets = stored(read.join(ids, ["id", "key"], "left_semi").dropDuplicates(["key"]), "sets")
-        return _verified(pairs, sets, percent)
+        sets = scratch.stored(read.join(ids, ["id", "key"], "left_semi").dropDuplicates(["key"]), "sets")
+        out = scratch.stored(_verified(pairs, sets, percent), "verified")
+        scratch.drop(ids, sets)
+        return out
 
     # each set against the first sets of its buckets: sizes first, then the bound
     stars = buckets.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
@@ -443,16 +444,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = stars.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     for c in "ab":
         stars = stars.join(involved.select(F.col("key").alias(c), F.col("parity").alias("p" + c)), c)
-    possible = stored(stars.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(tidy(_possible(percent)), "a long, b long, dist long"), "possible")
-    tried = stored(possible.groupBy("b").agg(F.min_by("a", F.struct("dist", "a")).alias("a")).select("a", "b"), "pairs")
-    links = stored(verified(tried), "links")
+    possible = scratch.stored(stars.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(tidy(_possible(percent)), "a long, b long, dist long"), "possible")
+    tried = scratch.stored(possible.groupBy("b").agg(F.min_by("a", F.struct("dist", "a")).alias("a")).select("a", "b"), "pairs")
+    links = verified(tried)
     # then what is still in different components: other first sets, and all others two by two
-    others = stored(buckets.where("key != pivot").select("sig", "key"), "others")
+    others = scratch.stored(buckets.where("key != pivot").select("sig", "key"), "others")
     for only_nearest in (True, False):
-        node = stored(_labels(sketch.select("key"), links), "labels")
-        rest = stored(others.join(node, "key"), "rest")
+        node = scratch.stored(_labels(sketch.select("key"), links), "labels")
+        rest = scratch.stored(others.join(node, "key"), "rest")
         several = rest.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-        found = stored(_blocks(rest.join(several, "sig"), sketch).mapInArrow(tidy(_within(percent, only_nearest)), "a long, b long, sig long, more boolean"), "found")
+        found = scratch.stored(_blocks(rest.join(several, "sig"), sketch).mapInArrow(tidy(_within(percent, only_nearest)), "a long, b long, sig long, more boolean"), "found")
         pairs = found.select("a", "b")
         if only_nearest:
             apart = possible.select("a", "b")
@@ -460,12 +461,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 apart = apart.join(node.select(F.col("key").alias(c), F.col("component").alias("c" + c)), c)
             pairs = pairs.union(apart.where("ca != cb").select("a", "b"))
         done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+        pairs = scratch.stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
-            links = stored(links.union(verified(pairs)), "links")
+            links = scratch.stored(links.union(verified(pairs)), "links")
         tried = tried.union(pairs)
         # only buckets with pairs that weren't looked at can have any left
-        others = stored(others.join(found.where("more").select("sig").distinct(), "sig", "left_semi"), "others")
+        others = scratch.stored(others.join(found.where("more").select("sig").distinct(), "sig", "left_semi"), "others")
         if others.isEmpty():
             break
     component = _labels(involved.select("key", "id"), links)
@@ -475,5 +476,6 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     result = profile.join(alone, "key", "left").join(component, "key", "left")
     known = F.when(F.col("id").isNotNull(), F.coalesce("component_id", F.when(F.col("n") > 0, F.col("own")), "id"))
     out = result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), known.alias("component_id"))
-    drop(buckets)
+    out = stored(out, "components")
+    scratch.drop()
     return out
