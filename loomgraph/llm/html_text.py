@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,13 +25,20 @@ from loomgraph.llm.worker import tidy
 #: Fixed tag lists.
 BLOCK_TAGS = frozenset("p div li ul ol h1 h2 h3 h4 h5 h6 article section main nav header footer aside form table thead tbody tfoot tr td th blockquote pre figure figcaption dl dt dd body html head title fieldset address details summary hr select option button label legend center menu dialog caption".split())
 VOID_TAGS = frozenset("br img hr input meta link area base col embed source track wbr".split())
-CLOSED_BY = {"p": BLOCK_TAGS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-z][a-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>",
-    re.IGNORECASE | re.DOTALL,
-)
+CLOSED_BY = {"p": BLOCK_TAGS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": BLOCK_TAGS}
+#: Fixed: what may stand in a page's head, elements whose content isn't read as markup, and those of them that
+#: mean something only with an end tag.
+HEAD_TAGS = frozenset("head title base link meta script style noscript template".split())
+RAW_TAGS = frozenset("title script style noscript template svg iframe textarea".split())
+NEEDS_END = frozenset("title noscript template svg".split())
+_RAW_END = {t: re.compile(rf"</{t}(?![a-z0-9])[^>]*>", re.IGNORECASE) for t in RAW_TAGS}
+# nothing is ever given back, so a tag is read in one pass; a quote that never closes is a letter of its tag
+_TAG = re.compile(r"<(/?)([a-z][a-z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>", re.IGNORECASE)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
+#: Elements whose text isn't the page's; open elements that a path names at each end, and that an end tag looks through.
+HIDING = frozenset("head title select".split())
+PATH_ENDS, DEEPEST = 32, 512
 BUCKETS, PATH_DIM, WORD_DIM, COUNTS, HIDDEN = 1024, 12, 8, 6, 16
 INPUT = PATH_DIM + WORD_DIM + COUNTS
 GROUP = 64
@@ -38,67 +46,121 @@ GROUP = 64
 TRAIN_PAGES, EPOCHS = 600, 12
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text before, '/' of an end tag, name, attributes) of each tag, in one pass over the page; a last one without
+    a name for the text behind. Comments and raw elements are left out with their content; they end the text before them with an empty name, too.
+
+    A comment, script, style or frame that never ends takes the rest, as in browsers; another raw element without an end does not."""
+    done, at, unended = 0, page.find("<"), set()
+    while at >= 0:
+        end, name = -1, ""
+        if page.startswith("<!--", at):
+            close = page.find("-->", at + 2)
+            end = close + 3 if close >= 0 else len(page)
+        elif page.startswith(("<!", "<?"), at):
+            close = page.find(">", at)
+            end = close + 1 if close >= 0 else -1
+        else:
+            m = _TAG.match(page, at)
+            if m:
+                name, end = m[2].lower(), m.end()
+                if name in RAW_TAGS and not m[1]:
+                    if not m[3].endswith("/") or name != "svg":
+                        last = None if name in unended else _RAW_END[name].search(page, end)
+                        if last:
+                            end = last.end()
+                        elif name in NEEDS_END:
+                            unended.add(name)
+                        else:
+                            end = len(page)
+                        name = name if name == "title" and not last else ""
+                    else:
+                        name = ""
+            elif page.find(">", at) < 0:
+                break
+        if end < 0:
+            at = page.find("<", at + 1)
+            continue
+        yield page[done:at], m[1] if name else "", name, m[3] if name else ""
+        done, at = end, page.find("<", end)
+    yield page[done:], "", "", ""
+
+
+def _closes(top: str, name: str) -> bool:
+    """Whether the start of element `name` ends the open element `top`, whose own end tag may be missing."""
+    if top == "head":
+        return name not in HEAD_TAGS
+    if top == "title":
+        return True
+    if top == "select":
+        return name in BLOCK_TAGS and name not in ("option", "hr")
+    return name in CLOSED_BY.get(top, ())
+
+
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path, text, share of the text in links) of each leaf block with text, in page order."""
+    """(path, text, share of the text in links) of each leaf block with text, in page order.
+
+    The path names all open elements, or the outermost and innermost PATH_ENDS of a deeper nest."""
     out: list = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     pieces: list[str] = []
-    linked, in_link, skip = 0, 0, False
+    linked, in_link, hidden = 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
-                path = tuple(n for _, names in stack[-8:] for n in names)
-                out.append((path, text, min(1.0, linked / max(len(text), 1))))
+                near = stack if len(stack) <= 2 * PATH_ENDS else stack[:PATH_ENDS] + stack[-PATH_ENDS:]
+                out.append((tuple(n for _, names in near for n in names), text, min(1.0, linked / max(len(text), 1))))
             pieces.clear()
         linked = 0
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not skip:
-            s = page[at : m.start()]
-            pieces.append(s)
-            if in_link:
-                linked += len(s)
-        at = m.end()
-        name = (m[3] or m[6] or "").lower()
+    def close(i: int) -> None:
+        nonlocal hidden
+        hidden -= sum(name in HIDING for name, _ in stack[i:])
+        del stack[i:]
+
+    def add(text: str) -> None:
+        nonlocal linked
+        if hidden and stack[-1][0] == "head" and text.strip():  # text has no place in a head, so its end was left out
+            close(len(stack) - 1)
+        if not hidden:
+            pieces.append(text)
+            linked += len(text) if in_link else 0
+
+    for text, end, name, attributes in tokens(page):
+        if text:
+            add(text)
         if not name:
-            if m[1] is None:
-                continue
             pieces.append(" " if pieces else "")
             continue
-        closing = bool(m[2] or m[5])
         block = name in BLOCK_TAGS
         if block:
             flush()
         elif name == "br":
             pieces.append(" ")
-        if closing:
+        if end:
             if name == "a":
                 in_link = 0
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEPEST), -1):
                 if stack[i][0] == name:
-                    del stack[i:]
+                    close(i)
                     break
-        else:
-            if name == "a":
-                in_link = 1
-            if name in VOID_TAGS:
-                continue
-            while stack and name in CLOSED_BY.get(stack[-1][0], ()):
-                stack.pop()
-            attributes = m[4] if m[4] is not None else m[7] or ""
-            names = (name,)
-            if "=" in attributes:
-                for a in _NAMES.findall(attributes):
-                    names += tuple("." + w.lower() for w in re.split(r"[\s_-]+", a[0] or a[1] or a[2]) if w)
-            if block or name in ("a", "span"):
-                stack.append((name, names if block else names[1:]))
-        skip = any(n in ("head", "title", "select") for n, _ in stack[:4] + stack[-1:])
-    if at < len(page) and not skip:
-        pieces.append(page[at:])
+            continue
+        if name == "a":
+            in_link = 1
+        while stack and _closes(stack[-1][0], name):
+            close(len(stack) - 1)
+        if name in VOID_TAGS:
+            continue
+        names = (name,)
+        if "=" in attributes:
+            for a in _NAMES.findall(attributes):
+                names += tuple("." + w.lower() for w in re.split(r"[\s_-]+", a[0] or a[1] or a[2]) if w)
+        if block or name in ("a", "span"):
+            stack.append((name, names if block else names[1:]))
+            hidden += name in HIDING
     flush()
     return out
 
@@ -343,6 +405,9 @@ def generated_page(rng: np.random.Generator) -> tuple[str, list[int]]:
     wrap = pick(["article", "article", "article", "main", "div", "section"])
     named = f' {pick(["class", "id"])}="{pick(["content", "post", "article", "main", "entry", "story", "text"])}"' if wrap != "article" or chance(0.3) else ""
     inner = body() + (side("comments") if chance(0.1) else "")
+    if chance(0.3):  # neutral boxes, as deep as pages have them
+        for _ in range(int(rng.integers(1, 12))):
+            inner = f'<div class="{pick(["wrapper", "container", "row", "col", "inner", "layout", "grid", "box"])}">{inner}</div>'
     out += (f"<main><{wrap}{named}>{inner}</{wrap}></main>" if chance(0.2) else f"<{wrap}{named}>{inner}</{wrap}>") + "".join(side(k) for k in after)
     return f"<html><head><title>{words(1, 6, 0)}</title></head><body>{out}</body></html>", labels
 
