@@ -12,6 +12,7 @@ No table labels personal data, so the trees learn from generated examples of bot
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,13 +27,17 @@ from loomgraph.llm.worker import tidy
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the base spans.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# where a run of digits begins no address, no later digit of it does; so runs are read once and whole
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-#: Fixed loose patterns of the proposals.
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]++")
+#: Fixed: what may stand for @, for a dot, and the parts of a domain.
+_AT = re.compile(r"@|\(at\)|\[at\]|(?<![A-Za-z0-9_])at(?![A-Za-z0-9_])", re.IGNORECASE)
+_LABEL = re.compile(r"[A-Za-z0-9-]++")
+_DOT = re.compile(r" ?(?:\.|\(dot\)|\[dot\]|(?<![A-Za-z0-9_-])dot(?![A-Za-z0-9_-])) ?[A-Za-z0-9-]++", re.IGNORECASE)
+#: Fixed loose patterns of the proposals, each of bounded length.
 LOOSE = (
-    ("email", re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]|\bat\b) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]|\bdot\b) ?[A-Za-z0-9-]+)+", re.IGNORECASE)),
     ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(\.\)) ?[0-9]{1,3}){3}(?![0-9.])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{3,6}(?:[ ./_-]{1,3}[0-9]{3,6}){2,5}(?![0-9])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])")),
@@ -65,25 +70,57 @@ def _digits(s: str) -> str:
     return re.sub("[^0-9]", "", s)
 
 
+def _runs(text: str, letters: re.Pattern = _LOCAL) -> tuple[list[int], list[int]]:
+    """Begins and ends of the runs of some letters."""
+    spans = [m.span() for m in letters.finditer(text)]
+    return [x for x, _ in spans], [y for _, y in spans]
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    """As EMAIL.finditer, but looking from each @ back to where its local part begins."""
-    done, at = 0, text.find("@")
+    """As EMAIL.finditer, but looking from each @ at the run of letters before it."""
+    at = text.find("@")
+    if at < 0:
+        return
+    begins, ends = _runs(text)
+    done = 0
     while at >= 0:
-        begin = at
-        while begin > done and _LOCAL.match(text[begin - 1]):
-            begin -= 1
-        m = EMAIL.match(text, begin) if begin < at else None
+        k = bisect_left(ends, at)
+        m = EMAIL.match(text, max(begins[k], done)) if k < len(ends) and ends[k] == at and done < at else None
         if m:
             yield m.span()
             done = m.end()
         at = text.find("@", max(at + 1, done))
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Spans that may be addresses, spelt out or not: letters, what stands for @, and parts of a domain between what stands for dots."""
+    anchors = list(_AT.finditer(text))
+    if not anchors:
+        return
+    begins, ends = _runs(text)
+    label_begins, label_ends = _runs(text, _LABEL)
+    done = 0
+    for m in anchors:
+        if m.start() < done:
+            continue
+        before, behind = m.start() - (text[m.start() - 1 : m.start()] == " "), m.end() + (text[m.end() : m.end() + 1] == " ")
+        k, n = bisect_left(begins, before) - 1, bisect_right(label_begins, behind) - 1
+        if k < 0 or ends[k] < before or max(begins[k], done) >= before or n < 0 or label_ends[n] <= behind:
+            continue
+        end, more = label_ends[n], _DOT.match(text, label_ends[n])
+        while more:
+            end, more = more.end(), _DOT.match(text, more.end())
+        if end > label_ends[n]:
+            yield max(begins[k], done), end
+            done = end
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) in order: leftmost matches of each kind that don't overlap; those that fail their check are dropped."""
     out = [(0, *s) for s in _emails(text)]
     for m in IP.finditer(text):
-        if all(len(p) <= 9 and int(p) <= 255 or int(p) <= 255 for p in m[0].split(".")):
+        parts = [p.lstrip("0") for p in m[0].split(".")]
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):
             out.append((1, *m.span()))
     for m in CARD.finditer(text):
         d = _digits(m[0]) if m.end() - m.start() < 80 else ""
@@ -115,7 +152,36 @@ _CONTEXT = {k: frozenset(v.split()) for k, v in CONTEXT.items()}
 
 
 def proposals(text: str) -> list[tuple[int, int, int]]:
-    return [(KINDS.index(kind), *m.span()) for kind, p in LOOSE for m in p.finditer(text)]
+    return [(0, *s) for s in _addresses(text)] + [(KINDS.index(kind), *m.span()) for kind, p in LOOSE for m in p.finditer(text)]
+
+
+class Spans:
+    """Spans of which no two overlap, in order."""
+
+    def __init__(self):
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+
+    def meets(self, begin: int, end: int) -> bool:
+        k = bisect_left(self.begins, end) - 1
+        return k >= 0 and self.ends[k] > begin
+
+    def add(self, begin: int, end: int) -> None:
+        k = bisect_left(self.begins, begin)
+        self.begins.insert(k, begin)
+        self.ends.insert(k, end)
+
+
+def merged_spans(spans: list[tuple[int, int, int]]) -> Spans:
+    """What (kind, begin, end) spans cover together."""
+    out = Spans()
+    for _, begin, end in sorted(spans, key=lambda s: s[1:]):
+        if out.ends and begin < out.ends[-1]:
+            out.ends[-1] = max(out.ends[-1], end)
+        else:
+            out.begins.append(begin)
+            out.ends.append(end)
+    return out
 
 
 def generated_examples(seed: int = 17, n: int = 3000) -> tuple[np.ndarray, np.ndarray]:
@@ -176,15 +242,17 @@ class Judge:
         self.thresholds = [calibrated_threshold(p[vx[:, 0] == k], vy[vx[:, 0] == k], WANTED_PRECISION) for k in range(len(KINDS))]
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        found = [c for c in set(proposals(text)) if not any(c[1] < e and s < c[2] for _, s, e in base)]
+        covered = merged_spans(base)
+        found = [c for c in set(proposals(text)) if not covered.meets(c[1], c[2])]
         if not found:
             return []
         found.sort()
         p = self.trees.probability(np.array([features(text, *c) for c in found]))
-        out: list[tuple[int, int, int]] = []
+        out, taken = [], Spans()
         for q, c in sorted(zip(p.tolist(), found, strict=True), key=lambda r: (-r[0], r[1][1] - r[1][2], r[1])):
-            if q >= self.thresholds[c[0]] and not any(c[1] < e and s < c[2] for _, s, e in out):
+            if q >= self.thresholds[c[0]] and not taken.meets(c[1], c[2]):
                 out.append(c)
+                taken.add(c[1], c[2])
         return out
 
 
@@ -196,7 +264,6 @@ def judge() -> Judge:
 
 _HINT = np.zeros(256, bool)
 _HINT[list(b"@0123456789")] = True
-_AT_WORD = re.compile(r"(?i)(?:\bat\b|[\[(]at[\])])[^\n]{1,80}?(?:\bdot\b|[\[(]dot[\])]|\.)")
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -223,7 +290,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 some = (hint[off[1:]] - hint[off[:-1]]) > 0
                 for i in range(to - row):
                     whole = text[row + i].as_py() or ""
-                    if not some[i] and not _AT_WORD.search(whole):
+                    if not some[i] and not _AT.search(whole):
                         continue
                     found = base_spans(whole) if some[i] else []
                     for k, _, _ in found:
