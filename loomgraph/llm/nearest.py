@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.words import U, mix, signed
 from loomgraph.llm.worker import tidy
-from loomgraph.storage import stored
+from loomgraph.storage import drop, stored
 
 SAMPLE = 4096
+#: A length of vectors that fewer rows have needs no hashing.
+FEW = 1024
 BLOCK = 4096
 REACH = 4
 
@@ -77,8 +79,7 @@ class Hashing:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    scale = np.abs(x).max(1, keepdims=True)
-    x = x / scale
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -131,8 +132,14 @@ def _probe(h: Hashing, dim: int):
     return run
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row over a power of two near its largest number: the cosine keeps every bit, and no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, in one order of additions whatever else is in the block."""
+    a, b = scaled(a), scaled(b)
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
@@ -200,23 +207,40 @@ def nearest_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
 
     Score is the cosine in double precision. Equal scores rank by the smaller id. A row is no candidate of
     its own query, but another row with an equal vector is. Vectors that are null, all zero, or hold a null
-    or non-finite number take no part, nor do null ids or vectors shorter than the longest. Ids should be
-    distinct; an empty table gives no rows. A query whose buckets give fewer than `nearest` rows is scanned
-    against all rows, in blocks. Extra columns are not read.
+    or non-finite number take no part, nor do null ids; vectors of unlike lengths are no candidates of each
+    other. Ids should be distinct; an empty table gives no rows. Each length with at least FEW rows, and the
+    most frequent one, is hashed by itself; of rarer lengths all rows are one bucket. A query whose buckets give fewer than
+    `nearest` rows is scanned against all rows of its length, in blocks. Extra columns are not read.
     """
-    rows = valid_vectors(vectors, id_col, vector_col)
-    n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    if not n:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("v") == dim)
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
-    h = fitted(np.array([r.v for r in picked], np.float64), n, dim, nearest, tables, recall, seed)
+    spark = vectors.sparkSession
+    rows = valid_vectors(vectors, id_col, vector_col).withColumn("size", F.size("v"))
+    lengths = rows.groupBy("size").agg(F.count("*").alias("n"))
+    top = lengths.orderBy(F.col("n").desc(), "size").limit(1)
+    often = [(r["size"], r.n) for r in lengths.where(F.col("n") >= FEW).union(top).distinct().collect()]  # at most one for each FEW rows
+    if not often:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    is_query = F.pmod("id", F.lit(query_every)) == 0
+    out = None
+    for dim, n in sorted(often):
+        same = rows.where(F.col("size") == dim).drop("size")
+        picked = same.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
+        h = fitted(np.array([r.v for r in picked], np.float64), n, dim, nearest, tables, recall, seed)
+        part = _hashed(same, same.where(is_query), h, dim, n, nearest)
+        out = part if out is None else out.unionByName(part)
+    others = rows.where(~F.col("size").isin([d for d, _ in often])).select(F.col("size").cast("long").alias("bucket"), "id", "v")
+    asked = others.where(is_query).select(F.col("bucket").alias("b"), F.col("id").alias("i"), F.col("v").alias("w")).toDF("bucket", "id", "v")
+    return out.unionByName(_ranked(_scanned(others, asked, nearest), nearest))
+
+
+def _hashed(rows: DataFrame, queries: DataFrame, h: Hashing, dim: int, n: int, nearest: int) -> DataFrame:
+    """The nearest of n rows of one length to each query, by the hashing; by a scan of all where it finds too few."""
     kind = rows.schema["v"].dataType.simpleString()
     distinct = stored(_first_of_equals(rows, nearest + 1), "vectors")
-    queries = rows.where(F.pmod("id", F.lit(query_every)) == 0)
     layout = f"bucket long, id long, v {kind}"
-    found = _scanned(stored(distinct.mapInArrow(tidy(_index(h, dim)), layout), "index"), stored(queries.mapInArrow(tidy(_probe(h, dim)), layout), "probes"), nearest)
-    ranked = stored(_ranked(found, nearest), "ranked")
+    index, probes = stored(distinct.mapInArrow(tidy(_index(h, dim)), layout), "index"), stored(queries.mapInArrow(tidy(_probe(h, dim)), layout), "probes")
+    ranked = stored(_ranked(_scanned(index, probes, nearest), nearest), "ranked")
+    drop(index)
+    drop(probes)
     # a query whose buckets hold too few rows is scanned against all of them
     full = ranked.where(F.col("rank") == min(nearest, n - 1)).select(F.col("query_id").alias("id"))
     few = stored(queries.join(full, "id", "left_anti"), "few")
