@@ -128,9 +128,9 @@ def pivot(size: np.ndarray, mass: np.ndarray, draws: np.ndarray, last: bool = Tr
 def _round_group(seed: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # large documents first: the one that stays open is then likely a small one
-        pdf = pdf.sort_values(["size", "id", "mass"], ascending=[False, True, False], na_position="last").reset_index(drop=True)
+        pdf = pdf.sort_values(["size", "id", "mass", "h", "n"], ascending=[False, True, False, True, True], na_position="last").reset_index(drop=True)
         # the draws follow from the group's own ids, whatever order its rows came in
-        names = pd.util.hash_pandas_object(pdf[["id", "size"]], index=False).to_numpy()
+        names = pd.util.hash_pandas_object(pdf[["id", "size", "h", "n"]], index=False).to_numpy()
         rng = np.random.default_rng([seed, int(pdf["level"].iloc[0]), int(np.bitwise_xor.reduce(names * np.uint64(3) + np.arange(len(names), dtype=np.uint64)))])
         size = pdf["size"].to_numpy(np.float64)
         mass = pivot(size, pdf["mass"].to_numpy(np.float64), rng.random(2 * len(pdf)), last)
@@ -146,6 +146,16 @@ def _round_group(seed: int, last: bool):
     return run
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with n, which tells equal ones apart: they are counted, and written again one by one in runs, so that no
+    task gathers them and every number is the same in a rerun."""
+    each = rows.groupBy(*rows.columns).agg((F.count("*") - 1).alias("last"))
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"last div {CHUNK}")))
+    dealt = each.withColumn("run", run).repartition("h", "run")
+    upto = F.least("last", (F.col("run") + 1) * CHUNK - 1)
+    return dealt.select(*rows.columns, F.explode(F.sequence(F.col("run") * CHUNK, upto)).alias("n"))
+
+
 def pivotal_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, key_col: str | None = None) -> DataFrame:
     """One row for each row of docs: id, source, size (words), source_size, target (its source's), copies, taken.
 
@@ -155,20 +165,20 @@ def pivotal_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     key = ["key"] if key_col else []
     rows = docs.select(F.col(id_col).alias("id"), *(F.col(key_col).alias(k) for k in key), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    sized = stored(with_size(rows, "text", "size").select("id", *key, "source", "size"), "sizes")
+    sized = stored(with_size(rows, "text", "size").select("id", *key, "source", "size", F.xxhash64("text").alias("h")), "sizes")
     targets = source_targets(sized)
     counts = sized.groupBy("source").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks"))
     per_source = stored(targets.join(counts, targets.source.eqNullSafe(counts.source)).drop(counts.source), "targets")
     most = per_source.agg(F.max("chunks")).first()[0] or 1
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST_COPIES)))).otherwise(F.lit(0.0))
-    joined = sized.join(per_source.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    joined = _numbered(sized).join(per_source.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # copies that are whole but for rounding errors are whole
     joined = joined.withColumn("ratio", F.when(F.abs(ratio - F.round(ratio)) < 1e-12, F.round(ratio)).otherwise(ratio))
     state = joined.select(
-        "id", *key, "source", "size", "source_size", "target", "chunks",
+        "id", *key, "source", "size", "h", "n", "source_size", "target", "chunks",
         F.floor("ratio").cast("long").alias("whole"),
         ((F.col("ratio") - F.floor("ratio")) * F.col("size")).alias("mass"),
-        F.pmod(F.xxhash64("id", "size"), F.col("chunks")).alias("chunk"),
+        F.pmod(F.xxhash64("id", *key, "size", "h", "n"), F.col("chunks")).alias("chunk"),
         F.lit(0).alias("level"), F.lit(True).alias("open"),
     )
     done = []
@@ -183,7 +193,7 @@ def pivotal_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         level += 1
         most = -(-most // FAN_IN)
         chunks = F.ceil(F.col("chunks") / FAN_IN).cast("long")
-        state = state.where("open").select("id", *key, "source", "size", "source_size", "target", chunks.alias("chunks"), "whole", "mass", F.expr(f"chunk div {FAN_IN}").alias("chunk"), F.lit(level).alias("level"), "open")
+        state = state.where("open").select("id", *key, "source", "size", "h", "n", "source_size", "target", chunks.alias("chunks"), "whole", "mass", F.expr(f"chunk div {FAN_IN}").alias("chunk"), F.lit(level).alias("level"), "open")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
