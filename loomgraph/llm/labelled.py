@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: At most so many labelled documents teach a classifier.
-MOST_LABELLED = 6000
+from loomgraph.storage import stored
+
+#: At most so many labelled documents teach a classifier, and of those the first whose texts make up so many bytes.
+MOST_LABELLED, MOST_BYTES = 6000, 1 << 26
 
 
 def held_out(doc_id: Column) -> Column:
@@ -18,13 +20,18 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELLED) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts, labels and ids of at most `most` labelled documents that aren't held out, by hash of the id.
 
-    Only this bounded sample is gathered, and only to fit; every document is scored. Of documents
+    Only this sample, of MOST_BYTES at most, is gathered, and only to fit; every document is scored. Of documents
     with equal texts that with the smallest id teaches, of several labels of one document the largest."""
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(id_col)))
     chosen = chosen.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("label")).groupBy("id").agg(F.max("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(most)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "label", F.coalesce("text", F.lit("")).alias("text")).groupBy("text").agg(F.min_by("label", "id").alias("label"), F.min("id").alias("id")).collect()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("text").agg(F.min_by("label", "id").alias("label"), F.min("id").alias("id"))
+    rows = stored(rows.withColumn("bytes", F.octet_length("text").cast("long")), "labelled")
+    # at most `most` rows are numbered, without their texts
+    so_far = F.sum("bytes").over(Window.orderBy(F.xxhash64("id"), "id", "bytes"))
+    fit = rows.select("id", "bytes").distinct().withColumn("total", so_far).where(F.col("total") <= MOST_BYTES).select("id", "bytes")
+    rows = rows.join(F.broadcast(fit), ["id", "bytes"], "left_semi").select("id", "label", "text").collect()
     rows = sorted(rows, key=lambda r: (r.id, r.text))
     return [r.text for r in rows], np.array([r.label for r in rows], np.float64), np.array([r.id for r in rows], np.int64)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.oracle import SQL
 from loomgraph.storage import new_path
 
 
@@ -32,7 +33,7 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.mixing import pivotal_mix
 
-    return pivotal_mix(table(spark, sf_dir, "documents"))
+    return pivotal_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,26 +46,27 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.toxicity import toxicity
 
-    return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+    return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.html_text import main_text
 
     found = main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.pii import personal_data
 
-    return personal_data(table(spark, sf_dir, "documents")).withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+    found = personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.quality import quality
 
-    return quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+    return quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +81,22 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), query_every=50, nearest=5)
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact part of op3: what each source has and should have."""
+    from loomgraph.llm.mixing import source_targets, with_size
+
+    sizes = with_size(table(spark, sf_dir, "documents").select("source", "text"), "text", "size").drop("text")
+    return source_targets(sizes).select("source", "source_size", F.round("target", 6).alias("target"))
+
+
+def personal_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact part of op7: base spans."""
+    return op7_personal_data(spark, sf_dir).drop("spans")
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return {k: f for k, f in globals().items() if k in ("mixing_targets", "personal_base") or k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
