@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import connected_components
@@ -74,6 +74,13 @@ def pivot_columns(hops: DataFrame, ordinals: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(each.alias("m")).select("node", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("m")[i]).alias("hops"))
 
 
+def numbered_columns(edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hop columns (node, hops) to the sources in the order of their ids, and that order (source, ordinal)."""
+    order = Window.orderBy("node")  # a row for each source
+    ordinals = stored(sources.select("node").distinct().select(F.col("node").alias("source"), (F.row_number().over(order) - 1).alias("ordinal")), "ordinals")
+    return stored(pivot_columns(hop_distances(edges, sources), ordinals), "columns"), ordinals
+
+
 def lower_bounds(pairs: DataFrame, columns: DataFrame) -> DataFrame:
     """a, b, bound: the largest difference of their hop columns, which no path undercuts."""
     left, right = columns.select(F.col("node").alias("a"), F.col("hops").alias("ha")), columns.select(F.col("node").alias("b"), F.col("hops").alias("hb"))

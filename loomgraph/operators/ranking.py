@@ -63,3 +63,25 @@ def paired(scores: DataFrame, one: str, other: str) -> DataFrame:
     t = F.when((F.col("n") >= 3) & (F.col("s") > 0), F.col("m") / (F.col("s") / F.sqrt(F.col("n").cast("double"))))
     tail = F.udf(lambda t, n: None if t is None else student_two_sided(float(t), int(n) - 1), T.DoubleType())
     return stats.select("graph", "n", t.alias("t")).withColumn("p", tail("t", "n"))
+
+
+def overall_ranks(ranks: DataFrame) -> DataFrame:
+    """method, rank, place: the mean over metrics of the mean over graphs, from (metric, graph, method, rank), and the order it gives."""
+    each = ranks.groupBy("metric", "method").agg(F.avg("rank").alias("rank")).groupBy("method").agg(F.avg("rank").alias("rank"))
+    return each.withColumn("place", F.row_number().over(Window.orderBy("rank", "method")))  # a row for each method
+
+
+def selected(cells: DataFrame, by: str, *keys: str) -> DataFrame:
+    """For each value of the keys the row whose column `by` is least; of equals the one with the smallest remaining columns."""
+    rest = [c for c in cells.columns if c not in (*keys, by)]
+    return cells.where(F.col(by).isNotNull()).groupBy(*keys).agg(F.min(F.struct(by, *rest)).alias("best")).select(*keys, "best.*")
+
+
+def node_split(nodes: DataFrame, n_train: int, held_share: float = 0.2, n_outside: int = 1000, seed: int = 0) -> DataFrame:
+    """node, part: 'train', 'held' (of the training nodes a share whose hops no fit sees) and 'outside' (at most so many of the rest; of the training nodes where there is no rest)."""
+    order = nodes.select("node").distinct().orderBy(F.xxhash64(F.lit(seed), "node"), "node")
+    train = order.limit(n_train)
+    marked = train.withColumn("part", F.when(F.pmod(F.xxhash64(F.lit(seed + 1), "node"), F.lit(1000)) < int(1000 * held_share), "held").otherwise("train"))
+    rest = nodes.select("node").distinct().join(train, "node", "left_anti")
+    outside = (train if rest.isEmpty() else rest).orderBy(F.xxhash64(F.lit(seed + 2), "node"), "node").limit(n_outside)
+    return marked.unionByName(outside.withColumn("part", F.lit("outside")))

@@ -14,6 +14,10 @@ from loomgraph.storage import stored
 
 #: Points that a cell should hold on average.
 PER_CELL = 8.0
+#: A cell with so many times that is too full.
+CROWDED = 16
+#: Nodes of a block, where all pairs are wanted.
+BLOCK = 1024
 
 
 def _cell(v: Column, size) -> Column:
@@ -34,10 +38,22 @@ def range_join(points: DataFrame, others: DataFrame, radius: float) -> DataFrame
     return left.join(right, ["cx", "cy"]).where("a != b").select("a", "b", d.alias("d")).where(F.col("d") < radius)
 
 
+def _start_size(points: DataFrame, size: float, least: float, per_cell: float) -> float:
+    """A cell's width with which no cell holds far more than per_cell points, unless points coincide: one outlier or a
+    dense cluster must not put most of them in one cell."""
+    size, before = max(size, least), None
+    for _ in range(16):
+        most = points.groupBy(_cell(F.col("x"), size), _cell(F.col("y"), size)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if most <= CROWDED * per_cell or most == before or size / 4 < least:
+            break
+        before, size = most, size / 4
+    return size
+
+
 def nearest_points(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """a, b, d, rank: the k nearest points of each query by (distance, id), itself left out.
 
-    Cells are sized for a few points each. A query is done when its k-th distance doesn't pass the edge of the
+    Cells are sized for a few points each where points are densest. A query is done when its k-th distance doesn't pass the edge of the
     nine cells it saw; the rest go on with cells twice as wide, so the number of rounds grows with the logarithm of the spread.
     """
     n, lox, hix, loy, hiy = points.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
@@ -50,7 +66,7 @@ def nearest_points(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     if qx[0] is None:
         return spark.createDataFrame([], empty)
     whole = max(extent, hix - qx[0], qx[1] - lox, hiy - qx[2], qx[3] - loy)
-    size = max(extent / max(n / PER_CELL, 1.0) ** 0.5, whole * 1e-9)
+    size = _start_size(points, extent / max(n / PER_CELL, 1.0) ** 0.5, whole * 1e-9, max(k, PER_CELL))
     rest, done = queries.select(F.col("node").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), None
     order = Window.partitionBy("a").orderBy("d", "b")
     while True:
@@ -81,11 +97,56 @@ def placed_edges(edges: DataFrame, layout: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").select("src", "dst", "x1", "y1", "x2", "y2")
 
 
-def _boxed(segments: DataFrame, size: float) -> DataFrame:
-    """A row for each cell that a segment's bounding box meets."""
-    lo, hi = (lambda a, b: _cell(F.least(a, b), size)), (lambda a, b: _cell(F.greatest(a, b), size))
-    x = F.explode(F.sequence(lo(F.col("x1"), F.col("x2")), hi(F.col("x1"), F.col("x2"))))
-    return segments.withColumn("cx", x).withColumn("cy", F.explode(F.sequence(lo(F.col("y1"), F.col("y2")), hi(F.col("y1"), F.col("y2")))))
+def _walked(segments: DataFrame, size: float, wider: int = 0) -> DataFrame:
+    """A row for each cell that a segment meets, and for those up to `wider` cells from it. A long one has as many as it is long, not
+    as its box is large."""
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    rows = segments.withColumn("cx", F.explode(F.sequence(_cell(F.least(x1, x2), size) - wider, _cell(F.greatest(x1, x2), size) + wider)))
+    dx = x2 - x1
+    at = lambda cells: F.least(F.greatest(((F.col("cx") + cells) * size - x1) / dx, F.lit(0.0)), F.lit(1.0))
+    flat = F.abs(dx) < size * 1e-9
+    y = lambda t: y1 + t * (y2 - y1)
+    one, two = F.when(flat, y1).otherwise(y(at(-wider - 1e-9))), F.when(flat, y2).otherwise(y(at(wider + 1 + 1e-9)))
+    slack = size * 1e-9
+    return rows.withColumn("cy", F.explode(F.sequence(_cell(F.least(one, two) - slack, size) - wider, _cell(F.greatest(one, two) + slack, size) + wider)))
+
+
+def near_segments(edges: DataFrame, layout: DataFrame, reach: float) -> DataFrame:
+    """node, x, y, src, dst, x1, y1, x2, y2, d: the edges within reach of each node that aren't its own."""
+    points = layout.select("node", "x", "y", _cell(F.col("x"), reach).alias("cx"), _cell(F.col("y"), reach).alias("cy"))
+    d = point_segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    pairs = points.join(_walked(placed_edges(edges, layout), reach, 1), ["cx", "cy"]).where("node != src and node != dst")
+    return pairs.withColumn("d", d).where(F.col("d") < reach).drop("cx", "cy")
+
+
+def block_pairs(layout: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """a, ax, ay, b, bx, by (and kept columns after their a and b) of all ordered pairs of nodes: each two blocks of about BLOCK nodes meet in tasks."""
+    blocks = max(1, -(-layout.count() // BLOCK))
+    own, every = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    side = lambda p, mine, other: layout.select(F.col("node").alias(p), F.col("x").alias(p + "x"), F.col("y").alias(p + "y"), *(F.col(c).alias(p + c) for c in keep), own.alias(mine), every.alias(other))
+    return side("a", "i", "j").join(side("b", "j", "i"), ["i", "j"]).where("a != b").drop("i", "j")
+
+
+def near_edges(edges: DataFrame, layout: DataFrame, k: int) -> DataFrame:
+    """node, src, dst, d, rank: for each node the k edges that aren't its own whose ends or middle lie nearest."""
+    marks = placed_edges(edges, layout).select("src", "dst", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")), F.struct(((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y")))).alias("p"))
+    marks = stored(marks.select("src", "dst", "p.x", "p.y", F.xxhash64("src", "dst", "p.x", "p.y").alias("node")), "marks")
+    wanted, most = k, 3 * edges.count()
+    own = placed_edges(edges, layout).select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    near = nearest_points(layout.select("node", "x", "y"), marks, min(most, 3 * wanted + 3 * own))
+    named = near.join(marks.select(F.col("node").alias("b"), "src", "dst").distinct(), "b").where("a != src and a != dst")
+    each = named.groupBy(F.col("a").alias("node"), "src", "dst").agg(F.min("d").alias("d"))
+    order = Window.partitionBy("node").orderBy("d", "src", "dst")
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def crossing_candidates(edges: DataFrame, layout: DataFrame, k: int) -> DataFrame:
+    """a1, a2, b1, b2, d: each edge with the k edges whose middles are nearest to its own, where they share no end."""
+    numbered = edges.select("src", "dst", F.xxhash64("src", "dst").alias("node"))
+    middles = stored(placed_edges(edges, layout).select(F.xxhash64("src", "dst").alias("node"), ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y")), "middles")
+    near = nearest_points(middles, middles, k)
+    one, two = (numbered.select(F.col("node").alias(c), F.col("src").alias(c + "1"), F.col("dst").alias(c + "2")) for c in "ab")
+    return near.join(one, "a").join(two, "b").where("a1 != b1 and a1 != b2 and a2 != b1 and a2 != b2").select("a1", "a2", "b1", "b2", "d")
 
 
 def usual_length(segments: DataFrame) -> float:
@@ -94,24 +155,22 @@ def usual_length(segments: DataFrame) -> float:
 
 
 def crossings(edges: DataFrame, layout: DataFrame) -> DataFrame:
-    """a1, a2, b1, b2, angle: pairs of edges without a common end that cross. Pairs meet in the cells that both
-    boxes share, and count in the one that holds the larger of their lower corners."""
+    """a1, a2, b1, b2, angle: pairs of edges without a common end that cross. Edges meet in the cells that both
+    pass; a pair that crosses and shares several is told once."""
     segments = placed_edges(edges, layout)
     size = usual_length(segments)
-    boxed = _boxed(segments, size)
-    left = boxed.select(F.col("src").alias("a1"), F.col("dst").alias("a2"), *(F.col(c).alias("a" + c) for c in ("x1", "y1", "x2", "y2")), "cx", "cy")
-    right = boxed.select(F.col("src").alias("b1"), F.col("dst").alias("b2"), *(F.col(c).alias("b" + c) for c in ("x1", "y1", "x2", "y2")), "cx", "cy")
+    walked = _walked(segments, size)
+    left = walked.select(F.col("src").alias("a1"), F.col("dst").alias("a2"), *(F.col(c).alias("a" + c) for c in ("x1", "y1", "x2", "y2")), "cx", "cy")
+    right = walked.select(F.col("src").alias("b1"), F.col("dst").alias("b2"), *(F.col(c).alias("b" + c) for c in ("x1", "y1", "x2", "y2")), "cx", "cy")
     pairs = left.join(right, ["cx", "cy"]).where("(a1 < b1 or (a1 = b1 and a2 < b2)) and a1 != b1 and a1 != b2 and a2 != b1 and a2 != b2")
-    low = lambda c: _cell(F.greatest(F.least(f"a{c}1", f"a{c}2"), F.least(f"b{c}1", f"b{c}2")), size)
-    pairs = pairs.where((F.col("cx") == low("x")) & (F.col("cy") == low("y")))
     ends = [F.col(p + c) for p, cs in (("a", ("x1", "y1", "x2", "y2")), ("b", ("x1", "y1", "x2", "y2"))) for c in cs]
-    return pairs.where(segments_cross(*ends)).select("a1", "a2", "b1", "b2", crossing_angle(*ends).alias("angle"))
+    return pairs.where(segments_cross(*ends)).groupBy("a1", "a2", "b1", "b2").agg(F.first(crossing_angle(*ends)).alias("angle"))
 
 
 def clearances(edges: DataFrame, layout: DataFrame) -> DataFrame:
     """node, clearance, src, dst: the nearest edge that doesn't touch the node, by (distance, src, dst).
 
-    Points look in rings of cells as in nearest_points, edges stand in the cells of their boxes."""
+    Points look in rings of cells as in nearest_points, edges stand in the cells that they pass."""
     segments = stored(placed_edges(edges, layout), "segments")
     size = usual_length(segments)
     lox, hix, loy, hiy = layout.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
@@ -120,7 +179,7 @@ def clearances(edges: DataFrame, layout: DataFrame) -> DataFrame:
     while True:
         last = size > whole
         left = rest.withColumn("cx", _near(F.col("x"), size)).withColumn("cy", _near(F.col("y"), size))
-        pairs = left.join(_boxed(segments, size), ["cx", "cy"]).where("node != src and node != dst")
+        pairs = left.join(_walked(segments, size), ["cx", "cy"]).where("node != src and node != dst")
         d = point_segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
         best = pairs.groupBy("node", "x", "y").agg(F.min(F.struct(d.alias("clearance"), "src", "dst")).alias("m"))
         best = stored(best.select("node", "x", "y", "m.*"), "clearances")
@@ -136,12 +195,12 @@ def clearances(edges: DataFrame, layout: DataFrame) -> DataFrame:
         size *= 2
 
 
-def points_raster(layout: DataFrame, pixels: int) -> DataFrame:
-    """px, py, n: points counted on a square grid over the layout's extent."""
+def points_raster(layout: DataFrame, pixels: int, *by: str) -> DataFrame:
+    """px, py, n: points counted on a square grid over the layout's extent, for each value of the columns `by`."""
     lo = layout.agg(F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy"))
     span = F.greatest(F.col("hx") - F.col("lx"), F.col("hy") - F.col("ly"), F.lit(1e-12))
     place = lambda v, l: F.least(F.floor((F.col(v) - F.col(l)) / span * pixels), F.lit(pixels - 1)).cast("int")
-    return layout.crossJoin(F.broadcast(lo)).select(place("x", "lx").alias("px"), place("y", "ly").alias("py")).groupBy("px", "py").agg(F.count("*").alias("n"))
+    return layout.crossJoin(F.broadcast(lo)).select(*by, place("x", "lx").alias("px"), place("y", "ly").alias("py")).groupBy(*by, "px", "py").agg(F.count("*").alias("n"))
 
 
 def lines_raster(edges: DataFrame, layout: DataFrame, pixels: int, samples: int = 32) -> DataFrame:

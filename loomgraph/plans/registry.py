@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.models import network
-from loomgraph.operators import diffusion, edges, energies, hops, metrics, ranking, spatial
+from loomgraph.operators import diffusion, edges, energies, hops, linear, metrics, pairs, ranking, spatial
 from loomgraph.operators.components import connected_components
 from loomgraph.sources import graphs
 from loomgraph.storage import stored
@@ -270,14 +270,14 @@ def _sources(g: DataFrame, most: int, seed: int = 0) -> DataFrame:
 
 def _features(spark: SparkSession, sf_dir: str, g: DataFrame) -> DataFrame:
     marks = _sources(g, LANDMARKS)
-    table = diffusion.feature_table(diffusion.diffusion(g, marks), _layout(spark, sf_dir).select("node"), marks)
-    return stored(diffusion.standard_features(table, diffusion.moments(table), tie_dim=2), "features")
+    return stored(diffusion.assembled(g, _layout(spark, sf_dir).select("node"), marks, tie_dim=2), "features")
 
 
 def _fitted(spark: SparkSession, sf_dir: str, energy: str) -> tuple:
     g = _knn(spark, sf_dir)
-    table, far = _features(spark, sf_dir, g), stored(hops.hop_distances(g, _sources(g, PIVOTS)), "hops")
-    return g, table, far, network.fit(table, far, g, energy)
+    table, sources = _features(spark, sf_dir, g), _sources(g, PIVOTS)
+    columns, ordinals = hops.numbered_columns(g, sources)
+    return g, table, columns, network.fit(table, g, energy, columns, ordinals)
 
 
 @query()
@@ -300,6 +300,52 @@ def fit_blend(spark, sf_dir):
     return network.family(table, fitted, [0.0, 0.5, 1.0])
 
 
+@query()
+def fit_mean_field(spark, sf_dir):
+    """Places by a network fitted to the stress of all pairs."""
+    g = _knn(spark, sf_dir)
+    columns, _ = hops.numbered_columns(g, _sources(g, LANDMARKS))
+    table = _features(spark, sf_dir, g)
+    return network.place(table, network.fit_mean_field(table, g, columns))
+
+
+@query()
+def graph_communities(spark, sf_dir):
+    return pairs.communities(_knn(spark, sf_dir))
+
+
+@query()
+def layout_pivot_scaling(spark, sf_dir):
+    g = _knn(spark, sf_dir)
+    return linear.placed_by_axes(linear.pivot_scaling(hops.numbered_columns(g, _sources(g, LANDMARKS))[0]))
+
+
+@query()
+def layout_landmark_scaling(spark, sf_dir):
+    g = _knn(spark, sf_dir)
+    return linear.placed_by_axes(linear.landmark_scaling(*hops.numbered_columns(g, _sources(g, LANDMARKS))))
+
+
+@query()
+def layout_principal(spark, sf_dir):
+    return linear.placed_by_axes(linear.principal(_vectors(spark, sf_dir).select(F.col("vec_id").alias("node"), "embedding"), "embedding"))
+
+
+@query()
+def layout_forces(spark, sf_dir):
+    return energies.force_layout(_knn(spark, sf_dir), _layout(spark, sf_dir), 0.1, rounds=10)
+
+
+@query()
+def layout_refined(spark, sf_dir):
+    return energies.refined(_knn(spark, sf_dir), _layout(spark, sf_dir), 0.02, rounds=3)
+
+
+@query()
+def graph_near(spark, sf_dir):
+    return graphs.near_graph(_vectors(spark, sf_dir), 5, "vec_id", "embedding")
+
+
 @query()
 def fit_majorised_stress(spark, sf_dir):
     """Majorisation against the hops from nodes of every component."""
@@ -314,7 +360,308 @@ def graph_farthest_pivots(spark, sf_dir):
     return hops.farthest_pivots(g, edges.nodes_of(g), FARTHEST, first.node if first else 0)
 
 
-FLAGSHIP = score_neighbours
+HUBS = """hubs as (select src node from adj group by src order by count(*) desc, src limit 16),
+far_from as (select node source, node, 0 d from hubs union select r.source, a.dst, r.d + 1 from far_from r join adj a on a.src = r.node where r.d < 24),
+far as (select source, node, min(d) d from far_from group by all)"""
+SEGMENTS = """seg as (select src, dst, a.x x1, a.y y1, b.x x2, b.y y2 from edges join layout a on a.node = src join layout b on b.node = dst)"""
+NEAREST = """nearest as (select p.node a, q.node b, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) d,
+  row_number() over (partition by p.node order by sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)), q.node) k from layout p, layout q where p.node <> q.node)"""
+GAPS = """gaps as (select node, src, dst, x, y, x1, y1, x2, y2, least(greatest(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / greatest((x2 - x1) ** 2 + (y2 - y1) ** 2, 1e-12), 0), 1) t from layout, seg where node <> src and node <> dst),
+clear as (select node, min(sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2)) clearance, arg_min(src, (sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2), src, dst)) src,
+  arg_min(dst, (sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2), src, dst)) dst from gaps group by node)"""
+
+
+def _hubs(g: DataFrame) -> DataFrame:
+    """The nodes with the most edges."""
+    return stored(edges.degrees(g).orderBy(F.col("degree").desc(), "node").limit(16).select("node"), "hubs")
+
+
+def _hub_columns(g: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return hops.numbered_columns(g, _hubs(g))
+
+
+@query(f"with recursive {KNN}, {HUBS} select source, node, d from far")
+def graph_hub_hops(spark, sf_dir):
+    g = _knn(spark, sf_dir)
+    return hops.hop_distances(g, _hubs(g))
+
+
+@query(f"""with {KNN}, two as (select distinct l.src a, r.dst b from adj l join adj r on l.dst = r.src), three as (select distinct a, dst b from two join adj on src = b)
+select a, b from three where a < b and not exists (select 1 from two t where t.a = three.a and t.b = three.b) and not exists (select 1 from edges e where e.src = three.a and e.dst = three.b)""")
+def graph_three_hop_pairs(spark, sf_dir):
+    return pairs.three_hop_pairs(_knn(spark, sf_dir))
+
+
+@query(f"""with recursive {KNN}, {HUBS} select src, dst, max(greatest(abs(x.d - y.d), .9))::double rest from edges join far x on x.node = src join far y on y.node = dst and y.source = x.source group by 1, 2""")
+def graph_rest_lengths(spark, sf_dir):
+    g = _knn(spark, sf_dir)
+    return pairs.rest_lengths(g, _hub_columns(g)[0])
+
+
+@query(f"""with {KNN}, deg as (select src, count(*) n from adj group by src) select a.src, a.dst, round(1 / sqrt((s.n * d.n)::double), 9) w from adj a join deg s on s.src = a.src join deg d on d.src = a.dst""")
+def graph_normalised(spark, sf_dir):
+    return _rounded(edges.normalised_adjacency(_knn(spark, sf_dir)), "w", digits=9)
+
+
+@query(f"""with {KNN} select src, dst from edges join embeddings a on a.vec_id = src join embeddings b on b.vec_id = dst where a.label = b.label and a.label = (select min(label) from embeddings)""")
+def graph_induced(spark, sf_dir):
+    labels = _labels(spark, sf_dir)
+    least = labels.agg(F.min("label").alias("label"))
+    return edges.induced(_knn(spark, sf_dir), labels.join(least, "label", "left_semi"))
+
+
+@query(f"""with {TREE}, regions as (select n_regionkey, count(distinct n_nationkey) + count(c_custkey) n from nation left join customer on c_nationkey = n_nationkey group by 1),
+best as (select n_regionkey r from regions order by n desc, r limit 1), members as (select r::bigint + 1 node from best union all select n_nationkey::bigint + 100 from nation join best on n_regionkey = r
+union all select c_custkey + 1000 from customer join nation on c_nationkey = n_nationkey join best on n_regionkey = r), named as (select node, row_number() over (order by node) - 1 id from members)
+select least(a.id, b.id) src, greatest(a.id, b.id) dst from tree join named a on a.node = src join named b on b.node = dst""")
+def graph_relabelled(spark, sf_dir):
+    tree = graphs.place_tree(spark, sf_dir)
+    nodes = stored(edges.largest_component(tree), "component")
+    return edges.relabelled(edges.induced(tree, nodes), nodes)[1]
+
+
+@query(f"""with {KNN}, {SEGMENTS}, ranked as (select node, src, dst, least(sqrt((x - x1) ** 2 + (y - y1) ** 2), sqrt((x - x2) ** 2 + (y - y2) ** 2), sqrt((x - (x1 + x2) / 2) ** 2 + (y - (y1 + y2) / 2) ** 2)) d from layout, seg where node <> src and node <> dst),
+r as (select *, row_number() over (partition by node order by d, src, dst) "rank" from ranked) select node, src, dst, round(d, 6) d, "rank"::int "rank" from r where "rank" <= 3""")
+def graph_near_edges(spark, sf_dir):
+    return _rounded(spatial.near_edges(_knn(spark, sf_dir), _layout(spark, sf_dir), 3), "d")
+
+
+@query(f"""with {KNN}, {SEGMENTS}, m as (select src, dst, (x1 + x2) / 2 x, (y1 + y2) / 2 y from seg), r as (select a.src a1, a.dst a2, b.src b1, b.dst b2, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) d,
+row_number() over (partition by a.src, a.dst order by sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) k from m a, m b where a.src <> b.src or a.dst <> b.dst)
+select a1, a2, b1, b2, round(d, 6) d from r where k <= 4 and a1 <> b1 and a1 <> b2 and a2 <> b1 and a2 <> b2""")
+def graph_crossing_candidates(spark, sf_dir):
+    return _rounded(spatial.crossing_candidates(_knn(spark, sf_dir), _layout(spark, sf_dir), 4), "d")
+
+
+@query(f"""with {KNN}, {SEGMENTS}, {GAPS} select node, src, dst, round(sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2), 6) d from gaps where sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2) < .01""")
+def join_near_segments(spark, sf_dir):
+    return _rounded(spatial.near_segments(_knn(spark, sf_dir), _layout(spark, sf_dir), 0.01).select("node", "src", "dst", "d"), "d")
+
+
+@query(f"""with {KNN}, {SEGMENTS}, s as (select row_number() over (order by src, dst) i, * from seg), c as (select greatest(least(abs((a.x2 - a.x1) * (b.x2 - b.x1) + (a.y2 - a.y1) * (b.y2 - b.y1)) / (sqrt((a.x2 - a.x1) ** 2 + (a.y2 - a.y1) ** 2) * sqrt((b.x2 - b.x1) ** 2 + (b.y2 - b.y1) ** 2) + 1e-12), 1), 0) cosine
+from s a, s b where a.i < b.i and a.src <> b.src and a.src <> b.dst and a.dst <> b.src and a.dst <> b.dst
+and ((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1) > 0) <> ((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1) > 0)
+and ((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1) > 0) <> ((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1) > 0)),
+p as (select count(*) pairs from s a, s b where a.i < b.i and a.src <> b.src and a.src <> b.dst and a.dst <> b.src and a.dst <> b.dst), f as (select count(*) crossings, avg(degrees(acos(cosine))) angle from c)
+select crossings, pairs, round(1 - sqrt(crossings / pairs), 6) crosslessness, round(angle, 6) mean_crossing_angle from f, p""")
+def score_crossing_angles(spark, sf_dir):
+    return _rounded(metrics.crossing_scores(_knn(spark, sf_dir), _layout(spark, sf_dir)), "crosslessness", "mean_crossing_angle")
+
+
+@query(f"with {KNN}, {SEGMENTS}, {GAPS} select node, src, dst, round(clearance, 6) clearance from clear")
+def score_nearest_edges(spark, sf_dir):
+    return _rounded(spatial.clearances(_knn(spark, sf_dir), _layout(spark, sf_dir)), "clearance")
+
+
+@query(f"with {KNN}, {NEAREST} select a node, round(d, 6) nn from nearest where k = 1")
+def score_spacing(spark, sf_dir):
+    return _rounded(metrics.spacing(_layout(spark, sf_dir)), "nn")
+
+
+@query(f"""with {KNN}, {SEGMENTS}, {GAPS}, {NEAREST}, len as (select src, dst, sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2) l from seg), u as (select median(l) med_edge, max(l) max_edge, quantile_cont(l, .9) long from len), v as (select median(d) med_nn from nearest where k = 1)
+select round(med_edge, 6) med_edge, round(med_nn, 6) med_nn, round(avg((clearance < .25 * med_edge)::int), 6) occ_viol, round(avg((clearance < .25 * med_nn)::int), 6) occ_viol_ns, round(min(clearance / med_nn), 6) occ_min_ns,
+round(quantile_cont(clearance / med_nn, .01), 6) occ_p01_ns, round(max_edge / med_edge, 6) edge_tail, round(avg((l >= long)::int) filter (where clearance < .25 * med_edge), 6) long_edge_share
+from clear join len using (src, dst), u, v group by med_edge, med_nn, max_edge""")
+def score_occlusion(spark, sf_dir):
+    return _rounded(metrics.occlusion(_knn(spark, sf_dir), _layout(spark, sf_dir)), "med_edge", "med_nn", "occ_viol", "occ_viol_ns", "occ_min_ns", "occ_p01_ns", "edge_tail", "long_edge_share")
+
+
+@query(f"""with {KNN}, {SEGMENTS}, len as (select sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2) l from seg), q as (select unnest([.01, .5, .9, .98]) share) select share::double share, round((select quantile_cont(l, [.01, .5, .9, .98]) from len)[list_position([.01, .5, .9, .98], share)], 6) "value" from q""")
+def score_length_quantiles(spark, sf_dir):
+    return _rounded(metrics.quantiles(metrics.edge_lengths(_knn(spark, sf_dir), _layout(spark, sf_dir)), "length"), "value")
+
+
+@query(f"with {KNN}, {SEGMENTS} select round(quantile_disc(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2), .5), 6) median from seg")
+def score_median_length(spark, sf_dir):
+    return _rounded(metrics.lower_median(metrics.edge_lengths(_knn(spark, sf_dir), _layout(spark, sf_dir)), "length"), "median")
+
+
+@query(f"""with recursive {KNN}, {HUBS}, rows as (select source, node, d from far where d > 0 union all select src, dst, 1 from edges), r as (select sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / d r from rows join layout a on a.node = source join layout b on b.node = rows.node)
+select round(1 - sum(r) ** 2 / (count(*) * sum(r * r)), 6) stress, round(sum(r) / sum(r * r), 6) scale, count(*) n_pairs from r""")
+def score_pivot_edge_stress(spark, sf_dir):
+    g = _knn(spark, sf_dir)
+    return _rounded(energies.pivot_edge_stress(hops.hop_distances(g, _hubs(g)), g, _layout(spark, sf_dir)), "stress", "scale")
+
+
+@query(f"""with {KNN}, {NEAREST}, deg as (select src node, count(*) n from adj group by src), fresh as (select node from deg where n = (select min(n) from deg)), kept as (select node from layout where node not in (select node from fresh)),
+k as (select p.node a, q.node b, row_number() over (partition by p.node order by sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)), q.node) k from layout p join fresh on fresh.node = p.node, layout q join kept on kept.node = q.node),
+share as (select a, avg((x.label = y.label)::int) s from k join embeddings x on x.vec_id = a join embeddings y on y.vec_id = b where k.k <= 10 group by a),
+odds as (select label, count(*) / (select count(*) from kept) o from kept join embeddings on vec_id = node group by label)
+select round((select avg(s) from share), 6) agreement, round(avg(coalesce(o, 0)), 6) chance from fresh join embeddings e on e.vec_id = node left join odds using (label)""")
+def score_placement(spark, sf_dir):
+    g, at = _knn(spark, sf_dir), _layout(spark, sf_dir)
+    deg = stored(edges.degrees(g), "degrees")
+    fresh = at.join(deg.join(deg.agg(F.min("degree").alias("degree")), "degree", "left_semi"), "node", "left_semi")
+    return _rounded(metrics.placement_agreement(fresh, at.join(fresh, "node", "left_anti"), _labels(spark, sf_dir)), "agreement", "chance")
+
+
+@query(f"""with {KNN}, {SEGMENTS}, f as (select src, dst, greatest(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2), 1e-9) d, x2 - x1 dx, y2 - y1 dy from seg), e as (select src node, d * dx / .1 fx, d * dy / .1 fy from f union all select dst, -d * dx / .1, -d * dy / .1 from f)
+select node, round(sum(fx), 6) fx, round(sum(fy), 6) fy from e group by node""")
+def force_attraction(spark, sf_dir):
+    return _rounded(energies.attraction(_knn(spark, sf_dir), _layout(spark, sf_dir), 0.1), "fx", "fy")
+
+
+@query(f"""with recursive {KNN}, {HUBS}, deg as (select src node, count(*) + 1 m from adj group by src), p as (select h.node, a.x - q.x dx, a.y - q.y dy, .01 * da.m * db.m w from hubs h join layout a on a.node = h.node join deg da on da.node = h.node, layout q join deg db on db.node = q.node where q.node <> h.node)
+select node, round(sum(w * dx / (dx * dx + dy * dy)), 5) fx, round(sum(w * dy / (dx * dx + dy * dy)), 5) fy from p where dx * dx + dy * dy between .0001 and .25 group by node""")
+def force_repulsion(spark, sf_dir):
+    """By law 'fa2', with a cut-off and without the pairs that are handled as near ones."""
+    g = _knn(spark, sf_dir)
+    return _rounded(energies.repulsion(_layout(spark, sf_dir), _hubs(g), 0.1, "fa2", cutoff=5.0, near=0.1, edges=g), "fx", "fy", digits=5)
+
+
+@query("""with l as (select vec_id node, embedding[1]::double x, embedding[2]::double y from embeddings), p as (select a.node, a.x - b.x dx, a.y - b.y dy from l a, l b where a.node <> b.node and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < .05)
+select node, round(sum(.01 * dx / greatest(dx * dx + dy * dy, 1e-18)), 4) fx, round(sum(.01 * dy / greatest(dx * dx + dy * dy, 1e-18)), 4) fy from p group by node""")
+def force_near(spark, sf_dir):
+    return _rounded(energies.near_repulsion(_layout(spark, sf_dir), 0.1, 0.05), "fx", "fy", digits=4)
+
+
+@query("""with l as (select vec_id node, embedding[1]::double x, embedding[2]::double y from embeddings), c as (select avg(x) mx, avg(y) my from l), f as (select node, x, y, .3 * (mx - x) fx, .3 * (my - y) fy from l, c)
+select node, round(x + fx * least(1, .01 / greatest(sqrt(fx * fx + fy * fy), 1e-9)), 6) x, round(y + fy * least(1, .01 / greatest(sqrt(fx * fx + fy * fy), 1e-9)), 6) y from f""")
+def force_gravity_step(spark, sf_dir):
+    at = _layout(spark, sf_dir)
+    return _rounded(energies.stepped(at, energies.gravity(at, 0.3), 0.01), "x", "y")
+
+
+@query(f"""with {KNN}, {SEGMENTS}, a as (select sum(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2) ** 3 / .3) s from seg), r as (select sum(ln(greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 1e-6))) s from layout a, layout b where a.node < b.node)
+select round((a.s - .01 * r.s) / (select count(*) from layout), 6) energy from a, r""")
+def energy_forces(spark, sf_dir):
+    return _rounded(energies.force_energy(_knn(spark, sf_dir), _layout(spark, sf_dir), 0.1), "energy")
+
+
+@query(f"with {KNN}, {SEGMENTS} select round(avg(ln(1 + (x1 - x2) ** 2 + (y1 - y2) ** 2)), 6) attraction from seg")
+def energy_attraction(spark, sf_dir):
+    return _rounded(energies.edge_attraction_energy(_knn(spark, sf_dir), _layout(spark, sf_dir)), "attraction")
+
+
+@query(f"""with {KNN}, {SEGMENTS}, two as (select distinct l.src a, r.dst b from adj l join adj r on l.dst = r.src where l.src < r.dst and not exists (select 1 from edges e where e.src = l.src and e.dst = r.dst)),
+d as (select (p.x - q.x) ** 2 + (p.y - q.y) ** 2 d from two join layout p on p.node = a join layout q on q.node = b), u as (select sqrt(avg((x1 - x2) ** 2 + (y1 - y2) ** 2)) rms from seg),
+e as (select avg(ln(1 + greatest(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2) - .5 * rms, 0) ** 2)) e from seg, u) select round(4 * (select e from e) + .5 * avg(-ln(d / (1 + d) + 1e-6)), 6) energy from d""")
+def energy_neighbour(spark, sf_dir):
+    """Exaggerated, with a dead zone; the pairs at two hops repel."""
+    g = _knn(spark, sf_dir)
+    return _rounded(energies.neighbour_energy(g, edges.two_hop_pairs(g), _layout(spark, sf_dir), 4.0, 0.5, 0.5), "energy")
+
+
+@query(f"""with {KNN}, two as (select distinct l.src a, r.dst b from adj l join adj r on l.dst = r.src where l.src < r.dst and not exists (select 1 from edges e where e.src = l.src and e.dst = r.dst)),
+n as (select a, sum(1 / (1 + (p.x - q.x) ** 2 + (p.y - q.y) ** 2)) rest from two join layout p on p.node = a join layout q on q.node = b group by a),
+e as (select src a, 1 / (1 + (p.x - q.x) ** 2 + (p.y - q.y) ** 2) q from edges join layout p on p.node = src join layout q on q.node = dst)
+select round(avg(-ln(q / (q + coalesce(rest, 0)))), 6) contrast from e left join n using (a)""")
+def energy_contrast(spark, sf_dir):
+    g = _knn(spark, sf_dir)
+    return _rounded(energies.contrast_energy(g, edges.two_hop_pairs(g).select(F.col("a").alias("node"), F.col("b").alias("negative")), _layout(spark, sf_dir)), "contrast")
+
+
+@query(f"""with {KNN}, two as (select distinct l.src a, r.dst b from adj l join adj r on l.dst = r.src where l.src < r.dst and not exists (select 1 from edges e where e.src = l.src and e.dst = r.dst))
+select round(-avg(ln(greatest(2 * sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), 1e-9))), 6) spread from two join layout p on p.node = a join layout q on q.node = b""")
+def energy_spread(spark, sf_dir):
+    g = _knn(spark, sf_dir)
+    return _rounded(energies.spread_energy(edges.two_hop_pairs(g), _layout(spark, sf_dir), 2.0), "spread")
+
+
+@query(f"""with {KNN}, {SEGMENTS}, {GAPS} select round(avg(greatest(0, 1 - clearance / .05) ** 2), 6) clearance_loss from clear""")
+def energy_clearance(spark, sf_dir):
+    return _rounded(energies.clearance_energy(spatial.clearances(_knn(spark, sf_dir), _layout(spark, sf_dir)), 0.05), "clearance_loss")
+
+
+@query(f"""with {KNN}, {SEGMENTS}, m as (select *, (x1 + x2) / 2 x, (y1 + y2) / 2 y from seg), r as (select a.x1 ax, a.y1 ay, a.x2 bx, a.y2 "by", b.x1 cx, b.y1 cy, b.x2 dx, b.y2 dy, a.src <> b.src and a.src <> b.dst and a.dst <> b.src and a.dst <> b.dst ok,
+row_number() over (partition by a.src, a.dst order by sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) k from m a, m b where a.src <> b.src or a.dst <> b.dst),
+t as (select ((bx - ax) * (cy - ay) - ("by" - ay) * (cx - ax)) * ((bx - ax) * (dy - ay) - ("by" - ay) * (dx - ax)) u, ((dx - cx) * (ay - cy) - (dy - cy) * (ax - cx)) * ((dx - cx) * ("by" - cy) - (dy - cy) * (bx - cx)) v from r where k <= 4 and ok)
+select round(avg(1 / (1 + exp(least(greatest(u / 1e-4, -60), 60))) / (1 + exp(least(greatest(v / 1e-4, -60), 60)))), 6) crossing_loss from t""")
+def energy_crossing(spark, sf_dir):
+    g, at = _knn(spark, sf_dir), _layout(spark, sf_dir)
+    return _rounded(energies.smooth_crossing_energy(spatial.crossing_candidates(g, at, 4).drop("d"), at, 1e-4), "crossing_loss")
+
+
+@query(f"""with recursive {KNN}, {HUBS}, b as (select h.node a, q.node, max(abs(x.d - y.d)) b from hubs h, layout q join far x on x.node = q.node join far y on y.source = x.source where y.node = h.node group by 1, 2),
+p as (select a, b.node, s.x ax, s.y ay, q.x, q.y, greatest(sqrt((s.x - q.x) ** 2 + (s.y - q.y) ** 2), 1e-6) d, greatest(b, .9) r from b join layout s on s.node = a join layout q on q.node = b.node),
+c as (select sum(d * r) / sum(r * r) scale, count(distinct node) n from p), w as (select a, 1 / (scale * r) ** 2 w, scale * r r, d, ax, ay, x, y, n, scale from p, c where a <> node and not exists (select 1 from adj where src = a and dst = node))
+select a node, round(sum(w * (x - ax + r / d * (ax - x))) / any_value(n), 6) num_x, round(sum(w * (y - ay + r / d * (ay - y))) / any_value(n), 6) num_y, round(sum(w) / any_value(n), 6) den, round(any_value(scale), 6) scale from w group by a""")
+def layout_mean_field_rows(spark, sf_dir):
+    """The exact rows of one mean-field majorisation step, at the hubs."""
+    g = _knn(spark, sf_dir)
+    return _rounded(energies.mean_field_rows(_layout(spark, sf_dir), _hub_columns(g)[0], _hubs(g), g), "num_x", "num_y", "den", "scale")
+
+
+@query(f"""with recursive {KNN}, {HUBS}, r as (select sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / d r from far join layout a on a.node = source join layout b on b.node = far.node where d > 0), u as (select sum(r * r) / sum(r) unit from r),
+rows as (select source, node, d, 1.0 / (d * d) w from far where d > 0 union all select src, dst, 1, 1 from adj), t as (select rows.node, w, a.x + d * unit / greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 1e-9) * (b.x - a.x) tx, a.y + d * unit / greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 1e-9) * (b.y - a.y) ty
+from rows join layout a on a.node = source join layout b on b.node = rows.node, u) select node, round(sum(w * tx) / sum(w), 6) x, round(sum(w * ty) / sum(w), 6) y from t group by node""")
+def layout_majorised_with_edges(spark, sf_dir):
+    g = _knn(spark, sf_dir)
+    return _rounded(energies.majorised_with(hops.hop_distances(g, _hubs(g)), g, _layout(spark, sf_dir)), "x", "y")
+
+
+@query(f"""with {KNN}, b as (select min(x) lx, min(y) ly, greatest(max(x) - min(x), max(y) - min(y), 1e-12) s from layout)
+select label, least(floor((x - lx) / s * 16), 15)::int px, least(floor((y - ly) / s * 16), 15)::int py, count(*) n from layout join embeddings on vec_id = node, b group by 1, 2, 3""")
+def layout_raster_labels(spark, sf_dir):
+    return spatial.points_raster(_layout(spark, sf_dir).join(_labels(spark, sf_dir), "node"), 16, "label")
+
+
+@query(f"""with {KNN}, {SEGMENTS}, b as (select min(x) lx, min(y) ly, greatest(max(x) - min(x), max(y) - min(y), 1e-12) s from layout), along as (select src, dst, x1 + t / 32 * (x2 - x1) x, y1 + t / 32 * (y2 - y1) y from seg, (select unnest(range(33)) t)),
+met as (select distinct src, dst, least(floor((x - lx) / s * 16), 15)::int px, least(floor((y - ly) / s * 16), 15)::int py from along, b) select px, py, count(*) n from met group by 1, 2""")
+def layout_lines(spark, sf_dir):
+    return spatial.lines_raster(_knn(spark, sf_dir), _layout(spark, sf_dir), 16)
+
+
+@query(f"""with {KNN}, c as (select avg(x) mx, avg(y) my from layout), d as (select node, x - mx x, y - my y from layout, c), r as (select quantile_cont(sqrt(x * x + y * y), .98) r from d) select node, round(x / r, 6) x, round(y / r, 6) y from d, r""")
+def layout_rescaled(spark, sf_dir):
+    return _rounded(energies.rescaled(_layout(spark, sf_dir)), "x", "y")
+
+
+@query(f"""with {RANKS}, t as (select graph, "rank", count(*) t from r group by 1, 2), u as (select sum(t ** 3 - t) ties from t), m as (select "method", sum("rank") s, count(*) n from r group by 1), q as (select sum(s * s) q, count(*) k, max(n) n from m)
+select k, round(exp(-(12.0 / (n * k * (k + 1)) * q - 3 * n * (k + 1)) / (1 - ties / (n * (k ** 3 - k))) / 2), 6) p from q, u""")
+def table_friedman_p(spark, sf_dir):
+    """With three methods the tail of the statistic is exp(-statistic / 2)."""
+    return _rounded(ranking.friedman(_ranks(spark, sf_dir)).select("k", "p"), "p")
+
+
+@query("""with v as (select o_orderpriority graph, l_returnflag "method", 'quantity' metric, round(avg(l_quantity), 6) v from orders join lineitem on l_orderkey = o_orderkey group by 1, 2 union all
+select o_orderpriority, l_returnflag, 'discount', round(avg(l_discount), 6) from orders join lineitem on l_orderkey = o_orderkey group by 1, 2),
+r as (select metric, graph, "method", rank() over (partition by metric, graph order by v) + (count(*) over (partition by metric, graph, v) - 1) / 2.0 r from v), m as (select metric, "method", avg(r) r from r group by 1, 2), o as (select "method", avg(r) r from m group by 1)
+select "method", round(r, 6)::double "rank", row_number() over (order by r, "method")::int place from o""")
+def table_overall_ranks(spark, sf_dir):
+    orders, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    rows = orders.join(lines, orders.o_orderkey == lines.l_orderkey).groupBy(F.col("o_orderpriority").alias("graph"), F.col("l_returnflag").alias("method"))
+    out = None
+    for metric, column in (("quantity", "l_quantity"), ("discount", "l_discount")):
+        one = ranking.mean_ranks(rows.agg(F.round(F.avg(column), 6).alias("value"))).withColumn("metric", F.lit(metric))
+        out = one if out is None else out.unionByName(one)
+    return _rounded(ranking.overall_ranks(out), "rank")
+
+
+MARKS = """c as (select o_orderpriority graph, o_orderstatus "method", avg(o_totalprice) mean from orders group by 1, 2), f as (select *, min(mean) over (partition by graph) a from c),
+s as (select *, min(case when mean > a + 5000 then mean end) over (partition by graph) b from f)"""
+
+
+@query(f"""with {MARKS} select graph, "method", round(mean, 4) mean, case when mean <= a + 5000 then 'best' when mean <= b + 5000 then 'second' end mark from s""")
+def table_marked(spark, sf_dir):
+    """Means that differ by less than half of ten thousand share a mark."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    found = ranking.cells(orders.select(F.col("o_orderpriority").alias("graph"), F.col("o_orderstatus").alias("method"), F.col("o_totalprice").alias("value")))
+    return _rounded(ranking.marked(found, -4), "mean", digits=4)
+
+
+@query("""with v as (select o_orderpriority graph, year(o_orderdate) seed, o_orderstatus m, avg(o_totalprice) v from orders group by 1, 2, 3), d as (select a.graph, a.v - b.v d from v a join v b using (graph, seed) where a.m = 'F' and b.m = 'O')
+select graph, count(*) n, round(case when count(*) >= 3 and stddev_samp(d) > 0 then avg(d) / (stddev_samp(d) / sqrt(count(*))) end, 6) t from d group by graph""")
+def table_paired(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = orders.groupBy(F.col("o_orderpriority").alias("graph"), F.year("o_orderdate").alias("seed"), F.col("o_orderstatus").alias("method")).agg(F.avg("o_totalprice").alias("value"))
+    return _rounded(ranking.paired(rows, "F", "O").drop("p"), "t")
+
+
+@query("""select o_orderpriority graph, arg_min(o_totalprice, (o_totalprice, o_orderkey)) loss, arg_min(o_orderkey, (o_totalprice, o_orderkey)) config from orders group by 1""")
+def table_selected(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return ranking.selected(orders.select(F.col("o_orderpriority").alias("graph"), F.col("o_totalprice").alias("loss"), F.col("o_orderkey").alias("config")), "loss", "graph")
+
+
+@query()
+def score_bundle(spark, sf_dir):
+    """Every score of the layout, against hops from nodes of all components."""
+    g = _knn(spark, sf_dir)
+    return metrics.score_bundle(g, _layout(spark, sf_dir), hops.hop_distances(g, _sources(g, PIVOTS)), _labels(spark, sf_dir))
+
+
+FLAGSHIP = score_bundle
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

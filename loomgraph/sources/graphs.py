@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.arrays import squared_distance
 from loomgraph.functions.draws import uniform
 from loomgraph.operators.edges import canonical
 from loomgraph.storage import stored
@@ -18,9 +20,7 @@ def edge_list(spark: SparkSession, path: str, sep: str = " ", comment: str = "#"
 
 
 def matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """src, dst from a sparse matrix file: after % comments and the line of sizes, a row and a column a line. Values are ignored.
-
-    The line of sizes is the only one whose first number is the matrix's order with its entries as third."""
+    """src, dst from a sparse matrix file: after % comments and the line of sizes (the first that is no comment), a row and a column a line. Values are ignored."""
     lines = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
     parts = F.split(F.trim("value"), r"\s+")
     rows = lines.select(F.monotonically_increasing_id().alias("i"), parts.alias("p"))
@@ -55,12 +55,29 @@ def random_tree(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     return spark.range(1, n).select(F.floor(uniform("id", seed=seed) * F.col("id")).cast("long").alias("src"), F.col("id").alias("dst"))
 
 
+def _block_rows(sizes: list[int], inside: float, across: float, seed: int):
+    bounds = np.cumsum([0, *sizes])
+
+    def run(batches):
+        for b in batches:
+            for i in b["id"].tolist():
+                rng, own = np.random.default_rng([seed, i]), int(np.searchsorted(bounds, i, "right")) - 1
+                later = []
+                for block in range(own, len(sizes)):
+                    lo, hi = max(i + 1, int(bounds[block])), int(bounds[block + 1])
+                    n = int(rng.binomial(max(hi - lo, 0), inside if block == own else across))
+                    later.append(lo + rng.choice(hi - lo, n, replace=False) if n else np.zeros(0, np.int64))
+                to = np.concatenate(later)
+                yield pd.DataFrame({"src": np.full(len(to), i), "dst": to})
+
+    return run
+
+
 def block_model(spark: SparkSession, sizes: list[int], inside: float, across: float, seed: int = 0) -> DataFrame:
-    """Communities of the given sizes; every two nodes are linked by a chance that depends on whether they share one."""
-    n, bounds = sum(sizes), [sum(sizes[: i + 1]) for i in range(len(sizes))]
-    block = lambda c: sum((F.col(c) >= b).cast("int") for b in bounds)
-    pairs = spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.col("id") + 1, F.lit(n))).alias("dst")).where(F.col("dst") < n)
-    return pairs.where(uniform("src", "dst", seed=seed) < F.when(block("src") == block("dst"), inside).otherwise(across))
+    """Communities of the given sizes; every two nodes are linked by a chance that depends on whether they share one.
+
+    A node draws how many later nodes of each community it is linked with, then which, so that the work grows with the edges, not with the pairs."""
+    return spark.range(sum(sizes)).mapInPandas(_block_rows(sizes, inside, across, seed), "src long, dst long")
 
 
 def rewired_ring(spark: SparkSession, n: int, k: int, chance: float, seed: int = 0) -> DataFrame:
@@ -122,13 +139,187 @@ def suppliers_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def users_in_turn(events: DataFrame) -> DataFrame:
-    """src, dst, first, n: users of consecutive events of one type, since when and how often."""
-    by_type = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    steps = events.select("user_id", "ts", F.lag("user_id").over(by_type).alias("before")).where("before != user_id")
-    return steps.groupBy(F.least("before", "user_id").alias("src"), F.greatest("before", "user_id").alias("dst")).agg(F.min("ts").alias("first"), F.count("*").alias("n"))
+    """src, dst, first, n: users of consecutive events of one type, since when and how often.
+
+    Events lie in ranges of (type, time), each looked through by itself; a range's first event of a type looks back to the last one of
+    an earlier range. So no task holds all events of a type."""
+    ranged = stored(events.select("event_type", "ts", "event_id", "user_id").repartitionByRange("event_type", "ts", "event_id").withColumn("part", F.spark_partition_id()), "events")
+    inside = Window.partitionBy("part", "event_type").orderBy("ts", "event_id")
+    steps = ranged.withColumn("before", F.lag("user_id").over(inside)).withColumn("begins", F.row_number().over(inside) == 1)
+    ends = ranged.groupBy("part", "event_type").agg(F.max_by("user_id", F.struct("ts", "event_id")).alias("end"))
+    back = ends.withColumn("earlier", F.lag("end").over(Window.partitionBy("event_type").orderBy("part"))).select("part", "event_type", "earlier")  # a row for each range
+    linked = steps.join(back, ["part", "event_type"]).withColumn("before", F.when(F.col("begins"), F.col("earlier")).otherwise(F.col("before"))).where("before != user_id")
+    return linked.groupBy(F.least("before", "user_id").alias("src"), F.greatest("before", "user_id").alias("dst")).agg(F.min("ts").alias("first"), F.count("*").alias("n"))
+
+
+def labelled_vectors(spark: SparkSession, vectors: str, labels: str, label: str = "Cluster") -> DataFrame:
+    """node, v, label from two CSV files with headers whose first column names a row: components of a vector, and a class in the column `label`."""
+    rows, classes = (spark.read.csv(p, header=True) for p in (vectors, labels))
+    name, *parts = rows.columns
+    wide = rows.select(F.col(f"`{name}`").alias("node"), F.array(*(F.col(f"`{c}`").cast("float") for c in parts)).alias("v"))
+    return wide.join(classes.select(F.col(f"`{classes.columns[0]}`").alias("node"), F.col(f"`{label}`").cast("short").alias("label")), "node", "left")
+
+
+def scattered_points(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+    return spark.range(n).select(F.col("id").alias("node"), uniform("id", F.lit(0), seed=seed).alias("x"), uniform("id", F.lit(1), seed=seed).alias("y"))
+
+
+def _cell_neighbours(width: float):
+    """src, dst: whose region of nearest places, within the unit square, a point of the task's own cells borders on.
+
+    A point's region is the square cut by its bisector with each other point, nearest first, until no further point can
+    reach the region. Points too near the edge of what the task knows to tell come out with dst -1."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf["own"]]
+        ids, at = pdf["node"].to_numpy(), pdf[["x", "y"]].to_numpy()
+        lo, hi = np.array([own["cx"].iloc[0], own["cy"].iloc[0]]) * width - pdf["halo"].iloc[0] * width, None
+        hi = lo + (2 * pdf["halo"].iloc[0] + 1) * width
+        src, dst = [], []
+        for node, p in zip(own["node"], own[["x", "y"]].to_numpy(), strict=True):
+            region, by = np.array([[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]]), [-1] * 4  # by[k]: who made the side from corner k on
+            far = np.sqrt(((at - p) ** 2).sum(1))
+            for k in np.argsort(far, kind="stable"):
+                if ids[k] == node:
+                    continue
+                if far[k] > 2 * np.sqrt(((region - p) ** 2).sum(1).max()):
+                    break
+                side = (region - (at[k] + p) / 2) @ (at[k] - p)  # positive: nearer to the other
+                if (side <= 0).all():
+                    continue
+                corners, makers = [], []
+                for i in range(len(region)):
+                    j = (i + 1) % len(region)
+                    if side[i] <= 0:
+                        corners.append(region[i])
+                        makers.append(by[i])
+                    if (side[i] <= 0) != (side[j] <= 0):
+                        corners.append(region[i] + side[i] / (side[i] - side[j]) * (region[j] - region[i]))
+                        makers.append(int(ids[k]) if side[i] <= 0 else by[i])
+                region, by = np.array(corners), makers
+            reach = 2 * np.sqrt(((region - p) ** 2).sum(1).max())
+            room = min(np.where(lo <= 0, np.inf, p - lo).min(), np.where(hi >= 1, np.inf, hi - p).min())
+            found = [-1] if reach > room else sorted({m for m in by if m >= 0})
+            src += [int(node)] * len(found)
+            dst += found
+        return pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
+
+    return run
+
+
+def triangulated(points: DataFrame, n: int) -> DataFrame:
+    """src, dst: points (node, x, y in the unit square) whose regions of nearest places border on one another within the square: the
+    Delaunay triangulation, less edges along the hull that only meet outside.
+
+    Each cell of about 16 points is worked on with the cells around it; the few that need to see further are worked on again with more."""
+    side = max(1, int((n / 16) ** 0.5))
+    width, halo, out = 1.0 / side, 2, None
+    cell = lambda c: F.least(F.floor(F.col(c) * side), F.lit(side - 1)).cast("int")
+    points = stored(points.select("node", "x", "y", cell("x").alias("cx"), cell("y").alias("cy")), "points")
+    todo = points.select("cx", "cy").distinct()
+    while True:
+        around = lambda c: F.explode(F.sequence(F.col(c) - halo, F.col(c) + halo))
+        seen = todo.select(F.col("cx").alias("tx"), F.col("cy").alias("ty"), around("cx").alias("cx"), "cy").select("tx", "ty", "cx", around("cy").alias("cy"))
+        own = (F.col("cx") == F.col("tx")) & (F.col("cy") == F.col("ty"))
+        rows = points.join(seen, ["cx", "cy"]).select("tx", "ty", "node", "x", "y", F.col("tx").alias("cx"), F.col("ty").alias("cy"), own.alias("own"), F.lit(halo).alias("halo"))
+        found = stored(rows.groupBy("tx", "ty").applyInPandas(_cell_neighbours(width), "src long, dst long"), "triangles")
+        sure = found.where("dst >= 0")
+        out = sure if out is None else out.union(sure)
+        todo = stored(points.join(found.where("dst < 0").select(F.col("src").alias("node")), "node", "left_semi").select("cx", "cy").distinct(), "todo")
+        if halo >= side or todo.isEmpty():
+            return canonical(out)
+        halo *= 2
+
+
+def delaunay(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+    return triangulated(scattered_points(spark, n, seed), n)
+
+
+def nearly_planar(spark: SparkSession, n: int, extra: int | None = None, seed: int = 0) -> DataFrame:
+    """A triangulation with some random edges more, one for twelve nodes by default."""
+    return with_extra_edges(delaunay(spark, n, seed), n, max(1, n // 12) if extra is None else extra, seed)
+
+
+#: Graphs by name; each is made by its size and a seed.
+NAMED = {
+    "grid": lambda spark, n, seed: grid(spark, max(1, round(n**0.5))),
+    "tree": random_tree,
+    "delaunay": delaunay,
+    "nearly_planar": lambda spark, n, seed: nearly_planar(spark, n, None, seed),
+    "sbm": lambda spark, n, seed: block_model(spark, [n // 3] * 3, 0.12, 0.008, seed),
+    "ring": lambda spark, n, seed: rewired_ring(spark, n, 6, 0.02, seed),
+    "balanced_tree": lambda spark, n, seed: balanced_tree(spark, 3, max(1, round(np.log(2 * n + 1) / np.log(3)) - 1)),
+}
+
+
+def named_graph(spark: SparkSession, name: str, seed: int = 0) -> DataFrame:
+    """The largest component of a graph named kind_size ('grid_400'), its nodes numbered from 0."""
+    from loomgraph.operators.edges import induced, largest_component, relabelled
+
+    kind, size = name.rsplit("_", 1)
+    if kind not in NAMED:
+        raise ValueError(f"no graph {name}")
+    edges = stored(NAMED[kind](spark, int(size), seed), "graph")
+    nodes = stored(largest_component(edges), "component")
+    return relabelled(induced(edges, nodes), nodes)[1]
+
+
+def scaling_graphs(spark: SparkSession, sizes: list[int], seed: int = 0) -> dict[int, DataFrame]:
+    return {n: delaunay(spark, n, seed) for n in sizes}
+
+
+def _best(candidates: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("a").orderBy("q", "b")
+    return candidates.groupBy("a", "b").agg(F.min("q").alias("q")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("a", "b", "q")
+
+
+def near_graph(vectors: DataFrame, k: int, id_col: str, vector_col: str, tables: int = 4, rounds: int = 2, block: int = 1024, seed: int = 5) -> DataFrame:
+    """As knn_graph, nearly: vectors meet only in buckets of a few random hyperplanes' signs, drawn several times, and then, in some rounds,
+    with the neighbours of their neighbours. The work grows with the number of vectors; recall is what tests measure.
+
+    A bucket of more than `block` vectors is dealt out by hash, so no task holds more than about so many; all vectors should be of one length."""
+    rows = stored(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null"), "vectors")
+    n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not n:
+        return vectors.sparkSession.createDataFrame([], "src long, dst long")
+    bits = max(0, int(np.ceil(np.log2(n / block * 2)))) if n > block else 0
+    centre = np.array(rows.agg(*(F.avg(F.col("v")[i]) for i in range(dim))).first(), np.float64)
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
+
+    def bucketed(batches):
+        for b in batches:
+            if b.num_rows:
+                x = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, dim) - centre
+                signs = np.einsum("nd,tbd->ntb", x, planes) > 0
+                name = (signs << np.arange(bits)).sum(2) if bits else np.zeros((len(x), tables), np.int64)
+                for t in range(tables if bits else 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(name[:, t] * tables + t), b.column("id"), b.column("v")], ["bucket", "id", "v"])
+
+    kind = rows.schema["v"].dataType.simpleString()
+    dealt = stored(rows.mapInArrow(bucketed, f"bucket long, id long, v {kind}"), "buckets")
+    runs = dealt.groupBy("bucket").agg(F.ceil(F.count("*") / (2 * block)).cast("int").alias("runs"))
+    dealt = dealt.join(runs, "bucket").withColumn("run", F.pmod(F.xxhash64("id"), F.col("runs")))
+    near = stored(_best(dealt.groupBy("bucket", "run").applyInPandas(lambda x: _nearest_in_blocks(k)(x, x), "a long, b long, q double"), k), "near")
+    for _ in range(rounds if bits else 0):
+        both = near.select("a", "b").union(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+        # of a node that many hold for their neighbour, only so many partners are tried
+        few = both.withColumn("i", F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b")))).where(F.col("i") <= 3 * k).drop("i")
+        tried = near.select("a", F.col("b").alias("m")).join(few.select(F.col("a").alias("m"), "b"), "m").where("a != b").select("a", "b").distinct().join(near, ["a", "b"], "left_anti")
+        va, vb = rows.select(F.col("id").alias("a"), F.col("v").alias("va")), rows.select(F.col("id").alias("b"), F.col("v").alias("vb"))
+        more = tried.join(va, "a").join(vb, "b").select("a", "b", squared_distance(F.col("va"), F.col("vb")).alias("q"))
+        near = stored(_best(near.unionByName(more), k), "near")
+    return canonical(near, "a", "b")
 
 
 def save(layout: DataFrame, path: str, *keys: str) -> None:
     """Layouts as Parquet, one folder for each value of the keys; the commit protocol makes the write atomic."""
     layout.write.mode("overwrite").partitionBy(*keys).parquet(path)
 
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def save_scores(scores: DataFrame, path: str) -> None:
+    """Scores as JSON, a line each, replacing what is there at once."""
+    scores.write.mode("overwrite").json(path)
