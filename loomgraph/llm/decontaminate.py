@@ -239,7 +239,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
     Words are runs of letters and digits, lower-cased. An item matches a window of as many words whose weighted
     shingle similarity is at least 0.8 (a shorter document as a whole); of several windows the best is told, the
-    first of equals. A text of fewer than five words is one shingle, so it matches only an equal item. Null and
+    first of equals. A text of fewer than five words is one shingle, so it matches only an equal item, and an item of so
+    few words, which everyday language holds by chance, matches only an equal text. Null and
     empty texts and items match nothing; rows of equal ids are told each. Extra columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
