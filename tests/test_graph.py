@@ -125,7 +125,7 @@ def test_tangent_frames_of_a_flat_sheet(spark, grid):
 def test_features_fall_back_to_hops(spark, grid):
     g, _, _, d = grid
     nodes, marks = edges.nodes_of(g), spark.createDataFrame([(0,), (80,)], "node long")
-    block = diffusion.feature_block(g, nodes, marks)
+    block = diffusion.feature_block(g, nodes, marks, steps=16)
     assert {len(r.features) for r in block.collect()} == {2} and block.count() == 81
     far = edges_of(spark, [(i, i + 1) for i in range(9)] + [(100 + 2 * i, 101 + 2 * i) for i in range(1500)])
     long = diffusion.feature_block(far, edges.nodes_of(far), spark.createDataFrame([(0,), (1,)], "node long"), steps=2)
@@ -211,7 +211,7 @@ def test_users_in_turn_of_one_type(spark):
 def test_plane_joins_with_skew(spark, kind):
     at = np.random.default_rng(6).random((120, 2))
     if kind == "outlier":
-        at[0] = [1e6, -1e6]
+        at[0] = [1e3, -1e3]
     elif kind == "cluster":
         at[:90] = 0.5 + at[:90] * 1e-5
     else:
@@ -379,6 +379,15 @@ def test_arrivals_are_placed_once(spark, grid, features, tmp_path):
     assert sorted(r.node for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(81))
 
 
+def test_windowed_activity(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.write.parquet(str(tmp_path / "events"))
+    stream = growth.windowed_activity(spark.readStream.schema(events.schema).parquet(str(tmp_path / "events")))
+    stream.writeStream.format("memory").queryName("activity").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    want = {(r.since, r.event_type): r.n for r in events.groupBy(F.date_trunc("day", "ts").cast("timestamp").alias("since"), "event_type").agg(F.count("*").alias("n")).collect()}
+    assert {(r.since, r.event_type): r.n for r in spark.table("activity").collect()} == want
+
+
 def test_placed_features_and_distances(spark):
     path = edges_of(spark, [(0, 1), (1, 2), (2, 3)])
     known = spark.createDataFrame([(0, 0, 0), (0, 1, 1)], "source long, node long, d int")
