@@ -408,3 +408,22 @@ def test_scratch_tables_go(spark):
     assert not any(map(os.path.exists, files[0])) and two.count() == 5
     scratch.drop()
     assert not any(map(os.path.exists, files[1]))
+
+
+def test_components_over_many_rounds(spark, monkeypatch):
+    from loomgraph.operators import components
+
+    monkeypatch.setattr(components, "TASK_EDGES", 150)
+    es = np.random.default_rng(8).integers(0, 700, (600, 2))
+    root = list(range(700))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in es:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    ends = {int(i) for a, b in es if a != b for i in (a, b)}
+    assert {r.node: r.component for r in components.connected_components(edges_of(spark, es)).collect()} == {i: find(i) for i in ends}
