@@ -12,7 +12,7 @@ from loomgraph.operators.edges import new_nodes
 
 def windowed_activity(events: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
     """Events and distinct users (estimated) by window and type; events later than the watermark are dropped."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users")).select(F.col("window.start").alias("since"), "event_type", "n", "users")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users")).select(F.col("window.start").alias("since"), "event_type", "n", "users")
 
 
 def place_arrivals(features: DataFrame, network: CoordinateNetwork, path: str, checkpoint: str) -> StreamingQuery:
