@@ -61,4 +61,69 @@ PERSONAL_BASE = (
     + ", sha256(coalesce(base, '')) base_sha256 from t left join told using (doc_id)"
 )
 
-SQL = {"op1_ngram_jaccard": NGRAM_JACCARD, "op4_substring_dedup": SUBSTRING_DEDUP, "mixing_targets": MIXING_TARGETS, "personal_base": PERSONAL_BASE}
+#: Bytewise, by the table of the polynomial; an argument in decimal.
+_CRC = """crc_table as (select list(v order by i) t from (select i, list_reduce(list_concat([i], range(8)), lambda v, k: case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end) v from (select unnest(range(256)) i))),
+crc as (select id, xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, length(id::varchar) + 1), lambda i: ord((id::varchar)[i])::bigint)),
+  lambda v, b: xor(v // 256, t[xor(v, b) % 256 + 1])), 4294967295) c from (select distinct {id} id from {of}), crc_table)"""
+
+
+def _lower(column: str) -> str:
+    return f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _told(column: str) -> str:
+    return f"coalesce(strlen({column}::varchar) || ':' || {column}::varchar, '-')"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """The levels of trees over leaves (tree, i, n, h), and what stands before and after each node in its run."""
+    return f"""{name} as (select 0 lv, tree, i, n, h from {leaves}
+  union all select lv + 1, tree, i // 8, (n + 7) // 8, sha256(string_agg(h, '' order by i)) from {name} where n > 1 group by lv, tree, i // 8, n),
+{name}_beside as (select lv, tree, i, n, h, coalesce(string_agg(h, '' order by i) over (run rows between unbounded preceding and 1 preceding), '') before,
+  coalesce(string_agg(h, '' order by i) over (run rows between 1 following and unbounded following), '') after from {name} where n > 1 window run as (partition by lv, tree, i // 8 order by i)),
+{name}_root as (select tree, h from {name} where n = 1)"""
+
+
+#: Trees of languages and the tree of their roots, proofs by level, and a walk up from what each leaf now is.
+MERKLE_MANIFEST = f"""with recursive {_CRC.format(id="doc_id", of="documents")},
+d as (select doc_id, coalesce('=' || lang, '') tree, sha256({" || ".join(_told(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) leaf,
+  sha256({" || ".join(_told(c) for c in ("doc_id", "source", "lang", "n_chars"))} || {_told(_lower("text"))}) lowered from documents),
+l as (select *, row_number() over (partition by tree order by doc_id) - 1 i, count(*) over (partition by tree) n from (select doc_id, tree, leaf h, lowered from d)),
+{_tree("low", "l")},
+s as (select '' tree, row_number() over (order by tree) - 1 i, count(*) over () n, h, tree subtree from low_root),
+{_tree("top", "s")},
+now as (select doc_id, tree, i, case when c % 3 = 0 then lowered else h end h from l join crc on id = doc_id),
+up as (select 0 lv, doc_id, tree, i, h, '' proof from now
+  union all select up.lv + 1, doc_id, up.tree, up.i // 8, sha256(before || up.h || after), proof || before || after from up join low_beside b on b.lv = up.lv and b.tree = up.tree and b.i = up.i),
+ends as (select doc_id, tree, max_by(h, lv) h, max_by(proof, lv) proof from up group by 1, 2),
+over as (select 0 lv, doc_id, s.i, ends.h, proof from ends join s on s.subtree = ends.tree
+  union all select o.lv + 1, doc_id, o.i // 8, sha256(before || o.h || after), proof || before || after from over o join top_beside b on b.lv = o.lv and b.i = o.i)
+select doc_id, l.h leaf, low_root.h subroot, top_root.h root, sha256(max_by(proof, lv)) proof_sha256, max_by(over.h, lv) folded_root, max_by(over.h, lv) = top_root.h verified
+from over join l using (doc_id) join low_root on low_root.tree = l.tree, top_root group by doc_id, l.h, low_root.h, top_root.h"""
+
+#: Lines by key, and the keys of many documents.
+LINE_DEDUP = f"""with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) l from documents),
+x as (select doc_id, unnest(l) line, unnest(range(len(l))) i from d),
+k as (select *, {_lower("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} key from x),
+shared as (select key from k where length(key) >= 1 group by key having count(distinct doc_id) >= 10)
+select doc_id, count(*) n_lines, count(shared.key) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where shared.key is null), '')) kept_sha256
+from k left join shared using (key) group by doc_id"""
+
+#: Every prefix of every conversation as a list of turns; a prefix belongs to the subtrees of its own prefixes.
+PREFIX_TRIE = f"""with recursive {_CRC.format(id="conv_id", of="conversations")},
+t as (select conv_id, coalesce(role, '') r, coalesce(text, '') x, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) i from conversations),
+h as (select id conv_id, c % 4 h from crc),
+made as (select h.conv_id, 0 part, t.i, r, x from h join t on t.conv_id = h.conv_id - h.conv_id % 20 and t.i <= h.h union all select h.conv_id, 1, t.i, r, x from h join t on t.conv_id = h.conv_id and t.i > h.h),
+whole as (select h.conv_id, coalesce(list(struct_pack(r := r, x := x) order by part, i) filter (where i is not null), []) l from h left join made using (conv_id) group by 1),
+prefixes as (select conv_id, d, l[1:d] p, len(l) n from (select conv_id, l, unnest(range(len(l) + 1)) d from whole)),
+nodes as (select d, p, min(conv_id) conv_id, count(*) n_convs, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where n = d), '') ends,
+  case when d = 0 then 0 else len(regexp_extract_all(p[-1].x, '{WORD}')) end words from prefixes group by d, p),
+named as (select prefixes.conv_id member, prefixes.d, nodes.conv_id from prefixes join nodes using (d, p)),
+up as (select c.d, c.conv_id, named.conv_id parent from nodes c join named on named.member = c.conv_id and named.d = c.d - 1),
+kids as (select d - 1 d, parent conv_id, count(*) k from up group by all),
+under as (select named.d, named.conv_id, sum((b.n_convs - 1) * b.words) saved, count(*) filter (where kids.k is null) leaves
+  from nodes b left join kids on kids.d = b.d and kids.conv_id = b.conv_id join named on named.member = b.conv_id and named.d <= b.d group by 1, 2)
+select nodes.conv_id, nodes.d "depth", up.parent parent_conv_id, n_convs, coalesce(k, 0)::bigint n_children, leaves::bigint n_leaves, saved::bigint saved_tokens, sha256(ends) ends_sha256
+from nodes join under using (d, conv_id) left join up using (d, conv_id) left join kids using (d, conv_id)"""
+
+SQL = {"op1_ngram_jaccard": NGRAM_JACCARD, "op4_substring_dedup": SUBSTRING_DEDUP, "mixing_targets": MIXING_TARGETS, "personal_base": PERSONAL_BASE, "op11_merkle_manifest": MERKLE_MANIFEST, "op12_line_dedup": LINE_DEDUP, "op13_prefix_trie": PREFIX_TRIE}

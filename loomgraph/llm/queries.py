@@ -81,6 +81,32 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), query_every=50, nearest=5)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.line_dedup import lowered
+    from loomgraph.llm.merkle import folded_roots, leaf_of, merkle_manifest
+
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    altered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    leaves = table(spark, sf_dir, "documents").select("doc_id", "lang", leaf_of(fields).alias("leaf"), F.when(altered, leaf_of([*fields[:-1], lowered(fields[-1])])).alias("altered"))
+    manifest = merkle_manifest(leaves, "lang", ["doc_id"]).withColumn("now", F.coalesce("altered", "leaf"))
+    proved = folded_roots(manifest, "now")
+    return proved.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.line_dedup import line_dedup
+
+    found = line_dedup(table(spark, sf_dir, "documents"), least_docs=10, least_chars=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.prefix_trie import prefix_trie, numbered_turns, with_shared_heads
+
+    turns = with_shared_heads(numbered_turns(table(spark, sf_dir, "conversations")), every=20, most=4)
+    return prefix_trie(turns)
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact part of op3: what each source has and should have."""
     from loomgraph.llm.mixing import source_targets, with_size
