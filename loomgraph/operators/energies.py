@@ -169,7 +169,7 @@ def force_energy(edges: DataFrame, layout: DataFrame, k: float) -> DataFrame:
     log = F.log(F.greatest(distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")), F.lit(1e-6)))
     apart = block_pairs(layout).where("a < b").agg(F.coalesce(F.sum(log), F.lit(0.0)).alias("push"))
     both = along.crossJoin(apart).crossJoin(layout.agg(F.count("*").alias("n")))  # one row each
-    return both.select(((F.col("pull") - k * k * F.col("push")) / F.col("n")).alias("energy"))
+    return both.select(F.try_divide(F.col("pull") - k * k * F.col("push"), F.col("n")).alias("energy"))
 
 
 def pivot_edge_stress(hops: DataFrame, edges: DataFrame, layout: DataFrame) -> DataFrame:

@@ -34,9 +34,11 @@ def hop_distances(edges: DataFrame, sources: DataFrame, most: int | None = None)
     return out
 
 
-def farthest_pivots(edges: DataFrame, nodes: DataFrame, n: int, first: int) -> DataFrame:
+def farthest_pivots(edges: DataFrame, nodes: DataFrame, n: int, first: int | None) -> DataFrame:
     """pivot, ordinal, node, d: pivots chosen one by one as the node farthest from those chosen (the smallest id of
-    equals; a node that none reaches is farther than any other), each with its hop column. Stops early when every node is a pivot."""
+    equals; a node that none reaches is farther than any other), each with its hop column. Stops early when every node is a pivot; without a first there is none."""
+    if first is None:
+        return edges.sparkSession.createDataFrame([], "pivot long, ordinal int, node long, d int")
     columns, least, pivot = None, nodes.select("node").withColumn("least", F.lit(None).cast("int")), first
     for k in range(n):
         own = hop_distances(edges, edges.sparkSession.createDataFrame([(pivot,)], "node long")).select("node", "d")
@@ -74,10 +76,15 @@ def pivot_columns(hops: DataFrame, ordinals: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(each.alias("m")).select("node", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("m")[i]).alias("hops"))
 
 
+def in_order(sources: DataFrame) -> DataFrame:
+    """source, ordinal: sources (node) in the order of their ids."""
+    order = Window.orderBy("node")  # a row for each source
+    return sources.select("node").distinct().select(F.col("node").alias("source"), (F.row_number().over(order) - 1).alias("ordinal"))
+
+
 def numbered_columns(edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Hop columns (node, hops) to the sources in the order of their ids, and that order (source, ordinal)."""
-    order = Window.orderBy("node")  # a row for each source
-    ordinals = stored(sources.select("node").distinct().select(F.col("node").alias("source"), (F.row_number().over(order) - 1).alias("ordinal")), "ordinals")
+    ordinals = stored(in_order(sources), "ordinals")
     return stored(pivot_columns(hop_distances(edges, sources), ordinals), "columns"), ordinals
 
 

@@ -9,13 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.geometry import crossing_angle, distance, point_segment_distance, segments_cross
+from loomgraph.functions.geometry import crossing_angle, distance, point_segment_distance, segments_cross, turn
 from loomgraph.storage import stored
 
 #: Points that a cell should hold on average.
 PER_CELL = 8.0
 #: A cell with so many times that is too full.
 CROWDED = 16
+#: Edges of a cell beyond which it is split, and how often at most. A split that makes more than so many times the comparisons (long
+#: edges side by side, which no cell parts) is not made.
+FULL, DEEPEST, WORTH = 64, 12, 1.25
+#: Nearest points that all nodes ask for alike; those that need more are asked in classes of so many times that.
+SAME_NEED, NEED_STEP = 16, 4
 #: Nodes of a block, where all pairs are wanted.
 BLOCK = 1024
 
@@ -91,24 +96,48 @@ def nearest_points(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
         size *= 2
 
 
+def nearest_by_need(queries: DataFrame, points: DataFrame) -> DataFrame:
+    """a, b, d, rank: as many nearest points of each query (node, x, y, need) as it needs.
+
+    Queries that need up to SAME_NEED are one class, those with more are classes of their own, so that a node of a thousand edges doesn't
+    make all others look for a thousand points."""
+    queries = stored(queries.where("need > 0").select("node", "x", "y", "need"), "queries")
+    most = queries.agg(F.max("need")).first()[0] or 0
+    low, high, out = 0, SAME_NEED, None
+    while low < most:
+        some = queries.where((F.col("need") > low) & (F.col("need") <= high))
+        found = nearest_points(some, points, min(high, most)).join(some.select(F.col("node").alias("a"), "need"), "a").where("rank <= need").drop("need")
+        out = found if out is None else out.unionByName(found)
+        low, high = high, high * NEED_STEP
+    return nearest_points(queries, points, 1) if out is None else out
+
+
 def placed_edges(edges: DataFrame, layout: DataFrame) -> DataFrame:
     """src, dst, x1, y1, x2, y2."""
     a, b = (layout.select(F.col("node").alias(c), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}")) for i, c in ((1, "src"), (2, "dst")))
     return edges.join(a, "src").join(b, "dst").select("src", "dst", "x1", "y1", "x2", "y2")
 
 
-def _walked(segments: DataFrame, size: float, wider: int = 0) -> DataFrame:
+def _walked(segments: DataFrame, size: float, wider: int = 0, of: int = 0) -> DataFrame:
     """A row for each cell that a segment meets, and for those up to `wider` cells from it. A long one has as many as it is long, not
-    as its box is large."""
+    as its box is large. With `of`, rows stand in cells (cx, cy) that are so many times as wide, and only parts of these are told."""
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    rows = segments.withColumn("cx", F.explode(F.sequence(_cell(F.least(x1, x2), size) - wider, _cell(F.greatest(x1, x2), size) + wider)))
+    slack = lambda a, b: F.lit(size * 1e-9) + F.greatest(F.abs(a), F.abs(b)) * 1e-12
+
+    def cells(rows: DataFrame, name: str, low, high, by) -> DataFrame:
+        low, high = _cell(low - by, size) - wider, _cell(high + by, size) + wider
+        if not of:
+            return rows.withColumn(name, F.explode(F.sequence(low, high)))
+        low, high = F.greatest(low, F.col(name) * of), F.least(high, F.col(name) * of + of - 1)
+        return rows.withColumn(name, F.explode(F.when(low <= high, F.sequence(low, high))))
+
+    rows = cells(segments, "cx", F.least(x1, x2), F.greatest(x1, x2), slack(x1, x2))
     dx = x2 - x1
-    at = lambda cells: F.least(F.greatest(((F.col("cx") + cells) * size - x1) / dx, F.lit(0.0)), F.lit(1.0))
+    at = lambda step: F.least(F.greatest(((F.col("cx") + step) * size - x1) / dx, F.lit(0.0)), F.lit(1.0))
     flat = F.abs(dx) < size * 1e-9
     y = lambda t: y1 + t * (y2 - y1)
     one, two = F.when(flat, y1).otherwise(y(at(-wider - 1e-9))), F.when(flat, y2).otherwise(y(at(wider + 1 + 1e-9)))
-    slack = size * 1e-9
-    return rows.withColumn("cy", F.explode(F.sequence(_cell(F.least(one, two) - slack, size) - wider, _cell(F.greatest(one, two) + slack, size) + wider)))
+    return cells(rows, "cy", F.least(one, two), F.greatest(one, two), slack(y1, y2))
 
 
 def near_segments(edges: DataFrame, layout: DataFrame, reach: float) -> DataFrame:
@@ -131,9 +160,10 @@ def near_edges(edges: DataFrame, layout: DataFrame, k: int) -> DataFrame:
     """node, src, dst, d, rank: for each node the k edges that aren't its own whose ends or middle lie nearest."""
     marks = placed_edges(edges, layout).select("src", "dst", F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")), F.struct(((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y")))).alias("p"))
     marks = stored(marks.select("src", "dst", "p.x", "p.y", F.xxhash64("src", "dst", "p.x", "p.y").alias("node")), "marks")
-    wanted, most = k, 3 * edges.count()
-    own = placed_edges(edges, layout).select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    near = nearest_points(layout.select("node", "x", "y"), marks, min(most, 3 * wanted + 3 * own))
+    most = 3 * edges.count()
+    own = edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    need = F.least(F.lit(most), 3 * k + 3 * F.coalesce("n", F.lit(0))).cast("int").alias("need")
+    near = nearest_by_need(layout.join(own, "node", "left").select("node", "x", "y", need), marks)
     named = near.join(marks.select(F.col("node").alias("b"), "src", "dst").distinct(), "b").where("a != src and a != dst")
     each = named.groupBy(F.col("a").alias("node"), "src", "dst").agg(F.min("d").alias("d"))
     order = Window.partitionBy("node").orderBy("d", "src", "dst")
@@ -154,36 +184,76 @@ def usual_length(segments: DataFrame) -> float:
     return max(got or 1.0, 1e-9)
 
 
+def _leaves(segments: DataFrame) -> DataFrame:
+    """Segments in the cells (size, cx, cy) of a quadtree: cells that many pass are halved, and again, as long as that parts them."""
+    size, out = usual_length(segments), None
+    cells = stored(_walked(segments, size), "cells")
+    for level in range(DEEPEST + 1):
+        full = cells.groupBy("cx", "cy").agg(F.count("*").alias("n")).where(F.col("n") > FULL)
+        full = stored(full, "full")
+        split = None
+        if level < DEEPEST and not full.isEmpty():
+            parts = stored(_walked(cells.join(full.select("cx", "cy"), ["cx", "cy"], "left_semi"), size / 2, of=2), "parts")
+            half = lambda c: F.floor(F.col(c) / 2).cast("long")
+            after = parts.groupBy("cx", "cy").agg(F.count("*").alias("m")).groupBy(half("cx").alias("cx"), half("cy").alias("cy")).agg(F.sum(F.col("m") * F.col("m")).alias("after"))
+            split = stored(full.join(after, ["cx", "cy"]).where(F.col("after") <= WORTH * F.col("n") * F.col("n")).select("cx", "cy"), "split")
+        told = (cells if split is None else cells.join(split, ["cx", "cy"], "left_anti")).withColumn("size", F.lit(size))
+        out = told if out is None else out.unionByName(told)
+        if split is None or split.isEmpty():
+            break
+        whole = split.select(F.col("cx").alias("px"), F.col("cy").alias("py"))
+        cells = stored(parts.join(whole, (half("cx") == F.col("px")) & (half("cy") == F.col("py")), "left_semi"), "cells")
+        size /= 2
+    return out
+
+
 def crossings(edges: DataFrame, layout: DataFrame) -> DataFrame:
-    """a1, a2, b1, b2, angle: pairs of edges without a common end that cross. Edges meet in the cells that both
-    pass; a pair that crosses and shares several is told once."""
-    segments = placed_edges(edges, layout)
-    size = usual_length(segments)
-    walked = _walked(segments, size)
-    left = walked.select(F.col("src").alias("a1"), F.col("dst").alias("a2"), *(F.col(c).alias("a" + c) for c in ("x1", "y1", "x2", "y2")), "cx", "cy")
-    right = walked.select(F.col("src").alias("b1"), F.col("dst").alias("b2"), *(F.col(c).alias("b" + c) for c in ("x1", "y1", "x2", "y2")), "cx", "cy")
-    pairs = left.join(right, ["cx", "cy"]).where("(a1 < b1 or (a1 = b1 and a2 < b2)) and a1 != b1 and a1 != b2 and a2 != b1 and a2 != b2")
-    ends = [F.col(p + c) for p, cs in (("a", ("x1", "y1", "x2", "y2")), ("b", ("x1", "y1", "x2", "y2"))) for c in cs]
-    return pairs.where(segments_cross(*ends)).groupBy("a1", "a2", "b1", "b2").agg(F.first(crossing_angle(*ends)).alias("angle"))
+    """a1, a2, b1, b2, angle: pairs of edges without a common end that cross.
+
+    Edges meet in the cells of a quadtree that both pass. A pair that shares several cells is told in the one in which it crosses,
+    so that nothing is shuffled to tell it once."""
+    cells = _leaves(stored(placed_edges(edges, layout), "segments"))
+    names = ("x1", "y1", "x2", "y2")
+    left = cells.select(F.col("src").alias("a1"), F.col("dst").alias("a2"), *(F.col(c).alias("a" + c) for c in names), "cx", "cy", "size")
+    right = cells.select(F.col("src").alias("b1"), F.col("dst").alias("b2"), *(F.col(c).alias("b" + c) for c in names), "cx", "cy", "size")
+    pairs = left.join(right, ["size", "cx", "cy"]).where("(a1 < b1 or (a1 = b1 and a2 < b2)) and a1 != b1 and a1 != b2 and a2 != b1 and a2 != b2")
+    ends = [F.col(p + c) for p in "ab" for c in names]
+    a, b, c, d = ends[:2], ends[2:4], ends[4:6], ends[6:]
+    from_c, from_d = turn(*a, *b, *c), turn(*a, *b, *d)
+    t = from_c / (from_c - from_d)  # they lie on two sides, so this is never 0 / 0
+    here = lambda k, cell: _cell(c[k] + t * (d[k] - c[k]), F.col("size")) == F.col(cell)
+    return pairs.where(segments_cross(*ends)).where(here(0, "cx") & here(1, "cy")).select("a1", "a2", "b1", "b2", crossing_angle(*ends).alias("angle"))
 
 
 def clearances(edges: DataFrame, layout: DataFrame) -> DataFrame:
     """node, clearance, src, dst: the nearest edge that doesn't touch the node, by (distance, src, dst).
 
-    Points look in rings of cells as in nearest_points, edges stand in the cells that they pass."""
+    Nodes look in rings of cells as in nearest_points, from cells that few nodes lie in to wider ones. The edges are brought down from the widest
+    cells to the narrowest, at each width only to cells that a node looks into, so that one long edge makes no cell wide and narrow cells
+    make no rows where no node is."""
     segments = stored(placed_edges(edges, layout), "segments")
-    size = usual_length(segments)
+    usual = usual_length(segments)
     lox, hix, loy, hiy = layout.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    whole = max(hix - lox, hiy - loy, size) if lox is not None else size
+    if lox is None or segments.isEmpty():
+        return segments.select(F.col("src").alias("node"), F.lit(0.0).alias("clearance"), "src", "dst").where("false")
+    whole = max(hix - lox, hiy - loy, usual)
+    sizes = [_start_size(layout, usual, whole * 1e-9, PER_CELL)]
+    while sizes[-1] <= whole:
+        sizes.append(4 * sizes[-1])
+    around = lambda df, size: df.withColumn("cx", _near(F.col("x"), size)).withColumn("cy", _near(F.col("y"), size))
+    rows, at = None, {}
+    for size in reversed(sizes):
+        rows = _walked(segments, size) if rows is None else _walked(rows, size, of=4)
+        seen = around(layout.select("x", "y"), size).select("cx", "cy").distinct()
+        rows = at[size] = stored(rows.join(seen, ["cx", "cy"], "left_semi"), "walked")
     rest, done = layout.select("node", "x", "y"), None
-    while True:
-        last = size > whole
-        left = rest.withColumn("cx", _near(F.col("x"), size)).withColumn("cy", _near(F.col("y"), size))
-        pairs = left.join(_walked(segments, size), ["cx", "cy"]).where("node != src and node != dst")
+    for size in sizes:
+        last = size == sizes[-1]
+        pairs = around(rest, size).join(at[size], ["cx", "cy"]).where("node != src and node != dst")
         d = point_segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
         best = pairs.groupBy("node", "x", "y").agg(F.min(F.struct(d.alias("clearance"), "src", "dst")).alias("m"))
         best = stored(best.select("node", "x", "y", "m.*"), "clearances")
-        edge = lambda v: F.least(v - (_cell(v, size) - 1) * size, (_cell(v, size) + 2) * size - v)
+        edge = lambda v: F.least(v - (_cell(v, size) - 1) * size, (_cell(v, size) + 2) * size - v)  # noqa: E731, B023
         found = best if last else best.where(F.col("clearance") < F.least(edge(F.col("x")), edge(F.col("y"))))
         found = found.select("node", "clearance", "src", "dst")
         done = found if done is None else done.union(found)
@@ -192,7 +262,7 @@ def clearances(edges: DataFrame, layout: DataFrame) -> DataFrame:
         rest = stored(rest.join(found.select("node"), "node", "left_anti"), "rest")
         if rest.isEmpty():
             return done
-        size *= 2
+    return done
 
 
 def points_raster(layout: DataFrame, pixels: int, *by: str) -> DataFrame:

@@ -11,11 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.models import network
+from loomgraph.models import fits, network
 from loomgraph.operators import diffusion, edges, energies, hops, linear, metrics, pairs, ranking, spatial
 from loomgraph.operators.components import connected_components
 from loomgraph.sources import graphs
-from loomgraph.storage import stored
+from loomgraph.storage import once, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,7 +36,8 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(graphs.knn_graph(_vectors(spark, sf_dir), 5, "vec_id", "embedding"), "knn")
+    """Quadratic, so queries of one application over one folder share it."""
+    return once(spark, "knn", sf_dir, lambda: graphs.knn_graph(_vectors(spark, sf_dir), 5, "vec_id", "embedding"))
 
 
 def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +49,8 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).select(F.col("vec_id").alias("node"), "label")
 
 
-def _first(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(n).select(F.col("id").alias("node"))
+def _first(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    return _layout(spark, sf_dir).where(F.col("node") < n).select("node")
 
 
 def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
@@ -70,7 +71,7 @@ adj as (select src, dst from tree union all select dst, src from tree)"""
 
 @query(f"with {KNN} select src, dst from edges")
 def graph_knn(spark, sf_dir):
-    return _knn(spark, sf_dir)
+    return stored(graphs.knn_graph(_vectors(spark, sf_dir), 5, "vec_id", "embedding"), "knn")
 
 
 @query(f"with {TREE} select src node, count(*) degree from adj group by src")
@@ -104,10 +105,23 @@ def graph_largest_component(spark, sf_dir):
     return edges.largest_component(graphs.place_tree(spark, sf_dir))
 
 
-@query(f"""with {TREE}, near as (select src node, list(dst order by dst) n from adj group by src), g as (select n, min(node) g, count(*) c from near group by n)
-select node, 'open' kind, g "group" from near join g using (n) where c > 1""")
+BOTH_KINDS = """both_kinds as (select 'open' kind, src node, dst from adj union all select 'closed', src, dst from adj union all select distinct 'closed', src, src from adj),
+near as (select kind, node, list(dst order by dst) n from both_kinds group by 1, 2), g as (select kind, n, min(node) g, count(*) c from near group by 1, 2)
+select node, kind, g "group" from near join g using (kind, n) where c > 1"""
+
+
+@query(f"with {TREE}, {BOTH_KINDS}")
 def graph_twins(spark, sf_dir):
-    return edges.twins(graphs.place_tree(spark, sf_dir)).where("kind = 'open'")
+    return edges.twins(graphs.place_tree(spark, sf_dir))
+
+
+@query(f"""with edges as (select distinct c_nationkey::bigint src, s_nationkey::bigint dst from customer join supplier on c_nationkey <> s_nationkey union select s_nationkey::bigint, c_nationkey::bigint from customer join supplier on c_nationkey <> s_nationkey),
+adj as (select src, dst from edges), {BOTH_KINDS}""")
+def graph_twins_trade(spark, sf_dir):
+    """Nations that have customers and suppliers of one another: a dense graph, where closed twins are many."""
+    customer, supplier = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "supplier"))
+    one, other = customer.select(F.col("c_nationkey").alias("src")).distinct(), supplier.select(F.col("s_nationkey").alias("dst")).distinct()
+    return edges.twins(stored(edges.canonical(one.join(other, F.col("src") != F.col("dst"))), "trade"))  # a row for each nation
 
 
 @query(f"""with {KNN}, both_kinds as (select 'open' kind, src node, dst from adj union all select 'closed', src, dst from adj union all select distinct 'closed', src, src from adj),
@@ -126,12 +140,12 @@ def graph_two_hop_pairs(spark, sf_dir):
 @query(f"""with {KNN}, one as (select vec_id node from embeddings where vec_id < 3), two as (select node from one union select dst from adj join one on src = node)
 select node from two union select dst from adj join two on src = node""")
 def graph_ball(spark, sf_dir):
-    return edges.ball(_knn(spark, sf_dir), _first(spark, 3), 2)
+    return edges.ball(_knn(spark, sf_dir), _first(spark, sf_dir, 3), 2)
 
 
 @query(f"with recursive {KNN}, {HOPS} select source, node, d from hops")
 def graph_hops(spark, sf_dir):
-    return hops.hop_distances(_knn(spark, sf_dir), _first(spark, 20))
+    return hops.hop_distances(_knn(spark, sf_dir), _first(spark, sf_dir, 20))
 
 
 @query(f"""with recursive {KNN}, {HOPS} select x.node a, y.node b, max(abs(x.d - y.d))::int bound from hops x join hops y on x.source = y.source
@@ -139,7 +153,7 @@ where x.source < 8 and x.node < 10 and y.node >= 10 group by 1, 2""")
 def graph_lower_bounds(spark, sf_dir):
     g = _knn(spark, sf_dir)
     ordinals = spark.range(8).select(F.col("id").alias("source"), F.col("id").cast("int").alias("ordinal"))
-    columns = stored(hops.pivot_columns(hops.hop_distances(g, _first(spark, 8)), ordinals), "columns")
+    columns = stored(hops.pivot_columns(hops.hop_distances(g, _first(spark, sf_dir, 8)), ordinals), "columns")
     pairs = columns.where("node < 10").select(F.col("node").alias("a")).join(columns.where("node >= 10").select(F.col("node").alias("b")))
     return hops.lower_bounds(pairs, columns)  # ten nodes against all
 
@@ -151,13 +165,13 @@ p3 as (select k, dst node, sum(w * p) p from p2 join w on src = node group by 1,
 every as (select k, node, .05 * p p from p0 union all select k, node, .05 * .95 * p from p1 union all select k, node, .05 * .95 ** 2 * p from p2 union all select k, node, .05 * .95 ** 3 * p from p3 union all select k, node, .05 * .95 ** 4 * p from p4)
 select k landmark, node, round(sum(p), 9) p from every group by 1, 2""")
 def features_diffusion(spark, sf_dir):
-    return _rounded(diffusion.diffusion(_knn(spark, sf_dir), _first(spark, 8), 0.05, 4), "p", digits=9)
+    return _rounded(diffusion.diffusion(_knn(spark, sf_dir), _first(spark, sf_dir, 8), 0.05, 4), "p", digits=9)
 
 
 @query(f"""with recursive {KNN}, {HOPS}, r as (select sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / d r from hops join layout a on a.node = source join layout b on b.node = hops.node where d > 0)
 select round(1 - sum(r) ** 2 / (count(*) * sum(r * r)), 6) stress, round(sum(r) / sum(r * r), 6) scale, count(*) n_pairs from r""")
 def score_stress(spark, sf_dir):
-    far = hops.hop_distances(_knn(spark, sf_dir), _first(spark, 20))
+    far = hops.hop_distances(_knn(spark, sf_dir), _first(spark, sf_dir, 20))
     return _rounded(metrics.stress(far, _layout(spark, sf_dir), pairs_once=False), "stress", "scale")
 
 
@@ -221,7 +235,7 @@ def layout_framed(spark, sf_dir):
   a.y + d / greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 1e-9) * (b.y - a.y) ty from hops join layout a on a.node = source join layout b on b.node = hops.node where d > 0)
 select node, round(sum(w * tx) / sum(w), 6) x, round(sum(w * ty) / sum(w), 6) y from r group by node""")
 def layout_majorised(spark, sf_dir):
-    far = hops.hop_distances(_knn(spark, sf_dir), _first(spark, 20))
+    far = hops.hop_distances(_knn(spark, sf_dir), _first(spark, sf_dir, 20))
     return _rounded(energies.majorised(far, _layout(spark, sf_dir)), "x", "y")
 
 
@@ -268,15 +282,32 @@ def _sources(g: DataFrame, most: int, seed: int = 0) -> DataFrame:
     return hops.component_pivots(g, max(1, min(most, edges.nodes_of(g).count() - 1)), seed)
 
 
+def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, "landmarks", sf_dir, lambda: _sources(_knn(spark, sf_dir), LANDMARKS))
+
+
+def _pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, "pivots", sf_dir, lambda: _sources(_knn(spark, sf_dir), PIVOTS))
+
+
+def _pivot_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, "pivot_hops", sf_dir, lambda: hops.hop_distances(_knn(spark, sf_dir), _pivots(spark, sf_dir)))
+
+
+def _columns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Hop columns to the pivots, and their order."""
+    ordinals = once(spark, "ordinals", sf_dir, lambda: hops.in_order(_pivots(spark, sf_dir)))
+    return once(spark, "columns", sf_dir, lambda: hops.pivot_columns(_pivot_hops(spark, sf_dir), ordinals)), ordinals
+
+
 def _features(spark: SparkSession, sf_dir: str, g: DataFrame) -> DataFrame:
-    marks = _sources(g, LANDMARKS)
-    return stored(diffusion.assembled(g, _layout(spark, sf_dir).select("node"), marks, tie_dim=2), "features")
+    return once(spark, "features", sf_dir, lambda: diffusion.assembled(g, _layout(spark, sf_dir).select("node"), _marks(spark, sf_dir), tie_dim=2))
 
 
 def _fitted(spark: SparkSession, sf_dir: str, energy: str) -> tuple:
     g = _knn(spark, sf_dir)
-    table, sources = _features(spark, sf_dir, g), _sources(g, PIVOTS)
-    columns, ordinals = hops.numbered_columns(g, sources)
+    table = _features(spark, sf_dir, g)
+    columns, ordinals = _columns(spark, sf_dir)
     return g, table, columns, network.fit(table, g, energy, columns, ordinals)
 
 
@@ -304,11 +335,40 @@ def fit_blend(spark, sf_dir):
 def fit_mean_field(spark, sf_dir):
     """Places by a network fitted to the stress of all pairs."""
     g = _knn(spark, sf_dir)
-    columns, _ = hops.numbered_columns(g, _sources(g, LANDMARKS))
+    columns, _ = hops.numbered_columns(g, _marks(spark, sf_dir))
     table = _features(spark, sf_dir, g)
     return network.place(table, network.fit_mean_field(table, g, columns))
 
 
+@query()
+def fit_legible(spark, sf_dir):
+    """Places by a neighbour embedding and its second phase."""
+    g, table, _, fitted = _fitted(spark, sf_dir, "neighbour")
+    return network.place(table, fits.legible(fitted, table, g))
+
+
+@query()
+def fit_coded(spark, sf_dir):
+    """Places by a network that reads a learned code of each node."""
+    g, table = _knn(spark, sf_dir), _features(spark, sf_dir, _knn(spark, sf_dir))
+    fitted, codes = fits.fit_with_codes(table, g, "pivot", *_columns(spark, sf_dir))
+    return network.place(network.with_codes(table, codes, 4), fitted)
+
+
+@query()
+def fit_terms(spark, sf_dir):
+    """Places by a network fitted to pivot stress with terms of local, drawn and negative pairs and a barrier against folds."""
+    g, table = _knn(spark, sf_dir), _features(spark, sf_dir, _knn(spark, sf_dir))
+    return network.place(table, fits.fit_with_terms(table, g, "pivot", *_columns(spark, sf_dir), {"local": 0.3, "spread": 0.005, "contrast": 0.05, "fold": 0.05}))
+
+
+@query()
+def fit_hybrid(spark, sf_dir):
+    """Places by a network fitted by majorisation and then by gradients."""
+    g, table = _knn(spark, sf_dir), _features(spark, sf_dir, _knn(spark, sf_dir))
+    return network.place(table, fits.fit_majorised(table, g, _pivot_hops(spark, sf_dir), *_columns(spark, sf_dir)).network)
+
+
 @query()
 def graph_communities(spark, sf_dir):
     return pairs.communities(_knn(spark, sf_dir))
@@ -317,13 +377,13 @@ def graph_communities(spark, sf_dir):
 @query()
 def layout_pivot_scaling(spark, sf_dir):
     g = _knn(spark, sf_dir)
-    return linear.placed_by_axes(linear.pivot_scaling(hops.numbered_columns(g, _sources(g, LANDMARKS))[0]))
+    return linear.placed_by_axes(linear.pivot_scaling(hops.numbered_columns(g, _marks(spark, sf_dir))[0]))
 
 
 @query()
 def layout_landmark_scaling(spark, sf_dir):
     g = _knn(spark, sf_dir)
-    return linear.placed_by_axes(linear.landmark_scaling(*hops.numbered_columns(g, _sources(g, LANDMARKS))))
+    return linear.placed_by_axes(linear.landmark_scaling(*hops.numbered_columns(g, _marks(spark, sf_dir))))
 
 
 @query()
@@ -349,15 +409,14 @@ def graph_near(spark, sf_dir):
 @query()
 def fit_majorised_stress(spark, sf_dir):
     """Majorisation against the hops from nodes of every component."""
-    g = _knn(spark, sf_dir)
-    return network.stress_layout(stored(hops.hop_distances(g, _sources(g, PIVOTS)), "hops"), _layout(spark, sf_dir))
+    return network.stress_layout(_pivot_hops(spark, sf_dir), _layout(spark, sf_dir))
 
 
 @query()
 def graph_farthest_pivots(spark, sf_dir):
     g = _knn(spark, sf_dir)
     first = hops.hashed_pivots(edges.nodes_of(g), 1).first()
-    return hops.farthest_pivots(g, edges.nodes_of(g), FARTHEST, first.node if first else 0)
+    return hops.farthest_pivots(g, edges.nodes_of(g), FARTHEST, first.node if first else None)
 
 
 HUBS = """hubs as (select src node from adj group by src order by count(*) desc, src limit 16),
@@ -658,7 +717,7 @@ def table_selected(spark, sf_dir):
 def score_bundle(spark, sf_dir):
     """Every score of the layout, against hops from nodes of all components."""
     g = _knn(spark, sf_dir)
-    return metrics.score_bundle(g, _layout(spark, sf_dir), hops.hop_distances(g, _sources(g, PIVOTS)), _labels(spark, sf_dir))
+    return metrics.score_bundle(g, _layout(spark, sf_dir), _pivot_hops(spark, sf_dir), _labels(spark, sf_dir))
 
 
 FLAGSHIP = score_bundle

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.arrays import squared_distance
 from loomgraph.functions.draws import uniform
 from loomgraph.operators.edges import canonical
-from loomgraph.storage import stored
+from loomgraph.storage import replaced, stored
 
 
 def edge_list(spark: SparkSession, path: str, sep: str = " ", comment: str = "#") -> DataFrame:
@@ -277,11 +277,22 @@ def near_graph(vectors: DataFrame, k: int, id_col: str, vector_col: str, tables:
     """As knn_graph, nearly: vectors meet only in buckets of a few random hyperplanes' signs, drawn several times, and then, in some rounds,
     with the neighbours of their neighbours. The work grows with the number of vectors; recall is what tests measure.
 
-    A bucket of more than `block` vectors is dealt out by hash, so no task holds more than about so many; all vectors should be of one length."""
+    A bucket of more than `block` vectors is dealt out by hash, so no task holds more than about so many. Of a node that many hold for their
+    neighbour only 3 k partners, by hash, are tried in a round; knn_graph tries all. Vectors have neighbours of their own length."""
     rows = stored(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null"), "vectors")
-    n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    if not n:
+    sizes = [r.d for r in rows.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]  # one for each length
+    if not sizes:
         return vectors.sparkSession.createDataFrame([], "src long, dst long")
+    out = None
+    for dim in sizes:
+        one = canonical(_near_of_length(rows.where(F.size("v") == dim), dim, k, tables, rounds, block, seed), "a", "b")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _near_of_length(rows: DataFrame, dim: int, k: int, tables: int, rounds: int, block: int, seed: int) -> DataFrame:
+    """a, b, q: about the k nearest of each vector (id, v) among those of the same length."""
+    n = rows.count()
     bits = max(0, int(np.ceil(np.log2(n / block * 2)))) if n > block else 0
     centre = np.array(rows.agg(*(F.avg(F.col("v")[i]) for i in range(dim))).first(), np.float64)
     planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
@@ -308,12 +319,12 @@ def near_graph(vectors: DataFrame, k: int, id_col: str, vector_col: str, tables:
         va, vb = rows.select(F.col("id").alias("a"), F.col("v").alias("va")), rows.select(F.col("id").alias("b"), F.col("v").alias("vb"))
         more = tried.join(va, "a").join(vb, "b").select("a", "b", squared_distance(F.col("va"), F.col("vb")).alias("q"))
         near = stored(_best(near.unionByName(more), k), "near")
-    return canonical(near, "a", "b")
+    return near
 
 
 def save(layout: DataFrame, path: str, *keys: str) -> None:
-    """Layouts as Parquet, one folder for each value of the keys; the commit protocol makes the write atomic."""
-    layout.write.mode("overwrite").partitionBy(*keys).parquet(path)
+    """Layouts as Parquet, one folder for each value of the keys, taking the place of what is there once they are written."""
+    replaced(layout, path, lambda w, to: w.partitionBy(*keys).parquet(to))
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -321,5 +332,5 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_scores(scores: DataFrame, path: str) -> None:
-    """Scores as JSON, a line each, replacing what is there at once."""
-    scores.write.mode("overwrite").json(path)
+    """Scores as JSON, a line each, taking the place of what is there once they are written."""
+    replaced(scores, path, lambda w, to: w.json(to))

@@ -41,6 +41,44 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_made: dict[tuple, tuple] = {}
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def once(spark: SparkSession, name: str, source: str, make) -> DataFrame:
+    """What make() gives from the tables of a folder, written once in an application and read by whoever asks again; written again if its files
+    are gone. The tables are taken not to change meanwhile."""
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _made or not exists(spark, f"{_made[key][0]}/_SUCCESS"):
+        df, path = make(), new_path(spark, name)
+        df.write.parquet(path)
+        _made[key] = (path, df.schema)
+    path, schema = _made[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def replaced(df: DataFrame, path: str, write) -> None:
+    """write(df.write, new folder), then that folder takes the place of what is at path by renames: whoever reads finds the old files or the new ones,
+    and a failed write leaves the old ones. What stood there goes last."""
+    spark, new, old = df.sparkSession, f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    write(df.write, new)
+    as_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = as_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = exists(spark, path)
+    if had and not files.rename(as_path(path), as_path(old)):
+        raise OSError(f"{path} can't be moved away")
+    if not files.rename(as_path(new), as_path(path)):
+        if had:
+            files.rename(as_path(old), as_path(path))
+        raise OSError(f"{path} can't be replaced")
+    if had:
+        files.delete(as_path(old), True)
+
+
 class Scratch:
     """Stored tables of one computation, deleted together once its result stands by itself."""
 

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph.models.network import CoordinateNetwork, place
 from loomgraph.operators.edges import new_nodes
+from loomgraph.storage import exists
 
 
 def windowed_activity(events: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -22,15 +23,10 @@ def place_arrivals(features: DataFrame, network: CoordinateNetwork, path: str, c
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        placed = spark.read.schema("node long, x double, y double").parquet(path) if _exists(spark, path) else None
+        placed = spark.read.schema("node long, x double, y double").parquet(path) if exists(spark, path) else None
         fresh = batch.dropDuplicates(["node"])
         if placed is not None:
             fresh = fresh.join(new_nodes(fresh.select("node"), placed), "node", "left_semi")
         place(fresh, network).write.mode("append").parquet(path)
 
     return features.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _exists(spark, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

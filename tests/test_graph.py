@@ -427,3 +427,82 @@ def test_components_over_many_rounds(spark, monkeypatch):
         root[max(x, y)] = min(x, y)
     ends = {int(i) for a, b in es if a != b for i in (a, b)}
     assert {r.node: r.component for r in components.connected_components(edges_of(spark, es)).collect()} == {i: find(i) for i in ends}
+
+
+def plain_crossings(at, es):
+    left = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]) > 0
+    out = set()
+    for i, (a, b) in enumerate(es):
+        for c, e in es[:i]:
+            if len({a, b, c, e}) == 4 and left(at[a], at[b], at[c]) != left(at[a], at[b], at[e]) and left(at[c], at[e], at[a]) != left(at[c], at[e], at[b]):
+                out.add(frozenset([(a, b), (c, e)]))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["long", "cluster", "hub", "bundle", "lattice"])
+def test_crossings_in_a_quadtree(spark, kind, monkeypatch):
+    """One long edge, a dense cluster, a star, edges side by side, and edges on the borders of cells: the same pairs, once, in few comparisons."""
+    monkeypatch.setattr(spatial, "FULL", 16)
+    rng = np.random.default_rng(8)
+    at = rng.random((400, 2)) * 10
+    at[1::2] = at[::2] + rng.normal(size=(200, 2)) * 0.05
+    es = [(i, i + 1) for i in range(0, 400, 2)]
+    if kind == "long":
+        at[0], at[1] = [-1000, 5], [1000, 5.1]
+    elif kind == "cluster":
+        at[:300] = 3 + (at[:300] - 3) * 1e-3
+    elif kind == "hub":
+        es = [(0, i) for i in range(1, 120)] + es[60:]
+    elif kind == "bundle":
+        for i in range(100):
+            at[2 * i], at[2 * i + 1] = [0, 5 + i * 1e-4], [10, 5 + ((i * 7) % 100) * 1e-4]
+    else:
+        at = np.array([(x, y) for x in range(20) for y in range(20)], float)
+        es = [(20 * x + y, 20 * (x + 1) + (y + 1)) for x in range(19) for y in range(19)] + [(20 * x + y + 1, 20 * (x + 1) + y) for x in range(0, 19, 2) for y in range(19)] + [(20 * x + y, 20 * (x + 2) + y) for x in range(0, 18, 3) for y in range(0, 20, 4)]
+        es = [(min(e), max(e)) for e in es]
+    es = sorted(set(es))
+    g, layout = edges_of(spark, es), layout_of(spark, at)
+    got = [frozenset([(r.a1, r.a2), (r.b1, r.b2)]) for r in spatial.crossings(g, layout).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_crossings(at, es)
+    leaves = spatial._leaves(stored(spatial.placed_edges(g, layout), "segments")).groupBy("size", "cx", "cy").count()
+    work = leaves.agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+    if kind in ("long", "cluster"):
+        assert work < 20 * len(es)  # all in one cell they would be 40,000
+
+
+def test_clearances_with_one_long_edge(spark):
+    rng = np.random.default_rng(9)
+    at = rng.random((300, 2)) * 10
+    at[1::2] = at[::2] + rng.normal(size=(150, 2)) * 0.05
+    at[0], at[1] = [-500, 5], [500, 5.1]
+    es = [(i, i + 1) for i in range(0, 300, 2)]
+    got = {r.node: (r.clearance, r.src, r.dst) for r in spatial.clearances(edges_of(spark, es), layout_of(spark, at)).collect()}
+    for n in range(300):
+        best = []
+        for a, b in es:
+            if n not in (a, b):
+                u = at[b] - at[a]
+                t = min(max(((at[n] - at[a]) @ u) / max(u @ u, 1e-12), 0), 1)
+                best.append((float(np.hypot(*(at[n] - at[a] - t * u))), a, b))
+        assert got[n][1:] == min(best)[1:] and got[n][0] == pytest.approx(min(best)[0], abs=1e-9)
+
+
+def test_one_hub_asks_for_many_points_alone(spark, monkeypatch):
+    at = np.random.default_rng(10).random((200, 2))
+    es = [(0, i) for i in range(1, 150)] + [(i, i + 1) for i in range(1, 199)]
+    asked = []
+    plain = spatial.nearest_points
+    monkeypatch.setattr(spatial, "nearest_points", lambda q, p, k: asked.append((q.count(), k)) or plain(q, p, k))
+    got = metrics.neighbour_scores(edges_of(spark, es), layout_of(spark, at)).first()
+    assert sum(n * k for n, k in asked) < 200 * 20 and (1, 152) not in asked[:1]
+    d = gaps(at)
+    np.fill_diagonal(d, np.inf)
+    near = {i: set() for i in range(200)}
+    for a, b in es:
+        near[a].add(b)
+        near[b].add(a)
+    hits = sum(len(near[i] & set(np.lexsort((np.arange(200), d[i]))[: len(near[i])].tolist())) for i in range(200))
+    total = sum(map(len, near.values()))
+    assert got.knn_recall == pytest.approx(hits / total) and got.np_jaccard == pytest.approx(hits / (2 * total - hits))
+    rows = spatial.near_edges(edges_of(spark, es), layout_of(spark, at), 2).groupBy("node").count().collect()
+    assert len(rows) == 200 and {r["count"] for r in rows} == {2}

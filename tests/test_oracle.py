@@ -40,3 +40,17 @@ def test_query_equals_sql(name, spark, sf, duck):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
 def test_query_gives_rows(name, spark, sf):
     assert registry.QUERIES[name](spark, sf).count() > 0
+
+
+@pytest.fixture(scope="module")
+def no_rows(spark, sf, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("empty"))
+    for f in glob.glob(f"{sf}/*.parquet"):
+        spark.read.parquet(f).limit(0).write.parquet(f"{folder}/{os.path.basename(f)}")
+    return folder
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_query_of_empty_tables(name, spark, no_rows):
+    rows = registry.QUERIES[name](spark, no_rows).collect()
+    assert len(rows) <= 4  # scores of nothing are one row, quantiles one for each share
