@@ -280,10 +280,50 @@ def separated(layout: DataFrame, fresh: DataFrame, k: float, rounds: int = 30, c
     return layout
 
 
+def passed(edges: DataFrame, before: DataFrame, after: DataFrame, reach: float) -> DataFrame:
+    """node, src, dst: nodes that came to the other side of an edge, and the edge, as all move straight from their places before to those after.
+
+    Near an edge (within reach before, its nearest point between the ends before or after) the side alone tells. Else a node passed where a pair of edges
+    begins or ceases to cross and the node, an end of one, changed its side of the other."""
+    far = crossings(edges, before).select("a1", "a2", "b1", "b2", F.lit(1).alias("n")).unionByName(crossings(edges, after).select("a1", "a2", "b1", "b2", F.lit(2).alias("n")))
+    changed = far.groupBy("a1", "a2", "b1", "b2").agg(F.sum("n").alias("n")).where("n < 3")
+    each = F.explode(F.array(*(F.struct(F.col(v).alias("node"), F.col(e + "1").alias("src"), F.col(e + "2").alias("dst")) for v, e in (("a1", "b"), ("a2", "b"), ("b1", "a"), ("b2", "a")))))
+    close = near_segments(edges, before, reach).select("node", "src", "dst", F.lit(True).alias("close"))
+    pairs = changed.select(each.alias("e")).select("e.*", F.lit(False).alias("close")).unionByName(close).groupBy("node", "src", "dst").agg(F.max("close").alias("close"), F.min("close").alias("only"))
+    both = before.join(after.withColumnsRenamed({"x": "tx", "y": "ty"}), "node")
+    for c, k in (("node", "p"), ("src", "a"), ("dst", "b")):
+        pairs = pairs.join(both.select(F.col("node").alias(c), *(F.col(v).alias(k + v) for v in ("x", "y", "tx", "ty"))), c)
+    at = lambda k, t: (F.col(f"{k}{t}x"), F.col(f"{k}{t}y"))
+    side = lambda t: turn(*at("a", t), *at("b", t), *at("p", t)) > 0
+
+    def between(t: str):
+        (ax, ay), (bx, by), (px, py) = at("a", t), at("b", t), at("p", t)
+        along = (px - ax) * (bx - ax) + (py - ay) * (by - ay)
+        return (along >= 0) & (along <= (bx - ax) * (bx - ax) + (by - ay) * (by - ay))
+
+    return pairs.where((side("") != side("t")) & (~F.col("only") | between("") | between("t"))).select("node", "src", "dst")
+
+
+def without_passing(edges: DataFrame, before: DataFrame, after: DataFrame, reach: float, rounds: int = 6) -> DataFrame:
+    """The places after, where only nodes that passed an edge are back where they were: in each round the node, or, where that didn't move, both ends
+    of the edge. What still passes after so many rounds takes all moves with it."""
+    for k in range(rounds + 1):
+        over = stored(passed(edges, before, after, reach), "passed")
+        if over.isEmpty():
+            return after
+        if k == rounds:
+            return before
+        moved = before.join(after.withColumnsRenamed({"x": "tx", "y": "ty"}), "node").where("x != tx or y != ty").select("node")
+        own = over.join(moved, "node", "left_semi").select("node")
+        others = over.join(moved, "node", "left_anti").select(F.explode(F.array("src", "dst")).alias("node"))
+        back = stored(own.unionByName(others).distinct(), "back")
+        after = stored(after.join(back, "node", "left_anti").unionByName(before.join(back, "node", "left_semi").select("node", "x", "y")), "kept")
+    return after
+
+
 def refined(edges: DataFrame, layout: DataFrame, gamma: float, rounds: int = 10, sectors: int = 8, cooling: float = 0.95) -> DataFrame:
     """Nodes moved off edges that they come closer to than gamma, never across one: attraction along edges, repulsion of near nodes
-    and of near edges, each move cut to what the rays of its sector leave free of edges. A round that adds crossings is taken back."""
-    before = crossings(edges, layout).count()
+    and of near edges, each move cut to what the rays of its sector leave free of edges. Of a round's moves those stand that pass no edge."""
     for step in range(rounds):
         push = summed(attraction(edges, layout, gamma, "fa2"), near_repulsion(layout, gamma, 2 * gamma), edge_repulsion(edges, layout, gamma))
         free = sector_limits(edges, layout, 3 * gamma, sectors)
@@ -292,9 +332,7 @@ def refined(edges: DataFrame, layout: DataFrame, gamma: float, rounds: int = 10,
         most = F.least(F.coalesce(F.greatest(F.col("free") - 1e-4, F.lit(0.0)), F.lit(gamma)), F.lit(gamma)) * (0.5 * cooling**step)
         share = F.coalesce(F.least(F.lit(1.0), most / f), F.lit(0.0))
         moved = stored(rows.select("node", (F.col("x") + share * F.coalesce("fx", F.lit(0.0))).alias("x"), (F.col("y") + share * F.coalesce("fy", F.lit(0.0))).alias("y")), "refined")
-        now = crossings(edges, moved).count()
-        if now <= before:
-            layout, before = moved, now
+        layout = without_passing(edges, layout, moved, 2 * gamma)
     return layout
 
 

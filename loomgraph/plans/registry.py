@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.models import fits, network
-from loomgraph.operators import diffusion, edges, energies, hops, linear, metrics, pairs, ranking, spatial
+from loomgraph.operators import communities, diffusion, edges, energies, hops, linear, metrics, pairs, ranking, spatial
 from loomgraph.operators.components import connected_components
 from loomgraph.sources import graphs
 from loomgraph.storage import once, stored
@@ -374,6 +374,19 @@ def graph_communities(spark, sf_dir):
     return pairs.communities(_knn(spark, sf_dir))
 
 
+@query()
+def graph_modularity_communities(spark, sf_dir):
+    return communities.modularity_communities(_knn(spark, sf_dir))
+
+
+@query(f"""with {KNN}, own as (select a.label la, b.label lb from adj join embeddings a on a.vec_id = src join embeddings b on b.vec_id = dst),
+each as (select la, count(*) filter (where la = lb) inside, count(*) every from own group by la), total as (select sum(every) m from each)
+select round(sum(inside / m - (every / m) ** 2), 6) modularity from each, total""")
+def score_modularity(spark, sf_dir):
+    """How much better than by chance the classes of the vectors part their graph."""
+    return _rounded(communities.modularity(_knn(spark, sf_dir), _labels(spark, sf_dir)), "modularity")
+
+
 @query()
 def layout_pivot_scaling(spark, sf_dir):
     g = _knn(spark, sf_dir)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.models import kernel, network
-from loomgraph.operators import diffusion, edges, energies, hops, linear, metrics, pairs, ranking, spatial
+from loomgraph.operators import communities, diffusion, edges, energies, hops, linear, metrics, pairs, ranking, spatial
 from loomgraph.sources import graphs
 from loomgraph.storage import Scratch, stored
 from loomgraph.streaming import growth
@@ -256,14 +256,90 @@ def test_forces_bring_energy_down_and_keep_nodes(spark, grid):
     assert (r.fx, r.fy) == pytest.approx((-1.6, -0.2))
 
 
-def test_refinement_adds_no_crossing(spark):
-    at = np.array([(i % 4 + 0.11 * (i // 4), i // 4) for i in range(16)], float)
-    g = stored(graphs.grid(spark, 4), "grid")
-    layout = layout_of(spark, at)
-    after = energies.refined(g, layout, 0.2, rounds=3)
-    assert after.count() == 16 and spatial.crossings(g, after).count() <= spatial.crossings(g, layout).count()
-    free = energies.sector_limits(edges_of(spark, [(1, 2)]), layout_of(spark, [(0, 0), (1, -1), (1, 1)]), 5.0).where("node = 0").collect()
-    assert {r.sector for r in free} == {3, 4} and all(r.free == pytest.approx(1 / math.cos(math.pi / 8)) for r in free)
+def sides(at, es):
+    """Side and position along each edge of each node that isn't its end."""
+    out = {}
+    for a, b in es:
+        u = at[b] - at[a]
+        for v in range(len(at)):
+            if v not in (a, b):
+                w = at[v] - at[a]
+                out[v, a, b] = (u[0] * w[1] - u[1] * w[0] > 0, 0 <= w @ u <= u @ u)
+    return out
+
+
+def passing(es, before, after):
+    one, two = sides(before, es), sides(after, es)
+    return {k for k in one if one[k][0] != two[k][0] and (one[k][1] and two[k][1])}
+
+
+def test_refinement_passes_no_edge(spark):
+    rng = np.random.default_rng(4)
+    at = rng.random((30, 2))
+    es = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, 30, (40, 2)) if a != b})
+    g, layout = edges_of(spark, es), layout_of(spark, at)
+    after = stored(energies.refined(g, layout, 0.05, rounds=2), "refined")
+    to = array_of(after, "x", "y")
+    assert plain_crossings(to, es) == plain_crossings(at, es) and not passing(es, at, to) and np.abs(to - at).max() > 1e-3
+
+
+def test_only_nodes_that_pass_an_edge_go_back(spark):
+    """Random moves of all nodes: nothing changes sides, and nodes far from any change keep their move."""
+    rng = np.random.default_rng(12)
+    at = np.array([(i % 8, i // 8) for i in range(64)], float) + rng.normal(size=(64, 2)) * 0.05
+    es = [(i, i + 1) for i in range(63) if i % 8 < 7] + [(i, i + 8) for i in range(56)]
+    to = at + rng.normal(size=(64, 2)) * 0.01
+    to[9], to[27] = at[18] + 0.3, at[27] + [1.2, 0.1]
+    g = edges_of(spark, es)
+    assert plain_crossings(to, es) and passing(es, at, to)
+    got = array_of(energies.without_passing(g, layout_of(spark, at), layout_of(spark, to), 2.0), "x", "y")
+    assert plain_crossings(got, es) == plain_crossings(at, es) and not passing(es, at, got)
+    kept = (got == to).all(1)
+    assert kept.sum() >= 50 and not kept[9] and not kept[27] and ((got == at).all(1) | kept).all()
+
+
+def plain_modularity(es, label):
+    m, inside, size = 2 * len(es), {}, {}
+    for a, b in es:
+        for u in (a, b):
+            size[label[u]] = size.get(label[u], 0) + 1
+        if label[a] == label[b]:
+            inside[label[a]] = inside.get(label[a], 0) + 2
+    return sum(inside.get(c, 0) / m - (s / m) ** 2 for c, s in size.items())
+
+
+def partitions(n):
+    """All labelings of n nodes by blocks."""
+    def grow(prefix, top):
+        if len(prefix) == n:
+            yield prefix
+            return
+        for c in range(top + 1):
+            yield from grow([*prefix, c], max(top, c + 1))
+
+    yield from grow([0], 1)
+
+
+def test_modularity_of_small_graphs_is_the_best(spark):
+    ring = [(3 * k + a, 3 * k + b) for k in range(3) for a, b in ((0, 1), (1, 2), (0, 2))] + [(2, 3), (5, 6), (0, 8)]
+    bridge = [(a, b) for a in range(4) for b in range(a)] + [(a, b) for a in range(4, 8) for b in range(4, a)] + [(3, 4)]
+    for es, n in ((ring, 9), (bridge, 8)):
+        g = edges_of(spark, [(min(e), max(e)) for e in es])
+        found = {r.node: r.label for r in communities.modularity_communities(g).collect()}
+        best = max(plain_modularity(es, p) for p in partitions(n))
+        assert plain_modularity(es, found) == pytest.approx(best)
+        labels = spark.createDataFrame(list(found.items()), "node long, label long")
+        assert communities.modularity(g, labels).first().modularity == pytest.approx(best)
+
+
+def test_modularity_on_a_block_model(spark):
+    g = stored(edges.canonical(graphs.block_model(spark, [40, 40, 40], 0.3, 0.02, 1)), "blocks")
+    es = [(r.src, r.dst) for r in g.collect()]
+    spread = {r.node: r.label for r in pairs.communities(g).collect()}
+    found = {r.node: r.label for r in communities.modularity_communities(g).collect()}
+    assert set(found) == set(spread) and plain_modularity(es, found) >= plain_modularity(es, spread) - 1e-9
+    assert plain_modularity(es, found) >= plain_modularity(es, {n: n // 40 for n in found}) - 0.02
+    assert communities.modularity_communities(g.limit(0)).collect() == []
 
 
 def test_newcomers_leave_the_others_in_place(spark):
