@@ -8,7 +8,8 @@ bits flipped finds every item within the radius. What is found is decided by exa
 
 A window that reaches the threshold holds most of the item's weight, hence one of the item's rarest
 shingles, those that make up a little more than the weight it may lack. Windows without any are not looked at:
-that loses no pair, and keeps fingerprints to the neighbourhoods of such shingles.
+that loses no pair, and keeps fingerprints to the neighbourhoods of such shingles. An item of fewer than five words is one shingle:
+a window of as many words is it or not, and is looked up as such.
 
 The benchmark is cut into blocks of items of bounded size, each broadcast on its own.
 """
@@ -48,7 +49,7 @@ def _lower(col: pa.Array) -> pa.Array:
 
 def _shingled(text: pa.Array):
     """For runs of rows: first row, words of each row (offsets), hash of the shingle at each word (words that
-    begin none have 0), and for rows of few words the hash of them all."""
+    begin none have 0), and the words' own hashes."""
     for row, to, buf, off in slices(_lower(text)):
         words = words_of(buf, off, _SEPARATOR)
         h = words.hashes(lower=True)
@@ -58,12 +59,13 @@ def _shingled(text: pa.Array):
         yield row, to, words.doc_first, at, h
 
 
-def _whole(h: np.ndarray) -> int:
-    out = np.array([len(h) + 977], np.uint64)
+def _runs(h: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each n consecutive words as one shingle, for n below SHINGLE."""
+    out = np.full(max(len(h) - n + 1, 0), n + 977, np.uint64)
     with np.errstate(over="ignore"):
-        for x in h:
-            out = mix(out * U(31) + x)
-    return int(out[0])
+        for k in range(n):
+            out = mix(out * U(31) + h[k : k + len(out)])
+    return out
 
 
 def _items(batches):
@@ -72,7 +74,7 @@ def _items(batches):
         for row, to, doc_first, at, h in _shingled(b.column("text")):
             n, sets = np.diff(doc_first), []
             for x, y in zip(doc_first[:-1], doc_first[1:], strict=True):
-                grams = np.unique(at[x : max(x, y - SHINGLE + 1)]) if y - x >= SHINGLE else np.array([_whole(h[x:y])] if y > x else [], np.uint64)
+                grams = np.unique(at[x : max(x, y - SHINGLE + 1)]) if y - x >= SHINGLE else _runs(h[x:y], y - x) if y > x else np.zeros(0, np.uint64)
                 sets.append(signed(grams))
             yield pa.RecordBatch.from_arrays([b.column("item").slice(row, to - row), pa.array(n, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["item", "n_words", "shingles"])
 
@@ -106,6 +108,11 @@ class ItemIndex:
                     break
                 seeds.setdefault(shingle, []).append(i)
                 so_far += w
+        #: Items of few words by their number of words and their one shingle.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for i, n in enumerate(self.n_words.tolist()):
+            if n < SHINGLE:
+                self.short.setdefault(n, {}).setdefault(next(iter(self.sets[i])), []).append(i)
         self.shingles = np.array(sorted(weight), np.uint64)
         self.weights = np.array([weight[int(s)] for s in self.shingles])
         self.seed = np.array(sorted(seeds), np.uint64)
@@ -158,9 +165,9 @@ class ItemIndex:
         return shared / (float(self.weight_of(have).sum()) + self.total[item] - shared)
 
     def leaks(self, shingles: np.ndarray, n_words: int) -> list[tuple[int, int, float, int]]:
-        """(item, first word, similarity, distance): the best window of each item that a text holds.
+        """(item, first word, similarity, distance): the best window of each item of SHINGLE words or more that a text of as many holds.
 
-        shingles: those at each word of the text, or the one of a text of few words."""
+        shingles: those at each word of the text."""
         at, seed = self.seeds_at(shingles)
         spans: dict[int, list[int]] = {}
         for p, s in zip(at.tolist(), seed.tolist(), strict=True):
@@ -196,18 +203,31 @@ class ItemIndex:
         return [(i, *best[i]) for i in sorted(best)]
 
 
+def _short_leaks(h: np.ndarray, doc_first: np.ndarray, index: ItemIndex):
+    """(document, item, first word): where a text first holds each item of fewer than SHINGLE words, whatever its own length."""
+    doc_of = np.repeat(np.arange(len(doc_first) - 1), np.diff(doc_first))
+    for n, items in index.short.items():
+        runs = _runs(h, n)
+        at = np.flatnonzero(np.isin(runs, np.array(list(items), np.uint64)))
+        at = at[doc_of[at] == doc_of[at + n - 1]]
+        docs, shingles = doc_of[at], runs[at]
+        _, first = np.unique(np.stack([docs.astype(np.uint64), shingles]), axis=1, return_index=True)
+        for k in first.tolist():
+            for i in items[int(shingles[k])]:
+                yield int(docs[k]), i, int(at[k] - doc_first[docs[k]])
+
+
 def text_leaks(text: pa.Array, index: ItemIndex):
     """(row, item, first word, similarity, distance)."""
     for row, _, doc_first, at, h in _shingled(text):
-        count = np.diff(doc_first)
-        first = {int(d) for d in np.flatnonzero((count > 0) & (count < SHINGLE))}
+        for d, i, start in _short_leaks(h, doc_first, index):
+            yield row + d, i, start, 1.0, 0
         hit, _ = index.seeds_at(at)
-        first.update(np.unique(np.searchsorted(doc_first, hit, "right") - 1).tolist())
-        for d in sorted(first):
+        for d in np.unique(np.searchsorted(doc_first, hit, "right") - 1).tolist():
             x, y = doc_first[d], doc_first[d + 1]
-            own = at[x : y - SHINGLE + 1] if y - x >= SHINGLE else np.array([_whole(h[x:y])], np.uint64)
-            for found in index.leaks(own, int(y - x)):
-                yield row + d, *found
+            if y - x >= SHINGLE:
+                for found in index.leaks(at[x : y - SHINGLE + 1], int(y - x)):
+                    yield row + d, *found
 
 
 def item_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list:
@@ -239,9 +259,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
     Words are runs of letters and digits, lower-cased. An item matches a window of as many words whose weighted
     shingle similarity is at least 0.8 (a shorter document as a whole); of several windows the best is told, the
-    first of equals. A text of fewer than five words is one shingle, so it matches only an equal item, and an item of so
-    few words, which everyday language holds by chance, matches only an equal text. Null and
-    empty texts and items match nothing; rows of equal ids are told each. Extra columns are not read.
+    first of equals. An item of fewer than five words is one shingle, so it matches wherever a text holds exactly its words one after the other; a text
+    of so few words holds no longer item. Null and empty texts and items match nothing; rows of equal ids are told each. Extra columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"{id_col} {rows.schema['id'].dataType.simpleString()}, item_id long, start long, n_words long, similarity double, distance int"
