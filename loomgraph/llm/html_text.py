@@ -43,7 +43,7 @@ BUCKETS, PATH_DIM, WORD_DIM, COUNTS, HIDDEN = 1024, 12, 8, 6, 16
 INPUT = PATH_DIM + WORD_DIM + COUNTS
 GROUP = 64
 #: Generated pages and passes over them.
-TRAIN_PAGES, EPOCHS = 600, 12
+TRAIN_PAGES, EPOCHS = 1000, 12
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
@@ -340,7 +340,18 @@ def generated_page(rng: np.random.Generator) -> tuple[str, list[int]]:
         labels.append(main)
         return f"<{tag}{attributes}>{text}</{tag}>"
 
+    def menu(tag: str) -> str:
+        """Links side by side in one block."""
+        between, case = pick(["", "", " | ", " &middot; ", "<br>", " "]), pick([str.title, str.title, str.lower])
+        return block(tag, between.join(f'<a href="/{words(1, 1, 0)}">{case(words(1, pick([1, 2]), furniture))}</a>' for _ in range(pick([2, 2, 2, 3, 4, 5, 6, 7]))), 0, pick(["", "", " width=150", ' class="menu"', " valign=top"]))
+
     def links(main: int = 0) -> str:
+        if not main and chance(0.15):
+            return menu(pick(["div", "p"]))
+        if not main and chance(0.15):  # a menu within a menu
+            head = f'<a href="/{words(1, 1, 0)}">{words(1, 2, furniture)}</a>'
+            labels.append(0)
+            return f"<ul><li>{head}<ul>" + "".join(block("li", f'<a href="/x">{words(1, 3, furniture)}</a>', 0) for _ in range(int(rng.integers(1, 5)))) + "</ul></li></ul>"
         tag = pick(["li", "li", "div", "p"])
         inner = "".join(block(tag, f'<a href="/{words(1, 1, 0)}">{words(1, 3, furniture)}</a>', main) for _ in range(int(rng.integers(2, 9))))
         return f"<ul>{inner}</ul>" if tag == "li" else inner
@@ -387,6 +398,13 @@ def generated_page(rng: np.random.Generator) -> tuple[str, list[int]]:
             inner = block("p", text, 0) + (links() if chance(0.4) else "")
         elif kind == "aside":
             inner = block(pick(["h2", "h3"]), words(1, 3, furniture), 0) + (links() if chance(0.6) else block("p", prose(), 0))
+        elif kind == "notice" and chance(0.35):  # a box without a telling name
+            plain = pick(["", ' class="box"', ' class="panel"', ' class="layer"', ' id="overlay"'])
+            text = words(5, 18, 0.6)
+            if chance(0.5):
+                labels.append(0)
+                return f"<div{plain}>{text}" + (block("button", words(1, 1, 0.9), 0) if chance(0.5) else "") + "</div>"
+            return f"<div{plain}>" + block("p", text, 0) + (block("button", words(1, 2, 0.9), 0) if chance(0.7) else "") + "</div>"
         elif kind in ("ad", "notice"):
             text = prose() if chance(0.7) else words(3, 15, furniture)
             if chance(0.6):
@@ -399,11 +417,28 @@ def generated_page(rng: np.random.Generator) -> tuple[str, list[int]]:
             inner = block("h3", words(1, 2, furniture), 0) + "".join(f'<div class="{pick(["comment", "reply"])}">' + block("p", words(1, 2, 0), 0) + block("p", prose(), 0) + "</div>" for _ in range(int(rng.integers(1, 4))))
         return f"<{tag}{named}>{inner}</{tag}>"
 
+    def table() -> str:
+        """A page laid out by a table: rows above and below, cells beside the text."""
+        cell = lambda inner, attributes="": f"<td{attributes}>{inner}</td>"
+        rows = []
+        if chance(0.6):
+            rows.append(pick([lambda: block("td", words(1, 4, 0.2), 0, " colspan=2"), lambda: cell(block("h1", words(1, 4, 0.2), 0)), lambda: menu("td")])())
+        left = (menu("td") if chance(0.6) else cell(links(), " width=150")) if chance(0.8) else ""
+        text = cell(body(), pick(["", "", " valign=top", ' class="content"', " width=600"])) if chance(0.8) else block("td", "<br><br>".join(prose() for _ in range(3)), 1)
+        right = (menu("td") if chance(0.4) else cell(block("p", prose(), 0), ' class="ad"')) if chance(0.3) else ""
+        rows.append(left + text + right)
+        if chance(0.6):
+            rows.append(pick([lambda: block("td", pick(["&copy; ", "Copyright "]) + words(1, 4, furniture), 0, " colspan=2"), lambda: menu("td")])())
+        return "<table>" + "".join(f"<tr>{r}</tr>" for r in rows) + "</table>"
+
+    if chance(0.25):
+        out = "".join(side(k) for k in ("notice",) if chance(0.2)) + table() + "".join(side(k) for k in ("footer",) if chance(0.2))
+        return f"<html><head><title>{words(1, 6, 0)}</title></head><body>{out}</body></html>", labels
     before = [k for k in ("header", "nav", "notice", "ad", "aside", "form") if chance(0.45)]
     after = [k for k in ("aside", "form", "comments", "ad", "nav", "footer") if chance(0.45)]
     out = "".join(side(k) for k in before)
     wrap = pick(["article", "article", "article", "main", "div", "section"])
-    named = f' {pick(["class", "id"])}="{pick(["content", "post", "article", "main", "entry", "story", "text"])}"' if wrap != "article" or chance(0.3) else ""
+    named = f' {pick(["class", "id"])}="{pick(["content", "post", "article", "main", "entry", "story", "text"])}"' if chance(0.3 if wrap == "article" else 0.75) else ""
     inner = body() + (side("comments") if chance(0.1) else "")
     if chance(0.3):  # neutral boxes, as deep as pages have them
         for _ in range(int(rng.integers(1, 12))):
