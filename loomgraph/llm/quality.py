@@ -38,6 +38,10 @@ def laid_out(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out, first, valid
 
 
+#: A text of more bytes is walked in runs of so many halves.
+LONG, RUN = 1 << 20, 1 << 11
+
+
 class ByteConvolution:
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -83,6 +87,27 @@ class ByteConvolution:
         z, _ = self.logits(self.pooled(*laid_out(buf, off)), np.diff(off))
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
+    def score_of_long(self, buf: np.ndarray, run: int = 0) -> float:
+        """The score of one text, walked in runs of halves with a running sum and maximum, so that memory doesn't grow with it."""
+        run = run or RUN
+        n = (len(buf) + WIDTH + HALF - 1) // HALF
+        valid = np.clip((len(buf) - np.arange(n) * HALF + STRIDE - 1) // STRIDE, 0, OUTPUTS)
+        valid[0] = max(valid[0], 1)
+        total, top, used = np.zeros(FILTERS), np.zeros(FILTERS, np.float32), 0
+        for a in range(0, n, run):
+            b = min(a + run + 1, n)  # the half behind belongs to the last chunk
+            data, part = np.zeros((b - a) * HALF + WIDTH, np.uint8), buf[a * HALF : b * HALF + WIDTH]
+            data[: len(part)] = part
+            half = self.outputs(data, valid[a:b]).max(1) + self.bias
+            here = np.arange(a, min(a + run, n))
+            joins = (here + 1 < n) & (valid[np.minimum(here + 1, n - 1)] > 0)
+            other = np.where(joins[:, None], half[np.minimum(here + 1, b - 1) - a], -1e9)
+            chunk = np.maximum(np.maximum(half[: len(here)], other), 0)[(valid[here] > 0) & (joins | (here == 0))]
+            if len(chunk):
+                total, top, used = total + chunk.sum(0), np.maximum(top, chunk.max(0)), used + len(chunk)
+        z, _ = self.logits({"mean": total[None] / max(used, 1), "top": top[None]}, np.array([len(buf)]))
+        return float(1 / (1 + np.exp(-z.astype(np.float64)))[0])
+
     def gradients(self, buf: np.ndarray, off: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         data, first, valid = laid_out(buf, off)
         p = self.pooled(data, first, valid)
@@ -150,7 +175,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataF
         for b in batches:
             score = np.zeros(b.num_rows)
             for row, to, buf, off in slices(b.column("text"), 1 << 18):
-                score[row:to] = model.value.scores(buf, off)
+                score[row:to] = model.value.score_of_long(buf) if len(buf) > LONG else model.value.scores(buf, off)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, "score"])
 
     scored = rows.mapInArrow(tidy(run), schema)

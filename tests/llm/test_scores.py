@@ -12,7 +12,7 @@ from loomgraph.llm import queries
 from loomgraph.llm.boosting import BoostedTrees, calibrated_threshold
 from loomgraph.llm.html_text import blocks_of, generated_set, labeller, main_text
 from loomgraph.llm.pii import KINDS, judge, personal_data
-from loomgraph.llm.quality import quality
+from loomgraph.llm.quality import ByteConvolution, quality
 from loomgraph.llm.toxicity import GRAMMAR, KINDS as TOXIC_KINDS
 from loomgraph.llm.toxicity import INSULT, NEGATION, OTHER, REPORT, TARGET, THREAT, clause_weights, toxicity, without_toxic
 
@@ -97,13 +97,18 @@ def luhn(d):
     return (sum(map(int, d[::-2])) + sum(x - 9 if x > 9 else x for x in twice)) % 10 == 0
 
 
-def brute_base(text):
+def brute_spans(text):
     out = []
     for k, p in enumerate(PATTERNS):
         for m in re.finditer(p, text):
             d = re.sub("[^0-9]", "", m[0])
             if [True, all(int(x) <= 255 for x in m[0].split(".")) if k == 1 else True, 16 <= len(d) <= 19 and luhn(d), 8 <= len(d) <= 15][k]:
                 out.append((k, *m.span()))
+    return out
+
+
+def brute_base(text):
+    out = brute_spans(text)
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(out)), [sum(x[0] == k for x in out) for k in range(4)]
 
 
@@ -129,6 +134,40 @@ def test_personal_data_of_tricky_texts(spark, edge_docs, no_docs):
     assert personal_data(edge_docs).count() == edge_docs.count() and personal_data(no_docs).collect() == []
 
 
+def test_long_texts_are_scored_in_runs_alike():
+    net, rng = ByteConvolution(), np.random.default_rng(1)
+    for n in (0, 1, 5, 100, 1000, 4096, 10_007):
+        buf = rng.integers(32, 127, n).astype(np.uint8)
+        want = net.scores(buf, np.array([0, n]))[0]
+        assert all(net.score_of_long(buf, run) == pytest.approx(want, abs=1e-6) for run in (1, 2, 7, 1 << 11))
+
+
+#: Spellings that differ from those the trees learn from.
+SPELT = {
+    "phone": ["030 1234567", "07700 900123", "0049 30 1234567", "555-123-4567", "(555) 123-4567", "020 7946 0958", "01 42 68 53 00", "0171/2345678", "00442079460958", "0151-12345678", "0800 123 456", "(089) 123456", "06 12 34 56 78", "0034 912 345 678", "0911 4455667", "02/1234567"],
+    "card": ["378282246310005", "3782 822463 10005", "4222222222222", "6011.1111.1111.1117", "5555/5555/5555/4444", "4111_1111_1111_1111", "371449635398431", "36227206271667", "5105  1051  0510  5100", "30569309025904", "3530/1113/3330/0000", "3714-496353-98431"],
+    "email": ["jane.doe (at) example (dot) com", "bob at mail dot example dot org", "x.y[at]host[dot]de", "Maria [at] correo.es", "paul @ site.fr", "info(at)shop.net", "sam.hill at gmail dot com", "k_l (AT) uni-x (DOT) edu", "joe[at]a.b.org", "ann.b at work dot net"],
+    "ip": ["10 . 0 . 0 . 1", "192[.]168[.]1[.]20", "8(.)8(.)4(.)4", "172 .16 .254 .1", "203[.]0[.]113[.]7"],
+}
+LOOK_ALIKES = ["look at this dot com boom", "we met at noon . Then we left", "version 1.2.3.4567 came out", "between 1998-2004 and 2010-2014", "room 12 34 56", "ISBN 978-3-16-148410-0", "on 12/05/2014 at 10", "1234 5678 9012 3456", "order 4711 0815 2222", "he sat at table dot matrix printer", "pages 123-145, 200-210", "the sum of 1 000 000 euros", "chapter 3.14.15.92653", "at 3 dot 5 percent", "1999 2000 2001 2002", "500-600 people"]
+
+
+@pytest.mark.parametrize("kind", sorted(SPELT))
+def test_recall_of_spellings_that_were_not_generated(kind):
+    hits = []
+    for said in SPELT[kind]:
+        for lead, tail in (("please use ", " for this."), ("Contact: ", "")):
+            text = lead + said + tail
+            base = brute_spans(text)
+            found = base + judge().added(text, base)
+            hits.append(any(KINDS[k] == kind and a <= len(lead) + 1 and b >= len(lead) + len(said) - 1 and b - a <= len(said) + 2 for k, a, b in found))
+    assert np.mean(hits) >= 0.9
+
+
+def test_look_alikes_are_left_alone():
+    assert [t for t in LOOK_ALIKES if judge().added(t, brute_spans(t))] == []
+
+
 def test_judge_finds_other_spellings_and_leaves_look_alikes():
     found = lambda t: [(KINDS[k], t[a:b]) for k, a, b in judge().added(t, [])]
     assert found("please write jane.doe (at) mail (dot) com today") == [("email", "jane.doe (at) mail (dot) com")]
@@ -163,6 +202,45 @@ PAGE = """<html><head><title>Site</title><style>p{}</style><script>if (a < b) {
 <footer>&copy; 2020 Site. All rights reserved. <a href="/p">Privacy policy</a></footer></body></html>"""
 
 
+ARTICLE = "<p>The river rose by two metres in the night, and nobody in the town slept.</p><p>By morning the bridge was gone, and people waited for boats on the hill.</p>"
+#: Furniture in shapes that pages have, before and behind the article, and a word of it that must not stay.
+FURNISHED = [
+    ("<table><tr><td><a href=/>Home</a><a href=/a>About</a></td><td>{}</td></tr></table>", "Home"),
+    ("<table width=100%><tr><td colspan=2><h1>My Site</h1></td></tr><tr><td width=150><ul><li><a href=/1>News</a></li><li><a href=/2>Sports</a></li></ul></td><td>{}</td></tr></table>", "Sports"),
+    ("<table><tr><td class=menu><a href=/>Home</a><br><a href=/a>About us</a><br><a href=/c>Links</a></td><td class=content>{}</td></tr></table>", "About us"),
+    ("<table><tr><td><a href=/>Start</a> | <a href=/x>Archive</a> | <a href=/c>Contact</a></td></tr><tr><td>{}</td></tr></table>", "Archive"),
+    ("<table><tr><td>{}</td><td><a href=/1>Shop</a><a href=/2>Cart</a><a href=/3>Login</a></td></tr></table>", "Cart"),
+    ("<div><a href=/>Home</a> | <a href=/a>About</a> | <a href=/c>Contact</a></div><div>{}</div>", "Contact"),
+    ("<div><nav><ul><li><a href=/>Start</a><ul><li><a href=/x>Deep</a></li></ul></li></ul></nav></div><article>{}</article>", "Deep"),
+    ("<div class=box><p>We use cookies to improve our service. Accept all cookies?</p><button>Accept</button></div><article>{}</article>", "cookies"),
+    ("<article>{}</article><div>This site uses cookies. By continuing you accept our privacy policy. <button>OK</button></div>", "privacy"),
+    ("<div id=overlay>Accept cookies? <button>Accept</button><button>Settings</button></div><main>{}</main>", "cookies"),
+    ("<header><h1>Daily News</h1></header><main>{}</main>", "Daily"),
+    ("<article>{}</article><footer>&copy; 2020 Site. All rights reserved.</footer>", "rights"),
+    ("<article>{}</article><aside class=related><h3>Related</h3><ul><li><a href=/2>Another story</a></li></ul></aside>", "Another"),
+    ("<article>{}</article><section class=comments><h3>Comments</h3><div class=comment><p>anna</p><p>What a night!</p></div></section>", "anna"),
+    ("<article>{}</article><form class=newsletter><label>Subscribe</label><input><button>Submit</button></form>", "Subscribe"),
+    ("<div class=ad>Buy now and save.</div><article>{}</article>", "Buy"),
+    ("<article>{}</article><div class=sidebar><h2>Popular</h2><p>Ten tips for gardens.</p></div>", "Popular"),
+    ("<select><option>English<option>French</select><article>{}</article>", "French"),
+    ("<script>var x = '<p>no</p>'</script><article>{}</article>", "no</p>"),
+    ("<div class=wrapper><div class=row><div class=navbar><a href=/>Home</a><a href=/b>Blog</a></div><div class=content>{}</div></div></div>", "Blog"),
+]
+
+
+@pytest.mark.parametrize("wrap", ["{}", "<html><head><title>T</title></head><body>{}</body></html>"])
+def test_furniture_goes_and_the_article_stays(wrap):
+    from loomgraph.llm.html_text import Inputs, blocks_of
+
+    right = []
+    for page, bad in FURNISHED:
+        for head in ("", "<h1>Flood hits the town</h1>"):
+            blocks = blocks_of(wrap.format(page.format(head + ARTICLE)))
+            text = [b[1] for b, v in zip(blocks, labeller().scores(Inputs([blocks])), strict=True) if v >= 0.5]
+            right.append(any("slept" in t for t in text) and any("boats" in t for t in text) and not any(bad in t for t in text))
+    assert np.mean(right) >= 0.9, [FURNISHED[i // 2][0] for i, ok in enumerate(right) if not ok]
+
+
 def test_main_text(spark, edge_docs):
     rows = [(1, "u", PAGE), (2, "v", None), (3, "w", ""), (1, "u", PAGE), (None, None, "<p>"), (4, "x", "<html><body><nav><a href='/'>Home</a></nav></body></html>")]
     out = main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
