@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.models import fits, network
-from loomgraph.operators import communities, diffusion, edges, energies, hops, linear, metrics, pairs, ranking, spatial
+from loomgraph.operators import communities, diffusion, distributions, edges, energies, hops, linear, metrics, pairs, ranking, spatial
 from loomgraph.operators.components import connected_components
 from loomgraph.sources import graphs
 from loomgraph.storage import once, stored
@@ -387,6 +387,43 @@ def score_modularity(spark, sf_dir):
     return _rounded(communities.modularity(_knn(spark, sf_dir), _labels(spark, sf_dir)), "modularity")
 
 
+DISTRIBUTION = """two as (select distinct l.src a, r.dst b from adj l join adj r on l.dst = r.src where l.src <> r.dst and not exists (select 1 from adj e where e.src = l.src and e.dst = r.dst)),
+rows as (select src node, dst other, 1.0 q from adj union all select a, b, 4.0 from two),
+hist as (select node, q - min(q) over (partition by node) q, n from (select node, q, count(*)::double n from rows group by 1, 2)),
+band as (select distinct node, -20.0::double low, 20.0::double high, 0 k from rows union all
+  select node, case when h > ln(8) then (low + high) / 2 else low end, case when h > ln(8) then high else (low + high) / 2 end, k + 1 from
+  (select b.node, low, high, k, ln(sum(n * exp(-exp((low + high) / 2) * q))) + exp((low + high) / 2) * sum(n * exp(-exp((low + high) / 2) * q) * q) / sum(n * exp(-exp((low + high) / 2) * q)) h
+   from band b join hist using (node) where k < 60 group by b.node, low, high, k)),
+bands as (select node, exp((low + high) / 2) beta, sum(n * exp(-exp((low + high) / 2) * q)) z from band join hist using (node) where k = 60 group by node, low, high),
+lows as (select node, min(q) m from rows group by node),
+chance as (select node, other, exp(-beta * (q - m)) / z p from rows join bands using (node) join lows using (node)),
+prob as (select least(node, other) a, greatest(node, other) b, sum(p) / (2 * (select count(*) from bands)) p from chance group by 1, 2)"""
+
+
+@query(f"with recursive {KNN}, {DISTRIBUTION} select a, b, round(p, 9) p from prob")
+def graph_neighbour_probabilities(spark, sf_dir):
+    return _rounded(distributions.neighbour_probabilities(_two_hops(spark, sf_dir), 8.0), "p", digits=9)
+
+
+@query(f"""with recursive {KNN}, {DISTRIBUTION}, pairs_w as (select p.node a, q.node b, p.x - q.x dx, p.y - q.y dy, 1 / (1 + (p.x - q.x) ** 2 + (p.y - q.y) ** 2) w from layout p, layout q where p.node <> q.node),
+push as (select a, sum(w * w * dx) x, sum(w * w * dy) y from pairs_w group by a), total as (select sum(w) t from pairs_w),
+pull as (select w.a, sum(p * w * dx) x, sum(p * w * dy) y from pairs_w w join prob on prob.a = least(w.a, w.b) and prob.b = greatest(w.a, w.b) group by w.a)
+select a node, round(4 * (coalesce(pull.x, 0) - push.x / t), 9) gx, round(4 * (coalesce(pull.y, 0) - push.y / t), 9) gy from push left join pull using (a), total""")
+def energy_distribution_gradient(spark, sf_dir):
+    """One gradient of the divergence between the distributions of a graph and of a layout."""
+    p = stored(distributions.neighbour_probabilities(_two_hops(spark, sf_dir), 8.0), "probabilities")
+    return _rounded(distributions.distribution_gradient(p, _layout(spark, sf_dir)), "gx", "gy", digits=9)
+
+
+def _two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node, other, d of all nodes at one and at two hops."""
+    g = _knn(spark, sf_dir)
+    two = edges.two_hop_pairs(g)
+    both = two.select("a", "b").unionByName(two.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rows = edges.adjacency(g).select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(1).alias("d"))
+    return stored(rows.unionByName(both.select(F.col("a").alias("node"), F.col("b").alias("other"), F.lit(2).alias("d"))), "two_hops")
+
+
 @query()
 def layout_pivot_scaling(spark, sf_dir):
     g = _knn(spark, sf_dir)
