@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.models import fits, network
+from loomgraph.models import arms, fits, network
 from loomgraph.operators import communities, diffusion, distributions, edges, energies, hops, linear, metrics, pairs, ranking, spatial
 from loomgraph.operators.components import connected_components
 from loomgraph.sources import graphs
@@ -362,6 +362,21 @@ def fit_terms(spark, sf_dir):
     return network.place(table, fits.fit_with_terms(table, g, "pivot", *_columns(spark, sf_dir), {"local": 0.3, "spread": 0.005, "contrast": 0.05, "fold": 0.05}))
 
 
+@query()
+def fit_injected(spark, sf_dir):
+    """Places by a neighbour embedding with the stress against all pivots beside it."""
+    g, table = _knn(spark, sf_dir), _features(spark, sf_dir, _knn(spark, sf_dir))
+    return network.place(table, fits.fit_with_stress(table, g, _pivot_hops(spark, sf_dir), 1.0))
+
+
+@query()
+def table_arms(spark, sf_dir):
+    """Held-out stress of the best configuration of each trained arm, over the grid of 300 steps."""
+    table = _features(spark, sf_dir, _knn(spark, sf_dir))
+    sample = arms.sample_of(table, *_columns(spark, sf_dir))
+    return arms.chosen_arms(arms.trained_grid(sample, spark, arms.grid(steps=(300,)) if len(sample.x) else []))
+
+
 @query()
 def fit_hybrid(spark, sf_dir):
     """Places by a network fitted by majorisation and then by gradients."""
