@@ -43,16 +43,25 @@ def range_join(points: DataFrame, others: DataFrame, radius: float) -> DataFrame
     return left.join(right, ["cx", "cy"]).where("a != b").select("a", "b", d.alias("d")).where(F.col("d") < radius)
 
 
+def _fullest(points: DataFrame, sizes: list[float]) -> list[int]:
+    """How many points the fullest cell of each of these widths holds, all told in one pass."""
+    each = points.select("x", "y", F.posexplode(F.array(*map(F.lit, sizes))).alias("level", "size"))
+    cells = each.groupBy("level", _cell(F.col("x"), F.col("size")).alias("cx"), _cell(F.col("y"), F.col("size")).alias("cy")).agg(F.count("*").alias("n"))
+    found = {r.level: r.n for r in cells.groupBy("level").agg(F.max("n").alias("n")).collect()}
+    return [found.get(k, 0) for k in range(len(sizes))]
+
+
 def _start_size(points: DataFrame, size: float, least: float, per_cell: float) -> float:
     """A cell's width with which no cell holds far more than per_cell points, unless points coincide: one outlier or a
     dense cluster must not put most of them in one cell."""
-    size, before = max(size, least), None
-    for _ in range(16):
-        most = points.groupBy(_cell(F.col("x"), size), _cell(F.col("y"), size)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        if most <= CROWDED * per_cell or most == before or size / 4 < least:
-            break
-        before, size = most, size / 4
-    return size
+    sizes = [max(size, least)]
+    if _fullest(points, sizes)[0] <= CROWDED * per_cell:
+        return sizes[0]
+    while len(sizes) < 16 and sizes[-1] / 4 >= least:
+        sizes.append(sizes[-1] / 4)
+    most = _fullest(points, sizes)
+    # the widest cells that aren't crowded; if there are none, the widest of those that are least
+    return next((size for size, n in zip(sizes, most, strict=True) if n <= CROWDED * per_cell), sizes[most.index(min(most))])
 
 
 def nearest_points(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
