@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.draws import uniform
 from loomgraph.functions.geometry import distance, ray_segment_distance, sector, turn
 from loomgraph.operators.edges import degrees
-from loomgraph.operators.spatial import block_pairs, crossings, near_segments, placed_edges, range_join
+from loomgraph.operators.spatial import block_pairs, near_segments, placed_edges, range_join
 from loomgraph.storage import stored
 
 #: Fixed floor of distances that divide.
@@ -283,25 +283,16 @@ def separated(layout: DataFrame, fresh: DataFrame, k: float, rounds: int = 30, c
 def passed(edges: DataFrame, before: DataFrame, after: DataFrame, reach: float) -> DataFrame:
     """node, src, dst: nodes that came to the other side of an edge, and the edge, as all move straight from their places before to those after.
 
-    Near an edge (within reach before, its nearest point between the ends before or after) the side alone tells. Else a node passed where a pair of edges
-    begins or ceases to cross and the node, an end of one, changed its side of the other."""
-    far = crossings(edges, before).select("a1", "a2", "b1", "b2", F.lit(1).alias("n")).unionByName(crossings(edges, after).select("a1", "a2", "b1", "b2", F.lit(2).alias("n")))
-    changed = far.groupBy("a1", "a2", "b1", "b2").agg(F.sum("n").alias("n")).where("n < 3")
-    each = F.explode(F.array(*(F.struct(F.col(v).alias("node"), F.col(e + "1").alias("src"), F.col(e + "2").alias("dst")) for v, e in (("a1", "b"), ("a2", "b"), ("b1", "a"), ("b2", "a")))))
-    close = near_segments(edges, before, reach).select("node", "src", "dst", F.lit(True).alias("close"))
-    pairs = changed.select(each.alias("e")).select("e.*", F.lit(False).alias("close")).unionByName(close).groupBy("node", "src", "dst").agg(F.max("close").alias("close"), F.min("close").alias("only"))
+    A node can only pass an edge that is no further from it before than both move together. reach is the furthest that any node and
+    edge come towards each other; it bounds what is looked at. Moves about an edge's end count where they pass its line so near to it."""
+    pairs = near_segments(edges, before, reach).select("node", "src", "dst", "d")
     both = before.join(after.withColumnsRenamed({"x": "tx", "y": "ty"}), "node")
     for c, k in (("node", "p"), ("src", "a"), ("dst", "b")):
         pairs = pairs.join(both.select(F.col("node").alias(c), *(F.col(v).alias(k + v) for v in ("x", "y", "tx", "ty"))), c)
     at = lambda k, t: (F.col(f"{k}{t}x"), F.col(f"{k}{t}y"))
     side = lambda t: turn(*at("a", t), *at("b", t), *at("p", t)) > 0
-
-    def between(t: str):
-        (ax, ay), (bx, by), (px, py) = at("a", t), at("b", t), at("p", t)
-        along = (px - ax) * (bx - ax) + (py - ay) * (by - ay)
-        return (along >= 0) & (along <= (bx - ax) * (bx - ax) + (by - ay) * (by - ay))
-
-    return pairs.where((side("") != side("t")) & (~F.col("only") | between("") | between("t"))).select("node", "src", "dst")
+    way = lambda k: distance(*at(k, ""), *at(k, "t"))
+    return pairs.where((side("") != side("t")) & (F.col("d") <= way("p") + F.greatest(way("a"), way("b")) + 1e-12)).select("node", "src", "dst")
 
 
 def without_passing(edges: DataFrame, before: DataFrame, after: DataFrame, reach: float, rounds: int = 6) -> DataFrame:
@@ -332,7 +323,7 @@ def refined(edges: DataFrame, layout: DataFrame, gamma: float, rounds: int = 10,
         most = F.least(F.coalesce(F.greatest(F.col("free") - 1e-4, F.lit(0.0)), F.lit(gamma)), F.lit(gamma)) * (0.5 * cooling**step)
         share = F.coalesce(F.least(F.lit(1.0), most / f), F.lit(0.0))
         moved = stored(rows.select("node", (F.col("x") + share * F.coalesce("fx", F.lit(0.0))).alias("x"), (F.col("y") + share * F.coalesce("fy", F.lit(0.0))).alias("y")), "refined")
-        layout = without_passing(edges, layout, moved, 2 * gamma)
+        layout = without_passing(edges, layout, moved, 1.01 * gamma)  # no node moves by more than a half of gamma
     return layout
 
 
