@@ -77,12 +77,12 @@ def twins(edges: DataFrame) -> DataFrame:
     return out
 
 
-def ball(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """Nodes within so many hops of any seed."""
+def ball(edges: DataFrame, seeds: DataFrame, hops: int, keep=stored) -> DataFrame:
+    """Nodes within so many hops of any seed; keep() writes each hop's nodes."""
     adj, reached = adjacency(edges), seeds.select("node").distinct()
     for _ in range(hops):
         step = reached.withColumnRenamed("node", "src").join(adj, "src").select(F.col("dst").alias("node"))
-        reached = stored(reached.union(step).distinct(), "ball")
+        reached = keep(reached.union(step).distinct(), "ball")
     return reached
 
 
