@@ -15,7 +15,8 @@ from loomgraph.models import arms, fits, network
 from loomgraph.operators import communities, diffusion, distributions, edges, energies, hops, linear, metrics, pairs, ranking, spatial
 from loomgraph.operators.components import connected_components
 from loomgraph.sources import graphs
-from loomgraph.storage import once, stored
+from loomgraph.storage import new_path, once, stored
+from loomgraph.streaming import growth
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -788,6 +789,34 @@ def score_bundle(spark, sf_dir):
 FLAGSHIP = score_bundle
 
 
+@query("""with forest as (select distinct n_regionkey::bigint + 1 src, n_nationkey::bigint + 100 dst from nation where n_regionkey is not null and n_nationkey is not null),
+late as (select c_nationkey::bigint + 100 src, c_custkey::bigint + 1000 dst from customer where c_nationkey is not null and c_custkey is not null
+  union select o_custkey::bigint + 1000, -1 - o_orderkey::bigint from orders where o_custkey is not null and o_orderkey is not null),
+adj0 as (select src, dst from forest union all select dst, src from forest), deg0 as (select src, count(*) n from adj0 group by src),
+adj as (select src, dst from adj0 union all select src, dst from late union all select dst, src from late), deg as (select src, count(*) n from adj group by src),
+w as (select a.src, a.dst, 1 / sqrt((s.n * d.n)::double) w from adj a join deg s on s.src = a.src join deg d on d.src = a.dst where a.dst not in (select src from adj0)),
+base as (select f.src landmark, f.dst node, .05 * .95 / sqrt((s.n * d.n)::double) p from forest f join deg0 s on s.src = f.src join deg0 d on d.src = f.dst),
+p1 as (select landmark, dst node, .95 * sum(w * p) p from base join w on src = node group by 1, 2)
+select landmark, dst node, round(.95 * sum(w * p), 9) p from (select * from base union all select * from p1) join w on src = node group by 1, 2""")
+def stream_growth(spark, sf_dir):
+    """Potentials, from the regions, of customers and of their orders that come by a stream to the graph of regions and nations: customers next to
+    a fitted nation in one batch, orders two steps from it in the next. The stream's places are by a network that hasn't learned, and aren't returned."""
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    forest = stored(edges.canonical(table("nation").select((F.col("n_regionkey").cast("long") + 1).alias("src"), (F.col("n_nationkey").cast("long") + 100).alias("dst"))), "forest")
+    regions = stored(forest.select(F.col("src").alias("node")).distinct(), "regions")
+    potentials = stored(diffusion.diffusion(forest, regions, 0.05, 2), "potentials")
+    stats = stored(diffusion.moments(diffusion.feature_table(potentials, edges.nodes_of(forest), regions)), "stats")
+    fitted = growth.Fitted(network.started(max(1, regions.count()), "pivot", 0), forest, potentials, regions, stats)
+    path = new_path(spark, "growth")
+    customer = F.col("c_custkey").cast("long") + 1000
+    batches = table("customer").select((F.col("c_nationkey").cast("long") + 100).alias("src"), customer.alias("dst")), table("orders").select((F.col("o_custkey").cast("long") + 1000).alias("src"), (-1 - F.col("o_orderkey").cast("long")).alias("dst"))
+    for batch in batches:
+        batch.write.mode("append").parquet(f"{path}/arriving")
+        arrivals = spark.readStream.schema("src long, dst long").parquet(f"{path}/arriving")
+        growth.grow_by_edges(arrivals, fitted, f"{path}/grown", f"{path}/state").awaitTermination()
+    return _rounded(growth.grown(spark, f"{path}/grown", "potentials"), "p", digits=9)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -64,9 +64,7 @@ def grow_by_edges(arrivals: DataFrame, fitted: Fitted, path: str, checkpoint: st
 
     def write(batch: DataFrame, number: int) -> None:
         spark, kept = batch.sparkSession, Scratch()
-        have = fitted.edges.select("src", "dst")
-        if exists(spark, f"{path}/edges"):
-            have = have.unionByName(_read(spark, path, "edges").where(F.col("batch") < number).select("src", "dst"))
+        have = fitted.edges.select("src", "dst").unionByName(_read(spark, path, "edges").where(F.col("batch") < number).select("src", "dst"))
         new = kept.stored(canonical(batch).join(have, ["src", "dst"], "left_anti"), "arrivals")
         _write(new, path, "edges", number)
         grown = have.unionByName(new)
@@ -100,7 +98,8 @@ def _touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
-    return spark.read.schema(f"{TABLES[table]}, batch long").parquet(f"{path}/{table}")
+    schema = f"{TABLES[table]}, batch long"
+    return spark.read.schema(schema).parquet(f"{path}/{table}") if exists(spark, f"{path}/{table}") else spark.createDataFrame([], schema)
 
 
 def _write(df: DataFrame, path: str, table: str, number: int) -> None:
