@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import connected_components
-from loomgraph.operators.edges import adjacency
+from loomgraph.operators.edges import adjacency, degrees
 from loomgraph.storage import stored
 
 
@@ -68,6 +68,15 @@ def component_pivots(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return stored(chosen.union(others.select("node")), "pivots")
 
 
+def leading_nodes(edges: DataFrame, n: int) -> DataFrame:
+    """The n nodes with the most edges, and the one with the most of each component that holds none of them; smaller ids first. So every node
+    with an edge is reached from one, and sources with their nodes are at most n + 1 rows a node."""
+    found = stored(connected_components(edges).join(degrees(edges), "node"), "components")
+    top = found.orderBy(F.col("degree").desc(), "node").limit(n).select("node")
+    best = found.groupBy("component").agg(F.min_by("node", F.struct(-F.col("degree"), "node")).alias("node"))
+    return top.union(best.select("node")).distinct()
+
+
 def pivot_columns(hops: DataFrame, ordinals: DataFrame) -> DataFrame:
     """node, hops: the distances to the pivots (source, ordinal) in their order; null where there is no path."""
     n = ordinals.count()
@@ -89,7 +98,13 @@ def numbered_columns(edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, D
 
 
 def lower_bounds(pairs: DataFrame, columns: DataFrame) -> DataFrame:
-    """a, b, bound: the largest difference of their hop columns, which no path undercuts."""
+    """a, b, bound: the largest difference of their hop columns, which no path undercuts; null where no source reaches both.
+
+    columns is node, hops (arrays), or source, node, d: such rows stay few where each of very many sources reaches its own component alone."""
+    if "hops" not in columns.columns:
+        ends = (columns.select("source", F.col("node").alias(c), F.col("d").alias(f"d{c}")) for c in ("a", "b"))
+        both = pairs.select("a", "b").distinct().join(next(ends), "a").join(next(ends), ["b", "source"]).groupBy("a", "b").agg(F.max(F.abs(F.col("da") - F.col("db"))).alias("bound"))
+        return pairs.join(both, ["a", "b"], "left").select("a", "b", "bound")
     left, right = columns.select(F.col("node").alias("a"), F.col("hops").alias("ha")), columns.select(F.col("node").alias("b"), F.col("hops").alias("hb"))
     gap = F.array_max(F.zip_with("ha", "hb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))))
     return pairs.join(left, "a").join(right, "b").select("a", "b", gap.alias("bound"))

@@ -50,8 +50,29 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).select(F.col("vec_id").alias("node"), "label")
 
 
-def _first(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    return _layout(spark, sf_dir).where(F.col("node") < n).select("node")
+def _first_of_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labels(spark, sf_dir).groupBy("label").agg(F.min("node").alias("first"))
+
+
+def _all_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between all pairs, so quadratic; queries of one application over one folder share it."""
+    g = _knn(spark, sf_dir)
+    return once(spark, "all_hops", sf_dir, lambda: hops.hop_distances(g, edges.nodes_of(g)))
+
+
+def _leading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes with the most edges, and of each component."""
+    return once(spark, "leading", sf_dir, lambda: hops.leading_nodes(_knn(spark, sf_dir), 16))
+
+
+def _leading_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, "leading_hops", sf_dir, lambda: hops.hop_distances(_knn(spark, sf_dir), _leading(spark, sf_dir)))
+
+
+def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes with the most edges alone, as a bounded sample."""
+    deg = edges.degrees(_knn(spark, sf_dir))
+    return once(spark, "anchors", sf_dir, lambda: deg.orderBy(F.col("degree").desc(), "node").limit(16).select("node"))
 
 
 def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
@@ -63,9 +84,16 @@ KNN = """pairs as (select a.vec_id a, b.vec_id b, row_number() over (partition b
 edges as (select distinct least(a, b) src, greatest(a, b) dst from pairs where k <= 5),
 adj as (select src, dst from edges union all select dst, src from edges),
 layout as (select vec_id node, embedding[1]::double x, embedding[2]::double y from embeddings)"""
-HOPS = """reach as (select vec_id source, vec_id node, 0 d from embeddings where vec_id < 20
+HOPS = """reach as (select distinct src source, src node, 0 d from adj
   union select r.source, a.dst, r.d + 1 from reach r join adj a on a.src = r.node where r.d < 24),
 hops as (select source, node, min(d) d from reach group by all)"""
+LEADING = """linked as (select src source, src node from adj union select l.source, a.dst from linked l join adj a on a.src = l.node),
+member as (select node, min(source) component from linked group by node), sized as (select src node, count(*) n from adj group by src),
+ranked as (select node, row_number() over (order by n desc, node) place, row_number() over (partition by component order by n desc, node) own from sized join member using (node)),
+hubs as (select node from ranked where place <= 16 or own = 1),
+far_from as (select node source, node, 0 d from hubs union select r.source, a.dst, r.d + 1 from far_from r join adj a on a.src = r.node where r.d < 24),
+far as (select source, node, min(d) d from far_from group by all)"""
+ANCHORS = """anchors as (select src node from adj group by src order by count(*) desc, src limit 16)"""
 TREE = """tree as (select n_regionkey::bigint + 1 src, n_nationkey::bigint + 100 dst from nation union all select c_nationkey::bigint + 100, c_custkey + 1000 from customer),
 adj as (select src, dst from tree union all select dst, src from tree)"""
 
@@ -138,42 +166,39 @@ def graph_two_hop_pairs(spark, sf_dir):
     return edges.two_hop_pairs(_knn(spark, sf_dir))
 
 
-@query(f"""with {KNN}, one as (select vec_id node from embeddings where vec_id < 3), two as (select node from one union select dst from adj join one on src = node)
+@query(f"""with {KNN}, one as (select min(vec_id) node from embeddings group by label), two as (select node from one union select dst from adj join one on src = node)
 select node from two union select dst from adj join two on src = node""")
 def graph_ball(spark, sf_dir):
-    return edges.ball(_knn(spark, sf_dir), _first(spark, sf_dir, 3), 2)
+    """Two hops around the first vector of each class."""
+    return edges.ball(_knn(spark, sf_dir), _first_of_class(spark, sf_dir).select(F.col("first").alias("node")), 2)
 
 
 @query(f"with recursive {KNN}, {HOPS} select source, node, d from hops")
 def graph_hops(spark, sf_dir):
-    return hops.hop_distances(_knn(spark, sf_dir), _first(spark, sf_dir, 20))
+    """Of all pairs; graph_hub_hops has few sources for large graphs."""
+    return _all_hops(spark, sf_dir)
 
 
-@query(f"""with recursive {KNN}, {HOPS} select x.node a, y.node b, max(abs(x.d - y.d))::int bound from hops x join hops y on x.source = y.source
-where x.source < 8 and x.node < 10 and y.node >= 10 group by 1, 2""")
+@query(f"""with recursive {KNN}, {LEADING}, p as (select vec_id a, min(vec_id) over (partition by label) b from embeddings)
+select a, b, max(abs(x.d - y.d))::int bound from p join far x on x.node = a left join far y on y.node = b and y.source = x.source group by 1, 2""")
 def graph_lower_bounds(spark, sf_dir):
-    g = _knn(spark, sf_dir)
-    ordinals = spark.range(8).select(F.col("id").alias("source"), F.col("id").cast("int").alias("ordinal"))
-    columns = stored(hops.pivot_columns(hops.hop_distances(g, _first(spark, sf_dir, 8)), ordinals), "columns")
-    pairs = columns.where("node < 10").select(F.col("node").alias("a")).join(columns.where("node >= 10").select(F.col("node").alias("b")))
-    return hops.lower_bounds(pairs, columns)  # ten nodes against all
-
-
-@query(f"""with {KNN}, deg as (select src, count(*) n from adj group by src), w as (select a.src, a.dst, 1 / sqrt((s.n * d.n)::double) w from adj a join deg s on s.src = a.src join deg d on d.src = a.dst),
-p0 as (select vec_id k, vec_id node, 1.0::double p from embeddings where vec_id < 8),
-p1 as (select k, dst node, sum(w * p) p from p0 join w on src = node group by 1, 2), p2 as (select k, dst node, sum(w * p) p from p1 join w on src = node group by 1, 2),
-p3 as (select k, dst node, sum(w * p) p from p2 join w on src = node group by 1, 2), p4 as (select k, dst node, sum(w * p) p from p3 join w on src = node group by 1, 2),
-every as (select k, node, .05 * p p from p0 union all select k, node, .05 * .95 * p from p1 union all select k, node, .05 * .95 ** 2 * p from p2 union all select k, node, .05 * .95 ** 3 * p from p3 union all select k, node, .05 * .95 ** 4 * p from p4)
-select k landmark, node, round(sum(p), 9) p from every group by 1, 2""")
+    """Between each vector and the first of its class; null where no pivot reaches both."""
+    own = _labels(spark, sf_dir).join(_first_of_class(spark, sf_dir), "label").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return hops.lower_bounds(own, _leading_hops(spark, sf_dir))
+
+
+@query(f"""with recursive {KNN}, {LEADING}, w as (select a.src, a.dst, 1 / sqrt((s.n * d.n)::double) w from adj a join sized s on s.node = a.src join sized d on d.node = a.dst),
+walk as (select node k, node, 0 step, 1.0::double p from hubs union all select k, dst, step + 1, sum(w * p) from walk join w on src = node where step < 20 group by k, dst, step)
+select k landmark, node, round(sum(.05 * .95 ** step * p), 9) p from walk group by 1, 2""")
 def features_diffusion(spark, sf_dir):
-    return _rounded(diffusion.diffusion(_knn(spark, sf_dir), _first(spark, sf_dir, 8), 0.05, 4), "p", digits=9)
+    return _rounded(diffusion.diffusion(_knn(spark, sf_dir), _leading(spark, sf_dir)), "p", digits=9)
 
 
-@query(f"""with recursive {KNN}, {HOPS}, r as (select sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / d r from hops join layout a on a.node = source join layout b on b.node = hops.node where d > 0)
+@query(f"""with recursive {KNN}, {HOPS}, r as (select sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / d r from hops join layout a on a.node = source join layout b on b.node = hops.node where source < hops.node)
 select round(1 - sum(r) ** 2 / (count(*) * sum(r * r)), 6) stress, round(sum(r) / sum(r * r), 6) scale, count(*) n_pairs from r""")
 def score_stress(spark, sf_dir):
-    far = hops.hop_distances(_knn(spark, sf_dir), _first(spark, sf_dir, 20))
-    return _rounded(metrics.stress(far, _layout(spark, sf_dir), pairs_once=False), "stress", "scale")
+    """Over all pairs that a path links; score_pivot_edge_stress has few sources for large graphs."""
+    return _rounded(metrics.stress(_all_hops(spark, sf_dir), _layout(spark, sf_dir)), "stress", "scale")
 
 
 @query(f"""with {KNN}, deg as (select src a, count(*) n from adj group by src),
@@ -232,12 +257,11 @@ def layout_framed(spark, sf_dir):
     return _rounded(metrics.framed(_layout(spark, sf_dir)), "x", "y")
 
 
-@query(f"""with recursive {KNN}, {HOPS}, r as (select hops.node, 1.0 / (d * d) w, a.x + d / greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 1e-9) * (b.x - a.x) tx,
-  a.y + d / greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 1e-9) * (b.y - a.y) ty from hops join layout a on a.node = source join layout b on b.node = hops.node where d > 0)
+@query(f"""with recursive {KNN}, {LEADING}, r as (select far.node, 1.0 / (d * d) w, a.x + d / greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 1e-9) * (b.x - a.x) tx,
+  a.y + d / greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 1e-9) * (b.y - a.y) ty from far join layout a on a.node = source join layout b on b.node = far.node where d > 0)
 select node, round(sum(w * tx) / sum(w), 6) x, round(sum(w * ty) / sum(w), 6) y from r group by node""")
 def layout_majorised(spark, sf_dir):
-    far = hops.hop_distances(_knn(spark, sf_dir), _first(spark, sf_dir, 20))
-    return _rounded(energies.majorised(far, _layout(spark, sf_dir)), "x", "y")
+    return _rounded(energies.majorised(_leading_hops(spark, sf_dir), _layout(spark, sf_dir)), "x", "y")
 
 
 @query(f"""with {KNN}, b as (select min(x) lx, min(y) ly, greatest(max(x) - min(x), max(y) - min(y), 1e-12) s from layout)
@@ -485,9 +509,6 @@ def graph_farthest_pivots(spark, sf_dir):
     return hops.farthest_pivots(g, edges.nodes_of(g), FARTHEST, first.node if first else None)
 
 
-HUBS = """hubs as (select src node from adj group by src order by count(*) desc, src limit 16),
-far_from as (select node source, node, 0 d from hubs union select r.source, a.dst, r.d + 1 from far_from r join adj a on a.src = r.node where r.d < 24),
-far as (select source, node, min(d) d from far_from group by all)"""
 SEGMENTS = """seg as (select src, dst, a.x x1, a.y y1, b.x x2, b.y y2 from edges join layout a on a.node = src join layout b on b.node = dst)"""
 NEAREST = """nearest as (select p.node a, q.node b, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) d,
   row_number() over (partition by p.node order by sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)), q.node) k from layout p, layout q where p.node <> q.node)"""
@@ -496,19 +517,9 @@ clear as (select node, min(sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y
   arg_min(dst, (sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2), src, dst)) dst from gaps group by node)"""
 
 
-def _hubs(g: DataFrame) -> DataFrame:
-    """The nodes with the most edges."""
-    return stored(edges.degrees(g).orderBy(F.col("degree").desc(), "node").limit(16).select("node"), "hubs")
-
-
-def _hub_columns(g: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return hops.numbered_columns(g, _hubs(g))
-
-
-@query(f"with recursive {KNN}, {HUBS} select source, node, d from far")
+@query(f"with recursive {KNN}, {LEADING} select source, node, d from far")
 def graph_hub_hops(spark, sf_dir):
-    g = _knn(spark, sf_dir)
-    return hops.hop_distances(g, _hubs(g))
+    return _leading_hops(spark, sf_dir)
 
 
 @query(f"""with {KNN}, two as (select distinct l.src a, r.dst b from adj l join adj r on l.dst = r.src), three as (select distinct a, dst b from two join adj on src = b)
@@ -517,10 +528,9 @@ def graph_three_hop_pairs(spark, sf_dir):
     return pairs.three_hop_pairs(_knn(spark, sf_dir))
 
 
-@query(f"""with recursive {KNN}, {HUBS} select src, dst, max(greatest(abs(x.d - y.d), .9))::double rest from edges join far x on x.node = src join far y on y.node = dst and y.source = x.source group by 1, 2""")
+@query(f"""with recursive {KNN}, {LEADING} select src, dst, max(greatest(abs(x.d - y.d), .9))::double rest from edges join far x on x.node = src join far y on y.node = dst and y.source = x.source group by 1, 2""")
 def graph_rest_lengths(spark, sf_dir):
-    g = _knn(spark, sf_dir)
-    return pairs.rest_lengths(g, _hub_columns(g)[0])
+    return pairs.rest_lengths(_knn(spark, sf_dir), _leading_hops(spark, sf_dir))
 
 
 @query(f"""with {KNN}, deg as (select src, count(*) n from adj group by src) select a.src, a.dst, round(1 / sqrt((s.n * d.n)::double), 9) w from adj a join deg s on s.src = a.src join deg d on d.src = a.dst""")
@@ -601,11 +611,11 @@ def score_median_length(spark, sf_dir):
     return _rounded(metrics.lower_median(metrics.edge_lengths(_knn(spark, sf_dir), _layout(spark, sf_dir)), "length"), "median")
 
 
-@query(f"""with recursive {KNN}, {HUBS}, rows as (select source, node, d from far where d > 0 union all select src, dst, 1 from edges), r as (select sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / d r from rows join layout a on a.node = source join layout b on b.node = rows.node)
+@query(f"""with recursive {KNN}, {LEADING}, rows as (select source, node, d from far where d > 0 union all select src, dst, 1 from edges), r as (select sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / d r from rows join layout a on a.node = source join layout b on b.node = rows.node)
 select round(1 - sum(r) ** 2 / (count(*) * sum(r * r)), 6) stress, round(sum(r) / sum(r * r), 6) scale, count(*) n_pairs from r""")
 def score_pivot_edge_stress(spark, sf_dir):
     g = _knn(spark, sf_dir)
-    return _rounded(energies.pivot_edge_stress(hops.hop_distances(g, _hubs(g)), g, _layout(spark, sf_dir)), "stress", "scale")
+    return _rounded(energies.pivot_edge_stress(_leading_hops(spark, sf_dir), g, _layout(spark, sf_dir)), "stress", "scale")
 
 
 @query(f"""with {KNN}, {NEAREST}, deg as (select src node, count(*) n from adj group by src), fresh as (select node from deg where n = (select min(n) from deg)), kept as (select node from layout where node not in (select node from fresh)),
@@ -626,12 +636,12 @@ def force_attraction(spark, sf_dir):
     return _rounded(energies.attraction(_knn(spark, sf_dir), _layout(spark, sf_dir), 0.1), "fx", "fy")
 
 
-@query(f"""with recursive {KNN}, {HUBS}, deg as (select src node, count(*) + 1 m from adj group by src), p as (select h.node, a.x - q.x dx, a.y - q.y dy, .01 * da.m * db.m w from hubs h join layout a on a.node = h.node join deg da on da.node = h.node, layout q join deg db on db.node = q.node where q.node <> h.node)
+@query(f"""with {KNN}, {ANCHORS}, deg as (select src node, count(*) + 1 m from adj group by src), p as (select h.node, a.x - q.x dx, a.y - q.y dy, .01 * da.m * db.m w from anchors h join layout a on a.node = h.node join deg da on da.node = h.node, layout q join deg db on db.node = q.node where q.node <> h.node)
 select node, round(sum(w * dx / (dx * dx + dy * dy)), 5) fx, round(sum(w * dy / (dx * dx + dy * dy)), 5) fy from p where dx * dx + dy * dy between .0001 and .25 group by node""")
 def force_repulsion(spark, sf_dir):
     """By law 'fa2', with a cut-off and without the pairs that are handled as near ones."""
     g = _knn(spark, sf_dir)
-    return _rounded(energies.repulsion(_layout(spark, sf_dir), _hubs(g), 0.1, "fa2", cutoff=5.0, near=0.1, edges=g), "fx", "fy", digits=5)
+    return _rounded(energies.repulsion(_layout(spark, sf_dir), _anchors(spark, sf_dir), 0.1, "fa2", cutoff=5.0, near=0.1, edges=g), "fx", "fy", digits=5)
 
 
 @query("""with l as (select vec_id node, embedding[1]::double x, embedding[2]::double y from embeddings), p as (select a.node, a.x - b.x dx, a.y - b.y dy from l a, l b where a.node <> b.node and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < .05)
@@ -697,22 +707,25 @@ def energy_crossing(spark, sf_dir):
     return _rounded(energies.smooth_crossing_energy(spatial.crossing_candidates(g, at, 4).drop("d"), at, 1e-4), "crossing_loss")
 
 
-@query(f"""with recursive {KNN}, {HUBS}, b as (select h.node a, q.node, max(abs(x.d - y.d)) b from hubs h, layout q join far x on x.node = q.node join far y on y.source = x.source where y.node = h.node group by 1, 2),
+@query(f"""with recursive {KNN}, {ANCHORS}, far_from as (select node source, node, 0 d from anchors union select r.source, a.dst, r.d + 1 from far_from r join adj a on a.src = r.node where r.d < 24),
+far as (select source, node, min(d) d from far_from group by all), both_ends as (select y.node a, x.node, max(abs(x.d - y.d)) b from anchors h join far y on y.node = h.node join far x on x.source = y.source group by 1, 2),
+b as (select h.node a, q.node, coalesce(b, 0) b from anchors h cross join layout q left join both_ends e on e.a = h.node and e.node = q.node),
 p as (select a, b.node, s.x ax, s.y ay, q.x, q.y, greatest(sqrt((s.x - q.x) ** 2 + (s.y - q.y) ** 2), 1e-6) d, greatest(b, .9) r from b join layout s on s.node = a join layout q on q.node = b.node),
 c as (select sum(d * r) / sum(r * r) scale, count(distinct node) n from p), w as (select a, 1 / (scale * r) ** 2 w, scale * r r, d, ax, ay, x, y, n, scale from p, c where a <> node and not exists (select 1 from adj where src = a and dst = node))
 select a node, round(sum(w * (x - ax + r / d * (ax - x))) / any_value(n), 6) num_x, round(sum(w * (y - ay + r / d * (ay - y))) / any_value(n), 6) num_y, round(sum(w) / any_value(n), 6) den, round(any_value(scale), 6) scale from w group by a""")
 def layout_mean_field_rows(spark, sf_dir):
-    """The exact rows of one mean-field majorisation step, at the hubs."""
-    g = _knn(spark, sf_dir)
-    return _rounded(energies.mean_field_rows(_layout(spark, sf_dir), _hub_columns(g)[0], _hubs(g), g), "num_x", "num_y", "den", "scale")
+    """The exact rows of one mean-field majorisation step, at anchors."""
+    g, anchors = _knn(spark, sf_dir), _anchors(spark, sf_dir)
+    columns = edges.nodes_of(g).join(hops.numbered_columns(g, anchors)[0], "node", "left")  # nodes that no anchor reaches count as well
+    return _rounded(energies.mean_field_rows(_layout(spark, sf_dir), columns, anchors, g), "num_x", "num_y", "den", "scale")
 
 
-@query(f"""with recursive {KNN}, {HUBS}, r as (select sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / d r from far join layout a on a.node = source join layout b on b.node = far.node where d > 0), u as (select sum(r * r) / sum(r) unit from r),
+@query(f"""with recursive {KNN}, {LEADING}, r as (select sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / d r from far join layout a on a.node = source join layout b on b.node = far.node where d > 0), u as (select sum(r * r) / sum(r) unit from r),
 rows as (select source, node, d, 1.0 / (d * d) w from far where d > 0 union all select src, dst, 1, 1 from adj), t as (select rows.node, w, a.x + d * unit / greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 1e-9) * (b.x - a.x) tx, a.y + d * unit / greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 1e-9) * (b.y - a.y) ty
 from rows join layout a on a.node = source join layout b on b.node = rows.node, u) select node, round(sum(w * tx) / sum(w), 6) x, round(sum(w * ty) / sum(w), 6) y from t group by node""")
 def layout_majorised_with_edges(spark, sf_dir):
     g = _knn(spark, sf_dir)
-    return _rounded(energies.majorised_with(hops.hop_distances(g, _hubs(g)), g, _layout(spark, sf_dir)), "x", "y")
+    return _rounded(energies.majorised_with(_leading_hops(spark, sf_dir), g, _layout(spark, sf_dir)), "x", "y")
 
 
 @query(f"""with {KNN}, b as (select min(x) lx, min(y) ly, greatest(max(x) - min(x), max(y) - min(y), 1e-12) s from layout)

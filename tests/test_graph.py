@@ -583,3 +583,22 @@ def test_one_hub_asks_for_many_points_alone(spark, monkeypatch):
     assert got.knn_recall == pytest.approx(hits / total) and got.np_jaccard == pytest.approx(hits / (2 * total - hits))
     rows = spatial.near_edges(edges_of(spark, es), layout_of(spark, at), 2).groupBy("node").count().collect()
     assert len(rows) == 200 and {r["count"] for r in rows} == {2}
+
+
+def test_leading_nodes_reach_every_component(spark):
+    star = [(0, i) for i in range(1, 6)]
+    pieces = [(10, 11), (11, 12), (20, 21), (30, 31), (31, 32), (30, 32)]
+    g = spark.createDataFrame(star + pieces, "src long, dst long")
+    assert sorted(r.node for r in hops.leading_nodes(g, 1).collect()) == [0, 11, 20, 30]
+    assert sorted(r.node for r in hops.leading_nodes(g, 3).collect()) == [0, 11, 20, 30]  # 0, 11 and 30 lead; 20 stands for its own
+    assert hops.leading_nodes(g.limit(0), 3).count() == 0
+
+
+def test_bounds_from_rows_equal_bounds_from_columns(spark):
+    g = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(20, 21), (21, 22)], "src long, dst long")
+    sources = spark.createDataFrame([(0,), (4,), (20,)], "node long")
+    rows = hops.hop_distances(g, sources)
+    pairs = spark.createDataFrame([(a, b) for a in (1, 5, 9, 20, 22) for b in (0, 3, 8, 21)] + [(1, 0), (99, 3)], "a long, b long")
+    by_rows = sorted(((r.a, r.b, r.bound) for r in hops.lower_bounds(pairs, rows).collect()), key=str)
+    by_columns = sorted(((r.a, r.b, r.bound) for r in hops.lower_bounds(pairs, hops.numbered_columns(g, sources)[0]).collect()), key=str)
+    assert [r for r in by_rows if r[0] != 99] == by_columns and (99, 3, None) in by_rows and (22, 3, None) in by_rows
