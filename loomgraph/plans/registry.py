@@ -792,11 +792,24 @@ def table_selected(spark, sf_dir):
     return ranking.selected(orders.select(F.col("o_orderpriority").alias("graph"), F.col("o_totalprice").alias("loss"), F.col("o_orderkey").alias("config")), "loss", "graph")
 
 
-@query()
+def _of(name: str, digits: int | None, *columns: str) -> str:
+    """A subquery of another query's SQL."""
+    return f"(select {', '.join(c if digits is None else f'round({c}, {digits}) {c}' for c in columns)} from ({ORACLE[name]}))"
+
+
+OCCLUSION = ("med_edge", "med_nn", "occ_viol", "occ_viol_ns", "occ_min_ns", "occ_p01_ns", "edge_tail", "long_edge_share")
+FAR_STRESS = f"""(with recursive {KNN}, {LEADING}, r as (select sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / d r from far join layout a on a.node = source join layout b on b.node = far.node where d > 0)
+select round(1 - sum(r) ** 2 / (count(*) * sum(r * r)), 4) stress from r)"""
+
+
+@query("select * from " + ", ".join([
+    FAR_STRESS, _of("score_neighbours", 4, "np_jaccard", "knn_recall"), _of("score_edge_lengths", 4, "edge_cov"), _of("score_crossing_angles", None, "crossings"), _of("score_crossing_angles", 4, "crosslessness"),
+    _of("score_crossing_angles", 1, "mean_crossing_angle"), _of("score_silhouette", None, "silhouette"), _of("score_purity", None, "purity"), _of("score_occlusion", None, *OCCLUSION),
+]))
 def score_bundle(spark, sf_dir):
-    """Every score of the layout, against hops from nodes of all components."""
+    """Every score of the layout, against hops from the leading nodes."""
     g = _knn(spark, sf_dir)
-    return metrics.score_bundle(g, _layout(spark, sf_dir), _pivot_hops(spark, sf_dir), _labels(spark, sf_dir))
+    return _rounded(metrics.score_bundle(g, _layout(spark, sf_dir), _leading_hops(spark, sf_dir), _labels(spark, sf_dir)), "silhouette", "purity", *OCCLUSION)
 
 
 FLAGSHIP = score_bundle

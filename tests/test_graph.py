@@ -602,3 +602,11 @@ def test_bounds_from_rows_equal_bounds_from_columns(spark):
     by_rows = sorted(((r.a, r.b, r.bound) for r in hops.lower_bounds(pairs, rows).collect()), key=str)
     by_columns = sorted(((r.a, r.b, r.bound) for r in hops.lower_bounds(pairs, hops.numbered_columns(g, sources)[0]).collect()), key=str)
     assert [r for r in by_rows if r[0] != 99] == by_columns and (99, 3, None) in by_rows and (22, 3, None) in by_rows
+
+
+def test_scores_from_a_few_sources_count_every_row(spark):
+    at = np.random.default_rng(3).normal(size=(9, 2))
+    g, layout = edges_of(spark, [(i, i + 1) for i in range(8)]), layout_of(spark, at)
+    few = hops.hop_distances(g, spark.createDataFrame([(8,), (4,)], "node long"))
+    r = np.array([np.hypot(*(at[s] - at[v])) / abs(s - v) for s in (4, 8) for v in range(9) if s != v])
+    assert metrics.evaluate(g, layout, few).first().stress == pytest.approx(1 - r.sum() ** 2 / (len(r) * (r * r).sum()), abs=1e-4)
