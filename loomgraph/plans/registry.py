@@ -60,9 +60,9 @@ def _all_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, "all_hops", sf_dir, lambda: hops.hop_distances(g, edges.nodes_of(g)))
 
 
-def _leading(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _leading(spark: SparkSession, sf_dir: str, n: int = 16) -> DataFrame:
     """The nodes with the most edges, and of each component."""
-    return once(spark, "leading", sf_dir, lambda: hops.leading_nodes(_knn(spark, sf_dir), 16))
+    return once(spark, f"leading{n}", sf_dir, lambda: hops.leading_nodes(_knn(spark, sf_dir), n))
 
 
 def _leading_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -464,21 +464,49 @@ def _two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(rows.unionByName(both.select(F.col("a").alias("node"), F.col("b").alias("other"), F.lit(2).alias("d"))), "two_hops")
 
 
-@query()
+def _axes(m: str) -> str:
+    """The two leading axes (i, v) of a symmetric matrix m (i, j, v) with their values: moved until no value is negative, squared over and over
+    it becomes the projection onto the first axis, whose largest entry is positive; without that part, onto the second."""
+    out = [f"moved1 as (select i, j, v + case when i = j then c else 0 end v from {m}, (select max(r) c from (select sum(abs(v)) r from {m} group by i)))"]
+    for k in (1, 2):
+        out.append(f"""power{k} as (select i, j, v / (select sum(v) from moved{k} where i = j) v, 0 step from moved{k} union all
+  select a.i, b.j, sum(a.v * b.v) / (select sum(v * v) from power{k}), a.step + 1 from power{k} a join power{k} b on a.j = b.i where a.step < 24 group by a.i, b.j, a.step)""")
+        out.append(f"""axis{k} as (select i, v / sqrt(top) v from power{k}, (select arg_max(i, v) peak, max(v) top from power{k} where i = j and step = 24) where step = 24 and j = peak),
+value{k} as (select sum(m.v * a.v * b.v) v from {m} m join axis{k} a on a.i = m.i join axis{k} b on b.i = m.j)""")
+        if k == 1:
+            out.append("""moved2 as (select m.i, m.j, m.v - l * a.v * b.v v from moved1 m join axis1 a on a.i = m.i join axis1 b on b.i = m.j, (select sum(m.v * a.v * b.v) l from moved1 m join axis1 a on a.i = m.i join axis1 b on b.i = m.j))""")
+    return ",\n".join(out)
+
+
+LANDMARKED = LEADING.replace("place <= 16", f"place <= {LANDMARKS}") + """,
+grid as (select n.node, h.node source, coalesce(d, 0) ** 2 s from sized n cross join hubs h left join far on far.node = n.node and far.source = h.node)"""
+
+
+def _landmark_columns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return hops.numbered_columns(_knn(spark, sf_dir), _leading(spark, sf_dir, LANDMARKS))
+
+
+@query(f"""with recursive {KNN}, {LANDMARKED}, c as (select node, source, -.5 * (s - avg(s) over (partition by source) - avg(s) over (partition by node) + avg(s) over ()) c from grid),
+m as (select a.source i, b.source j, sum(a.c * b.c) v from c a join c b on a.node = b.node group by 1, 2), {_axes("m")}
+select node, round(sum(c * x.v), 5) x, round(sum(c * y.v), 5) y from c join axis1 x on x.i = source join axis2 y on y.i = source group by node""")
 def layout_pivot_scaling(spark, sf_dir):
-    g = _knn(spark, sf_dir)
-    return linear.placed_by_axes(linear.pivot_scaling(hops.numbered_columns(g, _marks(spark, sf_dir))[0]))
+    return _rounded(linear.placed_by_axes(linear.pivot_scaling(_landmark_columns(spark, sf_dir)[0])), "x", "y", digits=5)
 
 
-@query()
+@query(f"""with recursive {KNN}, {LANDMARKED}, near as (select node i, source j, s from grid where node in (select node from hubs)), mean as (select i, avg(s) s from near group by i),
+m as (select i, j, -.5 * (s - avg(s) over (partition by i) - avg(s) over (partition by j) + avg(s) over ()) v from near), {_axes("m")}
+select grid.node, round(sum(-.5 * (grid.s - mean.s) * x.v / sqrt(value1.v)), 5) x, round(sum(-.5 * (grid.s - mean.s) * y.v / sqrt(value2.v)), 5) y
+from grid join mean on mean.i = source join axis1 x on x.i = source join axis2 y on y.i = source, value1, value2 where grid.node not in (select node from hubs) group by grid.node
+union all select x.i, round(x.v * sqrt(value1.v), 5), round(y.v * sqrt(value2.v), 5) from axis1 x join axis2 y on x.i = y.i, value1, value2""")
 def layout_landmark_scaling(spark, sf_dir):
-    g = _knn(spark, sf_dir)
-    return linear.placed_by_axes(linear.landmark_scaling(*hops.numbered_columns(g, _marks(spark, sf_dir))))
+    return _rounded(linear.placed_by_axes(linear.landmark_scaling(*_landmark_columns(spark, sf_dir))), "x", "y", digits=5)
 
 
-@query()
+@query(f"""with recursive e as (select vec_id node, generate_subscripts(embedding, 1) i, unnest(embedding)::double v from embeddings),
+m as (select a.i, b.i j, avg(a.v * b.v) - avg(a.v) * avg(b.v) v from e a join e b on a.node = b.node group by 1, 2), about as (select node, i, v - avg(v) over (partition by i) v from e), {_axes("m")}
+select node, round(sum(about.v * x.v), 5) x, round(sum(about.v * y.v), 5) y from about join axis1 x on x.i = about.i join axis2 y on y.i = about.i group by node""")
 def layout_principal(spark, sf_dir):
-    return linear.placed_by_axes(linear.principal(_vectors(spark, sf_dir).select(F.col("vec_id").alias("node"), "embedding"), "embedding"))
+    return _rounded(linear.placed_by_axes(linear.principal(_vectors(spark, sf_dir).select(F.col("vec_id").alias("node"), "embedding"), "embedding")), "x", "y", digits=5)
 
 
 @query()
@@ -502,10 +530,15 @@ def fit_majorised_stress(spark, sf_dir):
     return network.stress_layout(_pivot_hops(spark, sf_dir), _layout(spark, sf_dir))
 
 
-@query()
+@query(f"""with recursive {KNN}, {HOPS}, sized as (select src node, count(*) n from adj group by src), start as (select node first from sized order by n desc, node limit 1),
+state as (select 0 step, first p, sized.node, d own, d near from sized cross join start left join hops on hops.source = first and hops.node = sized.node
+  union all select step + 1, next, s.node, d, least(near, d) from state s cross join (select arg_max(node, coalesce(near, 1000000)::bigint * 1000000000 - node) next, max(coalesce(near, 1)) far from state) t
+  left join hops on hops.source = next and hops.node = s.node where step < {FARTHEST} - 1 and far > 0)
+select p "pivot", step ordinal, node, own d from state where own is not null""")
 def graph_farthest_pivots(spark, sf_dir):
+    """From the node with the most edges on."""
     g = _knn(spark, sf_dir)
-    first = hops.hashed_pivots(edges.nodes_of(g), 1).first()
+    first = edges.degrees(g).orderBy(F.col("degree").desc(), "node").first()
     return hops.farthest_pivots(g, edges.nodes_of(g), FARTHEST, first.node if first else None)
 
 
