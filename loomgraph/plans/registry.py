@@ -18,6 +18,9 @@ from loomgraph.sources import graphs
 from loomgraph.storage import new_path, once, stored
 from loomgraph.streaming import growth
 
+#: Fixed: how many landmarks and pivots the published method takes, where the graph has as many nodes.
+LANDMARKS, PIVOTS, FARTHEST = 64, 400, 16
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -54,12 +57,6 @@ def _first_of_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labels(spark, sf_dir).groupBy("label").agg(F.min("node").alias("first"))
 
 
-def _all_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Between all pairs, so quadratic; queries of one application over one folder share it."""
-    g = _knn(spark, sf_dir)
-    return once(spark, "all_hops", sf_dir, lambda: hops.hop_distances(g, edges.nodes_of(g)))
-
-
 def _leading(spark: SparkSession, sf_dir: str, n: int = 16) -> DataFrame:
     """The nodes with the most edges, and of each component."""
     return once(spark, f"leading{n}", sf_dir, lambda: hops.leading_nodes(_knn(spark, sf_dir), n))
@@ -69,6 +66,10 @@ def _leading_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, "leading_hops", sf_dir, lambda: hops.hop_distances(_knn(spark, sf_dir), _leading(spark, sf_dir)))
 
 
+def _landmark_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, "landmark_hops", sf_dir, lambda: hops.hop_distances(_knn(spark, sf_dir), _leading(spark, sf_dir, LANDMARKS)))
+
+
 def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes with the most edges alone, as a bounded sample."""
     deg = edges.degrees(_knn(spark, sf_dir))
@@ -93,6 +94,8 @@ ranked as (select node, row_number() over (order by n desc, node) place, row_num
 hubs as (select node from ranked where place <= 16 or own = 1),
 far_from as (select node source, node, 0 d from hubs union select r.source, a.dst, r.d + 1 from far_from r join adj a on a.src = r.node where r.d < 24),
 far as (select source, node, min(d) d from far_from group by all)"""
+LANDMARKED = LEADING.replace("place <= 16", f"place <= {LANDMARKS}") + """,
+grid as (select n.node, h.node source, coalesce(d, 0) ** 2 s from sized n cross join hubs h left join far on far.node = n.node and far.source = h.node)"""
 ANCHORS = """anchors as (select src node from adj group by src order by count(*) desc, src limit 16)"""
 TREE = """tree as (select n_regionkey::bigint + 1 src, n_nationkey::bigint + 100 dst from nation union all select c_nationkey::bigint + 100, c_custkey + 1000 from customer),
 adj as (select src, dst from tree union all select dst, src from tree)"""
@@ -173,10 +176,10 @@ def graph_ball(spark, sf_dir):
     return edges.ball(_knn(spark, sf_dir), _first_of_class(spark, sf_dir).select(F.col("first").alias("node")), 2)
 
 
-@query(f"with recursive {KNN}, {HOPS} select source, node, d from hops")
+@query(f"with recursive {KNN}, {LANDMARKED} select source, node, d from far")
 def graph_hops(spark, sf_dir):
-    """Of all pairs; graph_hub_hops has few sources for large graphs."""
-    return _all_hops(spark, sf_dir)
+    """Of all nodes from the landmarks."""
+    return _landmark_hops(spark, sf_dir)
 
 
 @query(f"""with recursive {KNN}, {LEADING}, p as (select vec_id a, min(vec_id) over (partition by label) b from embeddings)
@@ -194,11 +197,11 @@ def features_diffusion(spark, sf_dir):
     return _rounded(diffusion.diffusion(_knn(spark, sf_dir), _leading(spark, sf_dir)), "p", digits=9)
 
 
-@query(f"""with recursive {KNN}, {HOPS}, r as (select sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / d r from hops join layout a on a.node = source join layout b on b.node = hops.node where source < hops.node)
+@query(f"""with recursive {KNN}, {LANDMARKED}, r as (select sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / d r from far join layout a on a.node = source join layout b on b.node = far.node where d > 0)
 select round(1 - sum(r) ** 2 / (count(*) * sum(r * r)), 6) stress, round(sum(r) / sum(r * r), 6) scale, count(*) n_pairs from r""")
 def score_stress(spark, sf_dir):
-    """Over all pairs that a path links; score_pivot_edge_stress has few sources for large graphs."""
-    return _rounded(metrics.stress(_all_hops(spark, sf_dir), _layout(spark, sf_dir)), "stress", "scale")
+    """Of all nodes against the landmarks; from all nodes as sources it would be the stress of all pairs."""
+    return _rounded(metrics.stress(_landmark_hops(spark, sf_dir), _layout(spark, sf_dir), pairs_once=False), "stress", "scale")
 
 
 @query(f"""with {KNN}, deg as (select src a, count(*) n from adj group by src),
@@ -298,10 +301,6 @@ def table_friedman(spark, sf_dir):
     return _rounded(ranking.friedman(_ranks(spark, sf_dir)).select(F.col("statistic").cast("double").alias("statistic"), "n", "k"), "statistic")
 
 
-#: As many landmarks and pivots as the reference takes, where the graph has as many nodes.
-LANDMARKS, PIVOTS, FARTHEST = 64, 400, 16
-
-
 def _sources(g: DataFrame, most: int, seed: int = 0) -> DataFrame:
     """At most so many nodes of the whole graph, drawn by hash, and one of each component without any."""
     return hops.component_pivots(g, max(1, min(most, edges.nodes_of(g).count() - 1)), seed)
@@ -478,12 +477,9 @@ value{k} as (select sum(m.v * a.v * b.v) v from {m} m join axis{k} a on a.i = m.
     return ",\n".join(out)
 
 
-LANDMARKED = LEADING.replace("place <= 16", f"place <= {LANDMARKS}") + """,
-grid as (select n.node, h.node source, coalesce(d, 0) ** 2 s from sized n cross join hubs h left join far on far.node = n.node and far.source = h.node)"""
-
-
 def _landmark_columns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return hops.numbered_columns(_knn(spark, sf_dir), _leading(spark, sf_dir, LANDMARKS))
+    ordinals = once(spark, "landmark_ordinals", sf_dir, lambda: hops.in_order(_leading(spark, sf_dir, LANDMARKS)))
+    return once(spark, "landmark_columns", sf_dir, lambda: hops.pivot_columns(_landmark_hops(spark, sf_dir), ordinals)), ordinals
 
 
 @query(f"""with recursive {KNN}, {LANDMARKED}, c as (select node, source, -.5 * (s - avg(s) over (partition by source) - avg(s) over (partition by node) + avg(s) over ()) c from grid),
