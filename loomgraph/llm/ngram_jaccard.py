@@ -8,7 +8,8 @@ in at most k2 elements in some part, and so agrees on a subset of n2 - k2 of its
 each part and subset therefore never misses a pair. n1 is floor(k / (k2 + 1)) + 1 plus a spare for parts
 that may hold nothing; signatures of nothing are written only by sets that have more such parts than spares.
 
-Documents with equal sets are one node. Candidate pairs are pruned by a lower bound on the difference
+Documents with equal sets are one node, and one of them writes signatures. Signatures that the same sets hold are one
+bucket: near copies agree on most of theirs, and each would bring the same pairs. Candidate pairs are pruned by a lower bound on the difference
 (parities of hashed element counts) and then decided by exact intersection. Pairs inside one known component
 need no test; that keeps groups of many near copies from being compared pair by pair.
 """
@@ -184,7 +185,12 @@ def names_of(sig: np.ndarray, shards: int) -> np.ndarray:
     return (((sig >> U(32)) * U(shards) >> U(32)) << U(40)) | (sig & U((1 << 40) - 1))
 
 
-def _packed_names(k: int, percent: int, shards: int):
+def _first_of_class(b: pa.RecordBatch, first: Member) -> pa.RecordBatch:
+    """Without the rows that are surely not the first of their class."""
+    return b.filter(pa.array(first.holds(b.column("id").to_numpy())))
+
+
+def _packed_names(k: int, percent: int, shards: int, first: Member):
     """shard, names (5 bytes each) of the signatures of FLUSH at a time, those that two sets of them share written twice.
 
     However many sets share a signature, no more than two of its names come from one flush."""
@@ -203,7 +209,7 @@ def _packed_names(k: int, percent: int, shards: int):
     def run(batches):
         sigs, keys, n = [], [], 0
         for b in batches:
-            for _, _, elements, off in _sets(b.column("text"), k):
+            for _, _, elements, off in _sets(_first_of_class(b, first).column("text"), k):
                 row, sig = signatures(elements, off, percent)
                 sigs.append(sig)
                 keys.append(_keys(elements, off)[row])
@@ -240,12 +246,12 @@ def _repeated_names(batches):
         yield out()
 
 
-def _write_signatures(k: int, percent: int, shards: int, wanted: Member):
+def _write_signatures(k: int, percent: int, shards: int, first: Member, wanted: Member):
     """sig, key of the signatures whose name the filter holds."""
 
     def run(batches):
         for b in batches:
-            for _, _, elements, off in _sets(b.column("text"), k):
+            for _, _, elements, off in _sets(_first_of_class(b, first).column("text"), k):
                 row, sig = signatures(elements, off, percent)
                 keep = wanted.holds_unsigned(names_of(sig, shards))
                 yield pa.RecordBatch.from_arrays([pa.array(signed(sig[keep])), pa.array(signed(_keys(elements, off))[row[keep]])], ["sig", "key"])
@@ -253,6 +259,18 @@ def _write_signatures(k: int, percent: int, shards: int, wanted: Member):
     return run
 
 
+def bucket_signatures(written: DataFrame) -> DataFrame:
+    """Of signatures (sig, key) that several sets hold, the least of those that the same sets hold: sig, pivot (the least set).
+
+    What sets hold a signature is told by their number, the least and the last of them and sums of 64 bits of hash."""
+    h = F.xxhash64("key")
+    held = written.groupBy("sig").agg(
+        F.min("key").alias("pivot"), F.max("key").alias("last"), F.count("*").alias("n"),
+        F.sum(h.bitwiseAND(F.lit((1 << 32) - 1))).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high"),
+    ).where("pivot < last")
+    return held.select("sig", "pivot", F.xxhash64("last", "n", "low", "high").alias("sets")).groupBy("pivot", "sets").agg(F.min("sig").alias("sig")).select("sig", "pivot")
+
+
 def _write_sets(k: int, wanted: Member):
     def run(batches):
         for b in batches:
@@ -368,10 +386,10 @@ def _within(percent: int, nearest: bool):
     return run
 
 
-def _blocks(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, sketch: DataFrame, with_low: bool) -> DataFrame:
     """Give each row (sig, key, component) its bucket and its parities. A signature with more than BLOCK sets is
     cut into blocks, and each two blocks meet in a bucket of their own (side 1 against side 2), so that no bucket
-    passes 2 * BLOCK rows."""
+    passes 2 * BLOCK rows. low is empty where it isn't asked for."""
     sizes = rows.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     rows = rows.join(sizes, "sig").withColumn("block", F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
@@ -379,8 +397,12 @@ def _blocks(rows: DataFrame, sketch: DataFrame) -> DataFrame:
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
         "sig", "key", "component",
     )
-    low = rows.select("sig", "key").distinct().groupBy("key").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, LOW).alias("low"))
-    return rows.join(sketch.join(low, "key"), "key").repartition("bucket").sortWithinPartitions("bucket", "key")
+    if with_low:
+        low = rows.select("sig", "key").distinct().groupBy("key").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, LOW).alias("low"))
+        sketch = sketch.join(low, "key")
+    else:
+        sketch = sketch.withColumn("low", F.array().cast("array<long>"))
+    return rows.join(sketch, "key").repartition("bucket").sortWithinPartitions("bucket", "key")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -392,6 +414,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * F.col("shared") >= percent * (F.size("ea") + F.size("eb") - F.col("shared"))).select("a", "b")
 
 
+def _log2_cells(keys: DataFrame) -> int:
+    """For a filter of these keys: eight cells or more for each, up to 2**27 in all."""
+    return int(np.clip(int(8 * keys.count()).bit_length(), 16, 27))
+
+
 def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     found = connected_components(links, "a", "b").withColumnRenamed("node", "key")
     return nodes.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -415,15 +442,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = rows.where("id is not null")
     elements = real.agg(F.sum("n")).first()[0] or 0
     shards = int(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), elements // SHARD_ELEMENTS + 1))
-    packed = named.mapInArrow(tidy(_packed_names(shingle_words, percent, shards)), "shard int, names binary")
+    firsts = scratch.stored(real.groupBy("key").agg(F.min("id").alias("id")).select("id"), "firsts")
+    first = member_filter(firsts, _log2_cells(firsts))
+    packed = named.mapInArrow(tidy(_packed_names(shingle_words, percent, shards, first)), "shard int, names binary")
     repeated = scratch.stored(packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(_repeated_names), "name long"), "repeated")
-    log2_cells = int(np.clip(int(8 * repeated.count()).bit_length(), 16, 27))
     # written out are only those that some other set may share
-    again = named.mapInArrow(tidy(_write_signatures(shingle_words, percent, shards, member_filter(repeated, log2_cells))), "sig long, key long")
+    again = named.mapInArrow(tidy(_write_signatures(shingle_words, percent, shards, first, member_filter(repeated, _log2_cells(repeated)))), "sig long, key long")
     written = scratch.stored(again, "signatures")
-    shared = written.groupBy("sig").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot < last").drop("last")
+    shared = scratch.stored(bucket_signatures(written), "shared")
     buckets = scratch.stored(written.join(shared, "sig").select("sig", "key", "pivot").distinct(), "buckets")
-    scratch.drop(written, repeated)
+    scratch.drop(written, repeated, firsts, shared)
 
     involved = scratch.stored(buckets.select("key").distinct().join(classes, "key"), "involved")
     sketch = involved.select("key", "n", "parity")
@@ -453,7 +481,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         node = scratch.stored(_labels(sketch.select("key"), links), "labels")
         rest = scratch.stored(others.join(node, "key"), "rest")
         several = rest.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-        found = scratch.stored(_blocks(rest.join(several, "sig"), sketch).mapInArrow(tidy(_within(percent, only_nearest)), "a long, b long, sig long, more boolean"), "found")
+        found = scratch.stored(_blocks(rest.join(several, "sig"), sketch, not only_nearest).mapInArrow(tidy(_within(percent, only_nearest)), "a long, b long, sig long, more boolean"), "found")
         pairs = found.select("a", "b")
         if only_nearest:
             apart = possible.select("a", "b")

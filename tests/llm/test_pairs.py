@@ -7,8 +7,9 @@ from collections import defaultdict
 
 import pytest
 
+from loomgraph import storage
 from loomgraph.llm import queries
-from loomgraph.llm.ngram_jaccard import ngram_jaccard_join
+from loomgraph.llm.ngram_jaccard import bucket_signatures, ngram_jaccard_join
 from loomgraph.llm.substring_dedup import substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -85,6 +86,37 @@ def test_join_edges(edge_docs, no_docs):
     assert found(ngram_jaccard_join(no_docs)) == []
 
 
+def test_signatures_of_copies_and_buckets_of_equal_sets(spark, monkeypatch):
+    """Equal sets write signatures once; however many signatures the same sets share, they meet in one bucket."""
+    rng = random.Random(3)
+    base = [[f"{rng.randrange(10**6)}" for _ in range(300)] for _ in range(30)]
+    rows = [(3 * i, " ".join(b)) for i, b in enumerate(base)]
+    rows += [(3 * i + 1, " ".join(b)) for i, b in enumerate(base)]  # exact copies
+    rows += [(3 * i + 2, " ".join([*b[:-1], "other"])) for i, b in enumerate(base[:10])]  # near copies of a third
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    real, counts = storage.stored, defaultdict(list)
+
+    def counted(df, name):
+        out = real(df, name)
+        counts[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(storage, "stored", counted)
+    assert found(ngram_jaccard_join(docs)) == brute_join(rows, 5, 80)
+    assert counts["buckets"] == [20]
+    few = docs.where("doc_id % 3 < 2")
+    counts.clear()
+    assert found(ngram_jaccard_join(few)) == brute_join([r for r in rows if r[0] % 3 < 2], 5, 80)
+    assert counts["signatures"][0] < 30 and counts["buckets"] == [0]
+
+
+def test_buckets_held_by_the_same_sets(spark):
+    """One signature, the least, for each collection of sets; those held by one set, or by one twice, go."""
+    held = {1: (5, 7), 2: (5, 7), 3: (5, 7, 9), 4: (5, 8, 9), 5: (5,), 6: (5, 5), 8: (9, 7, 5), 9: (-3, 9)}
+    written = spark.createDataFrame([(s, k) for s, keys in held.items() for k in keys], "sig long, key long")
+    assert sorted(map(tuple, bucket_signatures(written).collect())) == [(1, 5), (3, 5), (4, 5), (9, -3)]
+
+
 def brute_dedup(rows, window):
     first, starts = {}, defaultdict(list)
     words = {d: WORD.findall(t or "") for d, t in rows}
