@@ -610,3 +610,47 @@ def test_scores_from_a_few_sources_count_every_row(spark):
     few = hops.hop_distances(g, spark.createDataFrame([(8,), (4,)], "node long"))
     r = np.array([np.hypot(*(at[s] - at[v])) / abs(s - v) for s in (4, 8) for v in range(9) if s != v])
     assert metrics.evaluate(g, layout, few).first().stress == pytest.approx(1 - r.sum() ** 2 / (len(r) * (r * r).sum()), abs=1e-4)
+
+
+def test_nearest_of_blocks_with_copies_and_odd_vectors():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.repeat(rng.normal(size=(12, 16)), 40, 0), 1e6 + rng.normal(size=(200, 16)), 1e-30 * rng.normal(size=(30, 16)), np.zeros((20, 16))])
+    ids = rng.permutation(len(x)).astype(np.int64)
+    a, b, q = graphs._nearest_of(5, ids, x, ids, x)
+    got = sorted(zip(a.tolist(), b.tolist(), q.tolist(), strict=True))
+    want = []
+    for i in range(len(x)):
+        d = ((x[i] - x) ** 2).sum(1)
+        want += [(int(ids[i]), int(ids[j]), d[j]) for j in [j for j in np.lexsort((ids, d)) if j != i][:5]]
+    assert got == sorted(want)
+
+
+def test_knn_graph_of_several_blocks(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 4)).round(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(90, None), (None, [0.0] * 4), (91, [float("nan")] * 4), (92, [1.0, None, 0.0, 0.0])]
+    got = {(r.src, r.dst) for r in graphs.knn_graph(spark.createDataFrame(rows, "id long, v array<double>"), 3, "id", "v", block=20).collect()}
+    want = set()
+    for i in range(90):
+        d = ((x[i] - x) ** 2).sum(1)
+        want |= {(min(i, j), max(i, j)) for j in [int(j) for j in np.lexsort((np.arange(90), d)) if j != i][:3]}
+    assert got == want
+
+
+def test_searches_share_rows(spark):
+    """64 searches step in one row, and columns need no row for each distance."""
+    g = graphs.grid(spark, 9).unionByName(spark.createDataFrame([(900, 901)], "src long, dst long"))
+    sources = edges.nodes_of(g).where("node % 2 = 0 or node = 901").unionByName(spark.createDataFrame([(5000,)], "node long"))
+    named = hops._named(sources)
+    groups = -(-sources.count() // 64)
+    rows = hops._reached(g, named)
+    assert rows.groupBy("d").count().agg(F.max("count")).first()[0] <= groups * 84
+    found = {(r.source, r.node): r.d for r in hops.hop_distances(g, sources).collect()}
+    at = lambda i: (i // 9, i % 9)
+    want = {(a, b): abs(at(a)[0] - at(b)[0]) + abs(at(a)[1] - at(b)[1]) for a in range(0, 81, 2) for b in range(81)} | {(900, 900): 0, (900, 901): 1, (901, 900): 1, (901, 901): 0, (5000, 5000): 0}
+    assert found == want
+    columns, ordinals = hops.numbered_columns(g, sources)
+    order = {r.ordinal: r.source for r in ordinals.collect()}
+    wide = {(order[k], r.node): d for r in columns.collect() for k, d in enumerate(r.hops) if d is not None}
+    assert wide == want and all(len(r.hops) == len(order) for r in columns.collect())
+    assert {(r.source, r.node): r.d for r in hops.hop_distances(g, sources, most=2).collect()} == {k: d for k, d in want.items() if d <= 2}
