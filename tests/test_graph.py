@@ -654,3 +654,28 @@ def test_searches_share_rows(spark):
     wide = {(order[k], r.node): d for r in columns.collect() for k, d in enumerate(r.hops) if d is not None}
     assert wide == want and all(len(r.hops) == len(order) for r in columns.collect())
     assert {(r.source, r.node): r.d for r in hops.hop_distances(g, sources, most=2).collect()} == {k: d for k, d in want.items() if d <= 2}
+
+
+def test_full_cells_of_long_edges_are_compared_by_arrays(spark, monkeypatch):
+    """Sums equal those of the rows that cross, and no row is made for each halving of cells that long edges pass."""
+    monkeypatch.setattr(spatial, "RUN", 50)
+    rng = np.random.default_rng(7)
+    at = rng.normal(size=(150, 2))
+    at[:8] = np.round(at[:8])
+    g = edges_of(spark, sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, 150, (400, 2)).tolist() if a != b}))
+    layout = stored(layout_of(spark, at), "layout")
+    segments = stored(spatial.placed_edges(g, layout), "segments")
+    assert spatial._leaves(segments, spatial.GAIN).count() < spatial._leaves(segments).count() / 2
+    want = spatial.crossings(g, layout).agg(F.count("*").alias("n"), F.sum("angle").alias("angle")).first()
+    got = spatial.crossing_sums(g, layout).first()
+    assert got.n == want.n > 1000 and abs(got.angle - want.angle) < 1e-6 * want.angle
+    near = {r.node: (r.clearance, r.src, r.dst) for r in spatial.clearances(g, layout).collect()}
+    ends = [(r.src, r.dst) for r in g.collect()]
+    for i in range(150):
+        each = []
+        for a, b in ends:
+            if i not in (a, b):
+                u = at[b] - at[a]
+                t = min(max(float((at[i] - at[a]) @ u) / max(float(u @ u), 1e-12), 0.0), 1.0)
+                each.append((math.dist(at[i], at[a] + t * u), a, b))
+        assert abs(near[i][0] - min(each)[0]) < 1e-12
